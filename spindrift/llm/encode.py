@@ -1,7 +1,8 @@
 """Encoding a corpus with a public tokenizer, and decoding it again.
 
 The vocabulary file is a parameter; each Python worker loads it once.  Texts are
-encoded whole, block by block of an Arrow batch.  A null or empty text gives an
+encoded whole, block by block of an Arrow batch.  ``encode`` and ``token_counts``
+are for byte-level vocabularies, whose word boundaries they rely on.  A null or empty text gives an
 empty list.  Strings that look like special tokens are ordinary text.
 
 Byte-level vocabularies write each byte as one printable character.  ``decode``
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,23 +65,58 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _blocks(texts: list, tok) -> Iterator[tuple[int, list]]:
-    """(start, encodings) of TEXTS_AT_ONCE texts each, without offsets; null counts as empty."""
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё一-龥ぁ-んァ-ヶ"
+#: Where a byte-level tokenizer always begins a new word, whatever its Unicode version: before white space that follows
+#: a visible character, and before a letter that follows a CJK full stop.  Nothing after such a place depends on what is before it.
+_CUT = re.compile(rf"(?<=[!-~。{_LETTERS}])(?=[ \n\r\t])|(?<=。)(?=[{_LETTERS}])")
+
+#: Pieces whose ids a worker remembers before it forgets them all.
+PIECES = 200_000
+
+
+class _Pieces:
+    """Ids of whole texts, joined from the ids of their pieces.
+
+    A text is cut where the tokenizer cuts it anyway, so the ids of the pieces
+    one after the other are the ids of the text; pieces seen before (most words
+    of a language) needn't be encoded again.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tok = _tokenizer(path)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def ids(self, texts: list) -> list[bytes]:
+        """The ids of each text as int32 bytes; null counts as empty."""
+        import numpy as np
+
+        if len(self.known) > PIECES:
+            self.known = {"": b""}
+        cut = [_CUT.split(t) if t else [""] for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        if new:
+            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                self.known[p] = np.asarray(e.ids, dtype=np.int32).tobytes()
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
+
+
+def _blocks(texts: list, pieces: _Pieces) -> Iterator[list[bytes]]:
     for i in range(0, len(texts), TEXTS_AT_ONCE):
-        yield i, tok.encode_batch_fast([t or "" for t in texts[i : i + TEXTS_AT_ONCE]], add_special_tokens=False)
+        yield pieces.ids(texts[i : i + TEXTS_AT_ONCE])
 
 
-def _ids(texts: list, tok) -> pa.Array:
+def _ids(texts: list, pieces: _Pieces) -> pa.Array:
     import numpy as np
 
-    lengths, values = [], []
-    for _, encs in _blocks(texts, tok):
-        for e in encs:
-            ids = np.asarray(e.ids, dtype=np.int32)
-            lengths.append(len(ids))
-            values.append(ids)
-    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
+    parts = [x for block in _blocks(texts, pieces) for x in block]
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def _small(b: pa.RecordBatch, at: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -104,11 +141,11 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     schema = T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()), False) if f.name == text else f for f in df.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        pieces = _pieces(path)
         for whole in batches:
             for b in _small(whole, at):
                 cols = list(b.columns)
-                cols[at] = _ids(b.column(at).to_pylist(), tok)
+                cols[at] = _ids(b.column(at).to_pylist(), pieces)
                 yield pa.RecordBatch.from_arrays(cols, names=[out if i == at else n for i, n in enumerate(b.schema.names)])
 
     return df.mapInArrow(run, schema)
@@ -121,11 +158,11 @@ def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
     schema = T.StructType([T.StructField(out, T.LongType(), False) if f.name == text else f for f in df.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        pieces = _pieces(path)
         for whole in batches:
             for b in _small(whole, at):
                 cols = list(b.columns)
-                cols[at] = pa.array([len(e) for _, encs in _blocks(b.column(at).to_pylist(), tok) for e in encs], pa.int64())
+                cols[at] = pa.array([len(x) // 4 for block in _blocks(b.column(at).to_pylist(), pieces) for x in block], pa.int64())
                 yield pa.RecordBatch.from_arrays(cols, names=[out if i == at else n for i, n in enumerate(b.schema.names)])
 
     return df.mapInArrow(run, schema)
