@@ -48,14 +48,18 @@ _IDENT = r"[a-z][a-z0-9]*(?:[ _.\-]{1,2}[a-z0-9]+){0,3}"
 _CONTROL = re.compile(r"^(?:for|if|else|elif|elseif|end\w*|block|extends|include|macro|set|while|each|unless|raw|import|from|load|with|comment)\b")
 _STRONG_SLOT = re.compile(rf"\{{\{{\{{?\s*({_IDENT})\s*\}}?\}}\}}|[$#]\{{\s*({_IDENT})\s*\}}|\{{\$\s*({_IDENT})\s*\}}|%%\s*({_IDENT})\s*%%|@@\s*({_IDENT})\s*@@|<%=?\s*({_IDENT})\s*%>|\{{%\s*({_IDENT})\s*%\}}|\[\[\s*({_IDENT})\s*\]\]")
 _WEAK_SLOT = re.compile(rf"\[\s*({_IDENT})\s*\]|<\s*({_IDENT})\s*>|(?<![{{$#])\{{\s*({_IDENT})\s*\}}|«\s*({_IDENT})\s*»|\$({_IDENT})\$|__({_IDENT})__")
-_NOTE = re.compile(
+_NOTE_MARKED = re.compile(
     r"\[\s*(?:your|insert|insérer|inserte|insertar|hier|enter|add|type|put|placeholder)\b[^\]\n]{1,60}\]"
     r"|\(\s*(?:insert|aquí va|insérer|hier)\s[^)\n]{1,60}\)"
     r"|<\s*(?:type|enter|insert|your)\s(?:the\s|an?\s)?[^>\n]{1,40}>"
-    r"|\bto\s?do\s*:\s*(?:write|add|insert|fill|complete|replace|provide|update)\b"
-    r"|\btbd\s*[–—:-]|\bto follow from the editor\b"
-    r"|\badd your [^.\n]{1,40}? (?:text|copy|content) ?(?:here)?(?=$|[\s.])"
-    r"|\benter an? [^.\n]{1,40}? for this (?:section|page|field|block)\b"
+)
+#: Words that must be there for a note to be, and the note.
+_NOTES = (
+    ("do", re.compile(r"\bto\s?do\s*:\s*(?:write|add|insert|fill|complete|replace|provide|update)\b")),
+    ("tbd", re.compile(r"\btbd\s*[–—:-]")),
+    ("follow from the editor", re.compile(r"\bto follow from the editor\b")),
+    ("add your", re.compile(r"\badd your [^.\n]{1,40}? (?:text|copy|content) ?(?:here)?(?=$|[\s.])")),
+    ("enter a", re.compile(r"\benter an? [^.\n]{1,40}? for this (?:section|page|field|block)\b")),
 )
 _GOES = re.compile(rf"(?:^|[\n.!?;:>)\]–*-]\s*|\s)({_IDENT}) goes here\b")
 _CODE_BLOCK = re.compile(r"(?:<([a-z][a-z0-9]*)[^>\n]*>[^<\n]{0,200}</\s*\1\s*>\s*)*\{%-?\s*(?:for|if|block|macro|while|each|unless|raw)\b.{0,4000}?\{%-?\s*end\w*\s*-?%\}", re.S)
@@ -67,6 +71,38 @@ _MARKS = re.compile(r"[{}\[\]<>%@$«(]")
 _NOTE_WORDS = ("__", "goes here", "goes  here", "tbd", "todo", "to do", "add your", "enter a", "follow from")
 
 
+def _may_have_slot(t: str) -> bool:
+    """Cheap: whether any mark or note word occurs at all."""
+    return _MARKS.search(t) is not None or any(w in t for w in _NOTE_WORDS)
+
+
+# ---------------------------------------------------------------- messages
+
+_ZERO = re.compile("[\u200b-\u200f\u202a-\u202e\u2060\ufeff\u180e]")
+_LINES = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？!])|\s[–—|»]\s|(?<=:)\s+")
+_ADDRESS = re.compile(r"https?\s*:\s*//\S+|www\.\S+|\S+@\S+|(?:^|(?<=\s))/[\w./~%-]+")
+_HOST_END = re.compile(r"\.(?:example|com|org|net|html?|php|py|java)\b")
+_HOST = re.compile(r"(?<![\w.-])[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|html?|php|py|java)\b\S*")
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"\b(?:\d{1,2} )?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{2,4}\b|\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+")
+
+
+def _mask(line: str) -> str:
+    """Addresses, dates, hexadecimal ids and numbers to blanks."""
+    if "/" in line or "@" in line or "www." in line:
+        line = _ADDRESS.sub(" ", line)
+    if _HOST_END.search(line):
+        line = _HOST.sub(" ", line)
+    return _NUMBER.sub(" ", line) if _DIGIT.search(line) else line
+
+
+_TAG = re.compile(r"<\s*([a-z][a-z0-9]*)\b[^>]*>(.*?)<\s*/\s*\1\s*>", re.S)
+_BLANKS = re.compile(r"[ \t\xa0]{2,}")
+_MARKS = re.compile(r"[{}\[\]<>%@$«(]")
+_NOTE_WORDS = ("__", "goes here", "goes  here", "tbd", "todo", "to do", "add your", "enter a", "follow from")
+
+
 def _may_have_slot(t: str) -> bool:
     """Cheap: whether any mark or note word occurs at all."""
     return _MARKS.search(t) is not None or any(w in t for w in _NOTE_WORDS)
@@ -136,12 +172,53 @@ _STRONG = re.compile(
             # filler
             "thisisademoposteditordeleteitthenbeginwriting|hereyoumaydescribewhatyouoffer|dieserabsatzistnureinplatzhalter|justsomewordstoseehowthefontlooks",
             "thisparagraphonlyfillsthespaceuntiltherealcopyarrives|usethisblocktotellpeopleaboutyourteam|thefinalwordingwillbesuppliedlater|replacetheselineswithyourownwords|nothingtoreadyetthisisdummycopy",
-            "(?:copytocome)+|(?:sampletext)+|(?:asdf|jkl)+|(?:test){3,}|(?:text){4,}|(?:foo|bar|baz){3,}|(?:dummytext)+|(?:placeholdertext)+|(?:blah){2,}|(?:x{3,}){2,}|(?:qwerty){2,}",
+            "(?:copytocome)+|(?:sampletext)+|(?:asdf|jkl)+|(?:test){3,}|(?:text){4,}|(?:foo|bar|baz){3,}|(?:dummytext)+|(?:placeholdertext)+|(?:blah){2,}|(?:xxxx*){2,}|(?:qwerty){2,}",
             "(?:textedexempleàremplacer)+|(?:textodeejemplo)+|(?:textoderelleno)+|(?:(?:beispieltext|blindtext|platzhaltertext)(?:dernurplatzfüllt)?)+|(?:текстрыба)+|(?:示例文字)+|(?:ダミーテキスト)+",
             "helloworldwelcometo(?:yournew|my)[a-z]{0,20}site|thisisyourfirstpost(?:editordeleteit(?:thenstartwriting)?)?|comingsoon|underconstruction",
         ]
     )
 )
+
+
+def _needed(parsed) -> frozenset[str]:
+    """Strings of which every match of a parsed pattern contains at least one; empty where none is known."""
+    best: frozenset[str] = frozenset()
+
+    def better(c: frozenset[str]) -> None:
+        nonlocal best
+        if c and (not best or min(map(len, c)) > min(map(len, best))):
+            best = c
+
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+            continue
+        better(frozenset([run]) if run else frozenset())
+        run = ""
+        if name == "SUBPATTERN":
+            better(_needed(arg[-1]))
+        elif name == "BRANCH":
+            parts = [_needed(x) for x in arg[1]]
+            better(frozenset().union(*parts) if all(parts) else frozenset())
+        elif name == "MAX_REPEAT" and arg[0] >= 1:
+            better(_needed(arg[2]))
+    return best
+
+
+_ANCHORS = tuple(sorted(_needed(re._parser.parse(_STRONG.pattern)), key=len))
+assert _ANCHORS, "every phrase needs a fixed part"
+
+
+def _phrases_out(letters: str) -> str:
+    """``letters`` without message phrases; quick where none can be there."""
+    for a in _ANCHORS:
+        if a in letters:
+            return _STRONG.sub("", letters)
+    return letters
+
+
 #: Phrases that go with messages but don't make one, unless the rest recurs widely.
 _SOFT = re.compile(
     "loading|pleasewait|redirectingin(?:seconds|s)|redirecting|gobacktothestartpage|backtothestartpage|trythesearchboxorcheckthespellingoftheaddress|ifthispersiststellthewebmaster|"
@@ -153,6 +230,8 @@ _LOREM = frozenset(
 #: Part of the letters that must be message phrases where noise breaks some of them, and letters such a rest may have.
 PHRASE_SHARE, NOISE_LETTERS = 0.6, 60
 _HEADING_WORDS, _HEADING_LETTERS = 3, 32
+#: Letters up to which a rest may consist of soft phrases.
+_SOFT_LETTERS = 150
 #: Characters of a line up to which phrases are sought across its sentences too.
 _LINE_AT_ONCE = 600
 
@@ -177,9 +256,9 @@ def has_slot(canonical: str) -> bool:
         name = next(g for g in m.groups() if g)
         if not (m.group().startswith("{%") and _CONTROL.match(name)):
             return True
-    if _NOTE.search(t):
+    if _NOTE_MARKED.search(t) or any(w in t and note.search(t) for w, note in _NOTES):
         return True
-    for m in _GOES.finditer(t):
+    for m in _GOES.finditer(t) if " goes here" in t else ():
         words = re.split(r"[ _.\-]+", m.group(1))
         if any("".join(words[-k:]) in _SLOT_NAMES for k in (1, 2)):
             return True
@@ -226,24 +305,24 @@ def message_rest(canonical: str) -> tuple[str, int, int] | None:
     for found in _LINES.finditer(canonical):
         raw = found.group()
         if len(raw) <= _LINE_AT_ONCE:
-            line = _TAG.sub(" ", raw)
+            line = _TAG.sub(" ", raw) if "<" in raw else raw
             words = [w for w in _NAV_WORDS.split(line) if w]
             if not words or line.lstrip().startswith("©") and len(words) <= 8:
                 continue
-            flat = _letters(_MASK.sub(" ", line))
+            flat = _letters(_mask(line))
             if not flat or _NAV.fullmatch(flat):
                 continue
-            left = _STRONG.sub("", flat)
+            left = _phrases_out(flat)
             if left and left != flat:
                 left = _strip_nav(left)
-            if not left or not _SOFT.sub("", left):
+            if not left or len(left) <= _SOFT_LETTERS and not _SOFT.sub("", left):
                 strong += len(flat) - len(left)
                 total += len(flat)
                 rest.append(flat)
                 continue
         # sentence by sentence: filler words and phrases; what remains is content
         for piece in _sentences(raw):
-            sentence = _MASK.sub(" ", _TAG.sub(" ", piece))
+            sentence = _mask(_TAG.sub(" ", piece) if "<" in piece else piece)
             w = _WORDS.findall(sentence)
             f = "".join(w)
             if not f or _NAV.fullmatch(f):
@@ -254,8 +333,8 @@ def message_rest(canonical: str) -> tuple[str, int, int] | None:
                 strong += len(f)
                 rest.append("lorem")
                 continue
-            x = _STRONG.sub("", f)
-            y = _SOFT.sub("", _strip_nav(x) if x != f else x)
+            x = _phrases_out(f)
+            y = _SOFT.sub("", _strip_nav(x) if x != f else x) if len(x) <= _SOFT_LETTERS else x
             if not y:
                 strong += len(f) - len(x)
                 rest.append(f)
