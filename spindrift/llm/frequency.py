@@ -106,13 +106,17 @@ def count_arrays(encoded: DataFrame, block: int = BLOCK, max_blocks: int = MAX_B
     return by_range.mapInArrow(_sum_blocks(block), "id long, occurrences long, records long")
 
 
+def with_counts(ids: DataFrame, counted: DataFrame) -> DataFrame:
+    """(term, occurrences, records) of every term of a dictionary, zeros where nothing was counted."""
+    zero = F.lit(0).cast("long")
+    return ids.join(counted, "id", "left").select("term", F.coalesce("occurrences", zero).alias("occurrences"), F.coalesce("records", zero).alias("records"))
+
+
 def frequencies(pairs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
     """(term, occurrences, records) of every term of ``terms`` over ``pairs`` (record, term, frequency)."""
     ids = dictionary(terms)
-    encoded = skew.lookup_join(pairs, ids, "term", spread=["record"]).select("id", "frequency")
-    counted = count_arrays(encoded, block)
-    zero = F.lit(0).cast("long")
-    return ids.join(counted, "id", "left").select("term", F.coalesce("occurrences", zero).alias("occurrences"), F.coalesce("records", zero).alias("records"))
+    encoded = skew.salted_join(pairs, ids, "term", hot=skew.hot_keys(pairs, "term"), spread=["record"]).select("id", "frequency")
+    return with_counts(ids, count_arrays(encoded, block))
 
 
 def marks(counts: DataFrame, n_records: int, rare_below: int = 3, common_share: tuple[int, int] = (1, 3)) -> DataFrame:

@@ -122,8 +122,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _term_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    all_terms = terms.spellings(table(spark, d, "keyword")).select(F.col("term_id").alias("term")).distinct()
-    return frequency.frequencies(_act_terms(spark, d, "body_index"), all_terms)
+    """Occurrences and act pages of every term: spellings are encoded as their term's id, then a page's spellings are added up."""
+    raw = table(spark, d, "body_index")
+    spelled = materialize(terms.spellings(table(spark, d, "keyword")), "spellings")
+    ids = frequency.dictionary(spelled.select(F.col("term_id").alias("term")))
+    by_word = spelled.join(ids, spelled.term_id == ids.term).select("word_id", "id")
+    encoded = skew.salted_join(live_postings(raw), by_word, "word_id", hot=skew.hot_keys(raw, "word_id"), spread=["webpage_id"])
+    on_act = on_act_pages(encoded.select("webpage_id", "id", "frequency"), act_pages(table(spark, d, "webpage")), raw, part_by="id")
+    pairs = distinct.per_record(on_act.select(F.col("webpage_id").alias("record"), F.col("id").alias("term"), "frequency"))
+    return frequency.with_counts(ids, frequency.count_arrays(pairs.select(F.col("term").alias("id"), "frequency")))
 
 
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
