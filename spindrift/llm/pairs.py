@@ -74,9 +74,9 @@ def log10_upper_tail(k: "np.ndarray", q: "np.ndarray", m: "np.ndarray") -> "np.n
     """log10 P(X >= k) for X = sum over classes c of Binomial(m_c, q_c), row by row.
 
     ``k`` has one entry per row, ``q`` one row of probabilities per entry.
-    Lugannani-Rice with the second continuity correction; where k is at or
-    below the mean the normal value of that formula's limit is used (such a
-    count is no surprise).
+    Lugannani-Rice with the second continuity correction.  A count of less than
+    half above the mean is no surprise and gets 0 (p = 1); just above the mean,
+    where the formula is singular, its normal limit is used.
     """
     import numpy as np
 
