@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side may be broadcast; checked by counting, beyond it a shuffle join is used.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 _own_dir: str | None = None
 
