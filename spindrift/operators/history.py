@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.skew import range_rank
+
 
 def relevance(liked_state: Column) -> Column:
     """-1 for a dislike, else 1."""
@@ -37,15 +39,11 @@ def chosen(df: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(others.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def index_of(df: DataFrame, order: Sequence[Column], condition: Column) -> int:
-    """Zero-based position of the first row that meets the condition, or -1."""
-    w = Window.orderBy(*order)
-    hit = df.withColumn("__hit", condition)
-    first = hit.filter("__hit").orderBy(*order).limit(1)
-    if not first.take(1):
-        return -1
-    row = hit.withColumn("__n", F.row_number().over(w) - 1).filter("__hit").agg(F.min("__n")).first()
-    return int(row[0])
+def index_of(df: DataFrame, order: Sequence[str], condition: Column) -> int:
+    """Zero-based position, in ascending ``order``, of the first row that meets the condition, or -1; any size (range-partitioned)."""
+    ranked = range_rank(df.select(*order, condition.alias("__hit")), [], order, label="history")
+    first = ranked.filter("__hit").agg(F.min("position")).first()[0]
+    return -1 if first is None else int(first) - 1
 
 
 def append(history: DataFrame, rows: DataFrame) -> DataFrame:

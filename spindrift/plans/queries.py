@@ -78,9 +78,7 @@ def q_normalized_tf(spark: Spark, d: str) -> DataFrame:
     """normalized_tf of the live postings of act pages computed anew from their frequencies (stored values of old rows are stale)."""
     p = index.act_postings(spark, d)
     top = p.groupBy("webpage_id", "field").agg(F.max("frequency").alias("top"))
-    key = F.concat_ws("-", "webpage_id", "field")
-    both = skew.salted_join(p.withColumn("pf", key), top.select(key.alias("pf"), "top"), "pf", hot=(), spread=["word_id"])
-    return both.select("webpage_id", "field", "word_id", F.round(F.col("frequency") / F.col("top"), 9).alias("normalized_tf"))
+    return p.join(top, ["webpage_id", "field"]).select("webpage_id", "field", "word_id", F.round(F.col("frequency") / F.col("top"), 9).alias("normalized_tf"))
 
 
 @query
@@ -572,7 +570,7 @@ def q_history_antijoin(spark: Spark, d: str) -> DataFrame:
 @query
 def q_history_index_of(spark: Spark, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "event_type")
-    at = history.index_of(e.filter("event_type <> 'view'"), [F.asc("event_id")], F.col("event_type") == "purchase")
+    at = history.index_of(e.filter("event_type <> 'view'"), ["event_id"], F.col("event_type") == "purchase")
     return spark.createDataFrame([(at,)], "first_purchase long")
 
 

@@ -203,8 +203,8 @@ def test_history(spark):
     assert history.page(h, [F.desc("n")], 9, 5).count() == 0
     assert history.of_types(h, ["simple"]).count() == 6
     assert rows(history.containing(h, "QUERY 11"), "n") == {(11,)}
-    assert history.index_of(h, [F.asc("n")], F.col("type") == "simple") == 1
-    assert history.index_of(h, [F.asc("n")], F.col("type") == "none") == -1
+    assert history.index_of(h, ["n"], F.col("type") == "simple") == 1
+    assert history.index_of(h, ["n"], F.col("type") == "none") == -1
     assert history.not_chosen(h, h.filter("n < 10"), ["n"]).count() == 2 and history.chosen(h, h.filter("n < 10"), ["n"]).count() == 10
     assert history.replace_at(h, "n", 3, spark.createDataFrame([(3, "x", "y")], h.schema)).filter("type = 'x'").count() == 1
     assert history.append(h, h.limit(1)).count() == 13
