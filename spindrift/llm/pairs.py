@@ -219,9 +219,27 @@ def false_discovery_cut(scored: DataFrame, n_tests: int, rate: float = 0.05, ste
     return cut
 
 
-def co_occurrence(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5)) -> DataFrame:
-    """(word1_id, word2_id, n1, n2, n12, expected, log10_p): :func:`pair_counts` and :func:`surprise` of (basket, item) ``rows``."""
-    rows = materialize(rows.filter("basket is not null and item is not null"), "pairs-input")
+def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int]) -> DataFrame:
     item_degrees = degree_histogram(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "n")
     basket_degrees = degree_histogram(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("n")), "n")
     return surprise(pair_counts(rows, n_baskets, min_count, share, max_share), item_degrees, basket_degrees)
+
+
+def _stable(rows: DataFrame) -> DataFrame:
+    return materialize(rows.filter("basket is not null and item is not null").distinct(), "pairs-input")
+
+
+def co_occurrence(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5)) -> DataFrame:
+    """(word1_id, word2_id, n1, n2, n12, expected, log10_p): :func:`pair_counts` and :func:`surprise` of (basket, item) ``rows``."""
+    return _scored(_stable(rows), n_baskets, min_count, share, max_share)
+
+
+def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), rate: float = 0.05) -> DataFrame:
+    """:func:`co_occurrence` with ``significant``: whether the pair is among the discoveries at that false-discovery rate.
+
+    The tests are all pairs of eligible items; pairs that can't reach the counts aren't discoveries.
+    """
+    kept = _stable(rows)
+    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share), "pairs-scored")
+    v = eligible(kept, n_baskets, min_count, max_share).count()
+    return scored.withColumn("significant", F.col("log10_p") <= false_discovery_cut(scored, v * (v - 1) // 2, rate))

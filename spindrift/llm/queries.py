@@ -100,19 +100,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    """(basket, item): the words live in body or title of each act page, distinct."""
+    """(basket, item): the words live in body or title of each act page; a word of both comes twice."""
     fields = [live_postings(table(spark, d, f"{f}_index")).select("webpage_id", "word_id") for f in ("body", "title")]
     on_act = on_act_pages(fields[0].unionByName(fields[1]), act_pages(table(spark, d, "webpage")), table(spark, d, "body_index"))
-    return on_act.distinct().select(F.col("webpage_id").alias("basket"), F.col("word_id").alias("item"))
+    return on_act.select(F.col("webpage_id").alias("basket"), F.col("word_id").alias("item"))
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs sharing at least 7 pages and 3/4 of the rarer word's, with counts, null expectation and significance at a false-discovery rate of 5 %."""
-    n = _n_act(spark, d)
-    scored = materialize(pairs.co_occurrence(_baskets(spark, d), n), "pairs-scored")
-    v = _baskets(spark, d).select("item").distinct().count()
-    cut = pairs.false_discovery_cut(scored, v * (v - 1) // 2)
-    return scored.select("word1_id", "word2_id", "n1", "n2", "n12", F.round("expected", 6).alias("expected"), F.round("log10_p", 6).alias("log10_p"), (F.col("log10_p") <= cut).alias("significant"))
+    found = pairs.significant(_baskets(spark, d), _n_act(spark, d))
+    return found.select("word1_id", "word2_id", "n1", "n2", "n12", F.round("expected", 6).alias("expected"), F.round("log10_p", 6).alias("log10_p"), "significant")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
