@@ -64,7 +64,7 @@ _NOTES = (
 _GOES = re.compile(rf"(?:^|[\n.!?;:>)\]–*-]\s*|\s)({_IDENT}) goes here\b")
 _CODE_BLOCK = re.compile(r"(?:<([a-z][a-z0-9]*)[^>\n]*>[^<\n]{0,200}</\s*\1\s*>\s*)*\{%-?\s*(?:for|if|block|macro|while|each|unless|raw)\b.{0,4000}?\{%-?\s*end\w*\s*-?%\}", re.S)
 _FENCE = re.compile(r"```.*?```|`[^`\n]{1,200}`", re.S)
-_QUOTED = re.compile(r"„[^“”\n]{1,160}[“”]|“[^”\n]{1,160}”|\"[^\"\n]{1,160}\"|「[^」\n]{1,160}」|‘[^’\n]{1,160}’")
+_QUOTED = re.compile(r"„[^“”\n]{1,160}[“”]|“[^”\n]{1,160}”|(?<![^\s(\[—–-])\"(?=\S)[^\"\n]{1,160}(?<=\S)\"(?!\w)|「[^」\n]{1,160}」|‘[^’\n]{1,160}’")
 _PAIRED_TAG = re.compile(r"<\s*([a-z][a-z0-9]*)\b[^>]*>(.*?)<\s*/\s*\1\s*>", re.S)
 _BLANKS = re.compile(r"[ \t\xa0]{2,}")
 _MARKS = re.compile(r"[{}\[\]<>%@$«(]")
