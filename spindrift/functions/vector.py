@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.config import DEFAULT
+from spindrift.session import broadcast_if_small
 
 
 def combine(title: Column, body: Column, title_weight: float = DEFAULT.title_weight) -> Column:
@@ -20,8 +21,11 @@ def norms(vectors: DataFrame, owner: str) -> DataFrame:
 
 
 def dots(vectors: DataFrame, owner: str, query: DataFrame) -> DataFrame:
-    """(owner, dot) with a query (word_id, q) of a few words; owners that share no word are absent."""
-    return vectors.join(F.broadcast(query), "word_id").groupBy(owner).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    """(owner, dot) with a query (word_id, q); owners that share no word are absent.
+
+    A query is broadcast if a count shows it small; one moved by much feedback may not be.
+    """
+    return vectors.join(broadcast_if_small(query)[0], "word_id").groupBy(owner).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
 
 
 def cosine(dot: Column, norm_a: Column, norm_b: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spindrift.config import DEFAULT, Config
 from spindrift.functions.text import substring_probability
 from spindrift.operators.pmi import both_directions
+from spindrift.session import broadcast_if_small
 
 
 def dense_top(df: DataFrame, value: str, n: int) -> DataFrame:
@@ -74,7 +75,7 @@ def relevance_feedback(query: DataFrame, similar: DataFrame, interactions: DataF
     r = relevance * similarity per interaction with a page of a similar query; positive r are divided by their
     sum and weighted, negative ones likewise by the sum of their magnitudes.  A sum of 0 contributes nothing.
     """
-    r = interactions.join(F.broadcast(similar), "query_id").select("webpage_id", (F.col("relevance") * F.col("similarity")).alias("r"))
+    r = interactions.join(broadcast_if_small(similar)[0], "query_id").select("webpage_id", (F.col("relevance") * F.col("similarity")).alias("r"))
     sums = r.agg(F.sum(F.when(F.col("r") > 0, F.col("r"))).alias("pos"), F.sum(F.when(F.col("r") < 0, -F.col("r"))).alias("neg"))
     scale = F.when(F.col("r") > 0, F.try_divide(F.col("r") * cfg.relevant_weight, F.col("pos"))).when(F.col("r") < 0, F.try_divide(F.col("r") * cfg.non_relevant_weight, F.col("neg")))
     pages = r.crossJoin(F.broadcast(sums)).select("webpage_id", scale.alias("s")).filter("s is not null").groupBy("webpage_id").agg(F.sum("s").alias("s"))

@@ -89,7 +89,7 @@ def keyword_totals(title: DataFrame, body: DataFrame, keyword: DataFrame) -> Dat
 
 @dataclass
 class SearchIndex:
-    """What queries read: act pages, their live postings, idf, document vectors and norms, the keyword dictionary."""
+    """What queries read: act pages, their live postings, idf, document vectors, norms and top words, the keyword dictionary."""
 
     pages: DataFrame
     postings: DataFrame
@@ -99,9 +99,10 @@ class SearchIndex:
     idf: DataFrame
     vectors: DataFrame
     norms: DataFrame
+    tops: DataFrame
     cfg: Config = DEFAULT
 
-    TABLES = ("pages", "postings", "keyword", "edges", "idf", "vectors", "norms")
+    TABLES = ("pages", "postings", "keyword", "edges", "idf", "vectors", "norms", "tops")
 
     @classmethod
     def of(cls, spark: SparkSession, d: str, cfg: Config = DEFAULT) -> "SearchIndex":
@@ -112,7 +113,7 @@ class SearchIndex:
         n = pages.count()
         idfs = idf(posts, n)
         vectors = document_vectors(posts, idfs, cfg)
-        return cls(pages, posts, table(spark, d, "keyword"), table(spark, d, "relationship"), n, idfs, vectors, norms(vectors, "webpage_id"), cfg)
+        return cls(pages, posts, table(spark, d, "keyword"), table(spark, d, "relationship"), n, idfs, vectors, norms(vectors, "webpage_id"), top_words(vectors, cfg.max_ranked_words), cfg)
 
     def write(self, path: str) -> None:
         """Durable form: one Parquet table each; postings and vectors clustered by word, so that a query's words prune row groups."""

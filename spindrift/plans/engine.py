@@ -18,6 +18,7 @@ from spindrift.operators import boolean, expand, joined
 from spindrift.operators.index import SearchIndex, combined_idf, combined_tf, top_words
 from spindrift.operators.report import neighbours
 from spindrift.plans.spec import JoinedQuery, Query
+from spindrift.session import materialize
 
 MISSING_WORD = -1
 
@@ -95,9 +96,15 @@ class Engine:
         """The query after relevance feedback, plus co-occurring words."""
         moved = vector
         if history is not None:
-            similar = expand.similar_queries(history.past, vector, self.ix.cfg)
-            moved = expand.relevance_feedback(vector, similar, history.interactions, top_words(self.ix.vectors, self.ix.cfg.max_ranked_words), self.ix.cfg)
-        return vec.merge_sum(moved, self.co_occurring(tf))
+            moved = self.moved(vector, self.similar(vector, history), history)
+        return materialize(vec.merge_sum(moved, self.co_occurring(tf)), "query")
+
+    def similar(self, vector: DataFrame, history: History) -> DataFrame:
+        """Past queries like this one; written, as both feedback and suggestions read it."""
+        return materialize(expand.similar_queries(history.past, vector, self.ix.cfg), "similar")
+
+    def moved(self, vector: DataFrame, similar: DataFrame, history: History) -> DataFrame:
+        return expand.relevance_feedback(vector, similar, history.interactions, self.ix.tops, self.ix.cfg)
 
     # ---------------------------------------------------------------- search
 
@@ -115,7 +122,8 @@ class Engine:
         tf, sets = self.query_tf(q)
         weights = self.query_weights(tf)
         original = self._small(weights, "weight")
-        modified = self.modified_vector(tf, original, history) if weights else original
+        plain = not weights or (history is None and self.pmi is None)
+        modified = original if plain else self.modified_vector(tf, original, history)
         # words that every page has can't tell pages apart, and words marked "not" are no candidates
         sets.page_any = {i for i in sets.page_any if weights.get(i, -1) >= 0 or i == MISSING_WORD}
         pages = boolean.candidates(self.ix.pages, self.ix.postings, sets, boolean.date_range("last_modified_date", q.from_date, q.to_date) if q.from_date or q.to_date else None, literal_not)
@@ -123,7 +131,7 @@ class Engine:
             pages = pages.limit(0)
         pages = pages.join(self.ix.norms.select("webpage_id"), "webpage_id", "left_semi")
         o = self.scores(original, pages).withColumnRenamed("cosine", "original_score")
-        m = o if history is None and self.pmi is None else self.scores(modified, pages).withColumnRenamed("cosine", "m")
+        m = o if plain else self.scores(modified, pages).withColumnRenamed("cosine", "m")
         both = o.withColumn("m", F.col("original_score")) if m is o else o.join(m, "webpage_id")
         ends = self.ix.pages.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"))
         ranks = self.ix.pages.select("webpage_id", "pagerank")
@@ -200,8 +208,8 @@ class Engine:
         co = self.with_words(self.co_occurring(tf)).select("word", F.col("weight").alias("value")).filter("value > 0")
         out = {"fuzzy": fuzzy.orderBy(F.desc("value"), "word"), "co_occurring": co.orderBy(F.desc("value"), "word")}
         if history is not None:
-            similar = expand.similar_queries(history.past, vector, cfg)
-            moved = expand.relevance_feedback(vector, similar, history.interactions, top_words(self.ix.vectors, cfg.max_ranked_words), cfg)
+            similar = self.similar(vector, history)
+            moved = self.moved(vector, similar, history)
             out["relevant"] = self.with_words(expand.relevant_words(vector, moved, cfg)).select("word", F.col("weight").alias("value")).orderBy(F.desc("value"), "word")
             texts = history.texts if history.texts is not None else history.past.select("query_id", F.col("query_id").cast("string").alias("text")).distinct()
             out["similar"] = similar.join(texts, "query_id").groupBy("text").agg(F.max("similarity").alias("value")).orderBy(F.desc("value"), "text")

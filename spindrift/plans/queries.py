@@ -291,12 +291,13 @@ def q_date_range(spark: Spark, d: str) -> DataFrame:
 # -------------------------------------------------------------------- ranking
 
 
-def _engine(spark: Spark, d: str, with_pmi: bool = False) -> Engine:
+def _engine(spark: Spark, d: str, with_pmi: bool = False, with_tops: bool = False) -> Engine:
     ix = index.SearchIndex.of(spark, d)
     ix.postings = materialize(ix.postings, "postings")
     ix.idf = materialize(index.idf(ix.postings, ix.n_pages), "idf")
     ix.vectors = materialize(index.document_vectors(ix.postings, ix.idf), "vectors")
     ix.norms = index.norms(ix.vectors, "webpage_id")
+    ix.tops = materialize(index.top_words(ix.vectors), "tops") if with_tops else index.top_words(ix.vectors)
     return Engine(ix, materialize(pmi.build(ix.postings, "literal"), "pmi") if with_pmi else None)
 
 
@@ -307,7 +308,7 @@ def _history(e: Engine, spark: Spark, d: str) -> History:
     seen = history.by_user(table(spark, d, "events"))
     pages = seen.withColumn("k", F.pmod("event_id", n)).join(numbered, "k").select("query_id", "webpage_id", "relevance")
     users = seen.select("query_id").distinct().withColumn("k", F.pmod("query_id", n)).join(numbered, "k")
-    past = users.join(index.top_words(e.ix.vectors), "webpage_id").select("query_id", "word_id", "weight")
+    past = users.join(e.ix.tops, "webpage_id").select("query_id", "word_id", "weight")
     return History(past, pages, users.select("query_id", F.concat(F.lit("pages like "), F.col("webpage_id").cast("string")).alias("text")))
 
 
@@ -349,7 +350,7 @@ def q_search_similar_pages(spark: Spark, d: str) -> DataFrame:
 @query
 def q_search_modified_score(spark: Spark, d: str) -> DataFrame:
     """Scores of a query moved by feedback and co-occurring words, blended with PageRank."""
-    e = _engine(spark, d, with_pmi=True)
+    e = _engine(spark, d, with_pmi=True, with_tops=True)
     return e.search(Query("crawler museum"), _history(e, spark, d)).hits.select("webpage_id", F.round("original_score", 6).alias("original_score"), F.round("modified_score", 6).alias("modified_score"))
 
 
@@ -495,7 +496,7 @@ def q_fuzzy_top(spark: Spark, d: str) -> DataFrame:
 
 
 def _query_and_history(spark: Spark, d: str, words: str = "crawler museum"):
-    e = _engine(spark, d)
+    e = _engine(spark, d, with_tops=True)
     tf, _ = e.query_tf(Query(words))
     return e, e.query_vector(tf), _history(e, spark, d)
 
@@ -509,21 +510,21 @@ def q_similar_queries(spark: Spark, d: str) -> DataFrame:
 @query
 def q_relevance_feedback(spark: Spark, d: str) -> DataFrame:
     e, q, h = _query_and_history(spark, d)
-    moved = expand.relevance_feedback(q, expand.similar_queries(h.past, q), h.interactions, index.top_words(e.ix.vectors))
+    moved = e.moved(q, e.similar(q, h), h)
     return moved.select("word_id", F.round("weight", 6).alias("weight"))
 
 
 @query
 def q_relevant_words(spark: Spark, d: str) -> DataFrame:
     e, q, h = _query_and_history(spark, d)
-    moved = expand.relevance_feedback(q, expand.similar_queries(h.past, q), h.interactions, index.top_words(e.ix.vectors))
+    moved = e.moved(q, e.similar(q, h), h)
     return expand.relevant_words(q, moved).select("word_id", F.round("weight", 6).alias("weight"))
 
 
 @query
 def q_suggest(spark: Spark, d: str) -> DataFrame:
     """All four kinds of suggestions for 'museum craw'."""
-    e = _engine(spark, d)
+    e = _engine(spark, d, with_tops=True)
     e.pmi = materialize(pmi.top_per_term(pmi.pair_values(e.ix.postings, "body")), "pmi")
     s = e.suggest("museum craw", _history(e, spark, d))
     out = None
