@@ -12,7 +12,20 @@ from spindrift.skew import range_rank
 
 def relevance(liked_state: Column) -> Column:
     """-1 for a dislike, else 1."""
-    return F.when(liked_state == "disliked", F.lit(-1)).otherwise(F.lit(1))
+    return F.when(F.coalesce(liked_state == "disliked", F.lit(False)), F.lit(-1)).otherwise(F.lit(1))
+
+
+def interacted(pages: DataFrame, liked_state: str = "likeState", clicked: str = "clicked") -> DataFrame:
+    """Pages that were liked, disliked or clicked, with their relevance; a dislike weighs more than a click."""
+    state = F.col(liked_state)
+    return pages.filter(state.isin("liked", "disliked") | F.coalesce(F.col(clicked), F.lit(False))).withColumn("relevance", relevance(state))
+
+
+def display_score(score: Column) -> Column:
+    """A score as a percentage of four significant digits, as a number; 0 stays 0."""
+    percent = score * 100
+    digits = F.lit(3) - F.floor(F.log10(F.abs(percent))).cast("int")
+    return F.when(percent == 0, F.lit(0.0)).otherwise(F.round(percent * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:

@@ -189,6 +189,8 @@ array_to_string(list_slice(list_transform(range(1, len(parts) + 1), lambda i: li
         "q_neighbors_topk": f"WITH {_ACT}, {_E}, {_neighbours()} SELECT * FROM near",
         "q_standing_pages": f"WITH {_STANDING} SELECT webpage_id, url, last_modified_date, size, round(pagerank, 6) AS pagerank, is_active, is_crawled FROM standing",
         "q_live_postings": f"WITH {_POST} SELECT field, count(*) AS n, count(DISTINCT webpage_id) AS pages, count(DISTINCT word_id) AS words, sum(frequency)::BIGINT AS total FROM post GROUP BY 1",
+        "q_corpus_statistics": f"""WITH {_POST}, t AS (SELECT count(*) FILTER (field = 'title') AS title_postings, coalesce(sum(frequency) FILTER (field = 'title'), 0)::BIGINT AS title_total, count(*) FILTER (field = 'body') AS body_postings, coalesce(sum(frequency) FILTER (field = 'body'), 0)::BIGINT AS body_total FROM post),
+p AS (SELECT count(*) AS pages, round(avg(pagerank), 4) AS avg_rank, round(min(pagerank), 4) AS min_rank, round(max(pagerank), 4) AS max_rank FROM act) SELECT * FROM p, t""",
         "q_df": f"WITH {_IDF} SELECT field, word_id, df FROM idf",
         "q_idf_title": f"WITH {_IDF} SELECT word_id, round(idf, 9) AS idf FROM idf WHERE field = 'title'",
         "q_idf_body": f"WITH {_IDF} SELECT word_id, round(idf, 9) AS idf FROM idf WHERE field = 'body'",

@@ -14,6 +14,7 @@ from spindrift.functions import text as tx
 from spindrift.functions.vector import combine
 from spindrift.operators import boolean, crawl, expand, history, index, joined, pagerank, pmi, report, storage
 from spindrift.plans.engine import Engine, History
+from spindrift.plans.offline import corpus_statistics
 from spindrift.plans.spec import JoinedQuery, Query
 from spindrift.session import materialize
 from spindrift.sources import html as src
@@ -190,6 +191,13 @@ def q_live_postings(spark: Spark, d: str) -> DataFrame:
     return index.act_postings(spark, d).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("webpage_id").alias("pages"), F.countDistinct("word_id").alias("words"), F.sum("frequency").alias("total"))
 
 
+@query
+def q_corpus_statistics(spark: Spark, d: str) -> DataFrame:
+    pages = act_pages(table(spark, d, "webpage"), "pagerank")
+    r = corpus_statistics(pages, index.act_postings(spark, d))
+    return r.select("pages", *[F.round(c, 4).alias(c) for c in ("avg_rank", "min_rank", "max_rank")], "title_postings", "title_total", "body_postings", "body_total")
+
+
 def _idf(spark: Spark, d: str) -> DataFrame:
     return index.idf(index.act_postings(spark, d), _n(spark, d))
 

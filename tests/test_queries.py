@@ -63,3 +63,15 @@ def test_unknown_query_has_no_hits(spark, small):
     e = Engine(SearchIndex.of(spark, small))
     assert e.search(Query("qqqqzzzz")).hits.count() == 0
     assert e.search(Query('crawler "qqqqzzzz"')).hits.count() == 0
+
+
+def test_offline_build_feeds_the_engine(spark, small, tmp_path):
+    from spindrift.plans.engine import Engine
+    from spindrift.plans.offline import build_offline
+    from spindrift.plans.spec import Query
+
+    ix = build_offline(spark, small, str(tmp_path / "built"))
+    e = Engine(ix, spark.read.parquet(str(tmp_path / "built" / "pmi")))
+    hits = e.search(Query("crawler")).hits.collect()
+    assert hits and all(0 <= r.modified_score <= 1.0000001 for r in hits)
+    assert ix.pages.filter("pagerank is null").count() == 0

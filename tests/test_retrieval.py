@@ -208,3 +208,10 @@ def test_history(spark):
     assert history.not_chosen(h, h.filter("n < 10"), ["n"]).count() == 2 and history.chosen(h, h.filter("n < 10"), ["n"]).count() == 10
     assert history.replace_at(h, "n", 3, spark.createDataFrame([(3, "x", "y")], h.schema)).filter("type = 'x'").count() == 1
     assert history.append(h, h.limit(1)).count() == 13
+
+
+def test_interacted_pages_and_display(spark):
+    p = spark.createDataFrame([(1, "liked", False), (2, "disliked", True), (3, None, True), (4, None, None), (5, "neutral", False)], "webpage_id long, likeState string, clicked boolean")
+    assert rows(history.interacted(p), "webpage_id", "relevance") == {(1, 1), (2, -1), (3, 1)}
+    d = spark.createDataFrame([(0.123456,), (0.0,), (0.00012344,)], "s double")
+    assert [r[0] for r in d.select(history.display_score(F.col("s"))).collect()] == pytest.approx([12.35, 0.0, 0.01234])
