@@ -130,7 +130,15 @@ def _pagerank(rounds: int, literal: bool = False, start: str = "1.0", only: str
 
 _SPLIT_PAGES = f"""WITH {_STANDING}, old AS (SELECT webpage_id, url, title, size, is_active FROM standing),
 new AS (SELECT webpage_id, url, upper(title) AS title, coalesce(size, 0) + 1 AS size, true AS is_active FROM old WHERE webpage_id % 2 = 0 UNION ALL SELECT webpage_id + 10000000, url || '?new', title, size, false FROM old WHERE webpage_id % 5 = 0)"""
-_HREF = r'<a [^>]*href="([^"]*)"'
+
+
+def _frontier(levels: int) -> str:
+    """Level by level; where a level exceeds what is left, its smallest ids are taken."""
+    out = f"""WITH {_ACT}, most AS (SELECT greatest(1, count(*) // 2) AS m FROM act), links AS (SELECT DISTINCT parent_id, child_id FROM relationship WHERE is_active),
+v0 AS MATERIALIZED (SELECT min(webpage_id) AS page_id, 0 AS depth FROM act)"""
+    for i in range(1, levels + 1):
+        out += f""", v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT page_id, {i} FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM (SELECT DISTINCT child_id AS page_id FROM links WHERE parent_id IN (SELECT page_id FROM v{i - 1} WHERE depth = {i - 1}) AND child_id NOT IN (SELECT page_id FROM v{i - 1}))) WHERE r <= (SELECT m FROM most) - (SELECT count(*) FROM v{i - 1}))"""
+    return f"{out} SELECT page_id, depth FROM v{levels}"
 
 
 def _bool(view: str, kind: str) -> str:
@@ -186,6 +194,13 @@ array_to_string(list_slice(list_transform(range(1, len(parts) + 1), lambda i: li
         "q_page_title": f"WITH {_ACT} SELECT webpage_id, trim(coalesce(title, '')) AS title FROM act",
         "q_extract_links": f"WITH {_ACT} SELECT DISTINCT p.url AS url, c.url AS child_url FROM relationship r JOIN act p ON p.webpage_id = parent_id JOIN standing c ON c.webpage_id = child_id WHERE r.is_active AND p.url <> c.url",
         "q_url_valid": r"SELECT DISTINCT webpage_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 1) <> '' AND regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) <> '' AS valid, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) AS host, false AS cut_valid FROM webpage",
+        "q_html_text": f"""WITH {_ACT}, l AS (SELECT parent_id, count(*) AS n FROM (SELECT DISTINCT parent_id, child_id FROM relationship WHERE is_active) WHERE child_id IN (SELECT webpage_id FROM standing) GROUP BY 1)
+SELECT webpage_id, trim(coalesce(title, ''), ' ') AS title, length(coalesce(title, '')) + length('On ' || webpage_id) + 2 * coalesce(n, 0) AS n_chars, coalesce(n, 0) AS n_links FROM act LEFT JOIN l ON parent_id = webpage_id""",
+        "q_normalize_url": f"""WITH {_ACT}, u AS (SELECT webpage_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM act),
+f AS (SELECT *, scheme || '://' || host AS base, list_filter(string_split(regexp_extract(path, '^(.*/)[^/]*$', 1), '/'), lambda x: x <> '') AS folder FROM u)
+SELECT webpage_id, form, CASE form WHEN 0 THEN base || '/' || array_to_string(list_append(folder, 'next.htm'), '/') WHEN 1 THEN base || '/' || array_to_string(list_append(folder[:-2], 'up.htm'), '/') WHEN 2 THEN base || '/root/x.htm'
+  WHEN 3 THEN scheme || '://other.example/p' WHEN 5 THEN 'http://abs.example/y?z#w' WHEN 6 THEN base || '/' || array_to_string(list_append(folder, 'b'), '/') WHEN 7 THEN base || path END AS resolved FROM f, (SELECT unnest(range(8)) AS form)""",
+        "q_crawl_frontier": _frontier(12),
         "q_neighbors_topk": f"WITH {_ACT}, {_E}, {_neighbours()} SELECT * FROM near",
         "q_standing_pages": f"WITH {_STANDING} SELECT webpage_id, url, last_modified_date, size, round(pagerank, 6) AS pagerank, is_active, is_crawled FROM standing",
         "q_live_postings": f"WITH {_POST} SELECT field, count(*) AS n, count(DISTINCT webpage_id) AS pages, count(DISTINCT word_id) AS words, sum(frequency)::BIGINT AS total FROM post GROUP BY 1",
@@ -210,6 +225,13 @@ AND webpage_id NOT IN (SELECT webpage_id FROM post WHERE field = 'title' AND wor
         "q_cosine": f"{_text_search()} SELECT webpage_id, round(o, 6) AS original_score FROM scored",
         "q_search_ranked": f"""{_text_search()}, m AS (SELECT webpage_id, 0.7 * o + 0.3 * {_SCALED} AS m FROM scored JOIN act USING (webpage_id), ends)
 SELECT row_number() OVER (ORDER BY round(m, 9) DESC, webpage_id) AS position, webpage_id, round(m, 6) AS modified_score FROM m ORDER BY round(m, 9) DESC, webpage_id LIMIT 50""",
+        "q_search_hits": f"""{_text_search()}, m AS (SELECT webpage_id, url, 0.7 * o + 0.3 * {_SCALED} AS m FROM scored JOIN act USING (webpage_id), ends),
+h AS (SELECT row_number() OVER (ORDER BY round(m, 9) DESC, webpage_id) AS position, webpage_id, url FROM m ORDER BY round(m, 9) DESC, webpage_id LIMIT 10), {_E}, {_neighbours()},
+tw AS (SELECT webpage_id, word_id, sum(CASE WHEN field = 'title' THEN 0.7 ELSE 0.3 END * coalesce(normalized_tf, 0)) AS weight FROM post SEMI JOIN h USING (webpage_id) GROUP BY ALL),
+tops AS (SELECT 'tf' AS kind, * FROM tw UNION ALL SELECT 'tfidf', webpage_id, word_id, weight FROM vec SEMI JOIN h USING (webpage_id)),
+w AS (SELECT webpage_id, kind, string_agg(word, '|' ORDER BY r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY webpage_id, kind ORDER BY round(weight, 9) DESC, word_id) AS r FROM tops) JOIN keyword USING (word_id) WHERE r <= 5 GROUP BY ALL),
+nw AS (SELECT webpage_id, kind, string_agg(url, '|' ORDER BY rank) AS s FROM near GROUP BY ALL)
+SELECT position, webpage_id, url, a.s AS top_tfs, b.s AS top_tfidfs, p.s AS parents, c.s AS children FROM h LEFT JOIN (SELECT * FROM w WHERE kind = 'tf') a USING (webpage_id) LEFT JOIN (SELECT * FROM w WHERE kind = 'tfidf') b USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'parent') p USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'child') c USING (webpage_id)""",
         "q_search_quoted": f"WITH {_VEC}, {_tf({'search': 1.0, 'crawler': 1.0})}, anyw AS (SELECT {_word('search')} AS word_id), "
         + _search("dummy AS (SELECT 1)", f" AND webpage_id IN (SELECT webpage_id FROM post WHERE word_id = {_word('crawler')})")
         + " SELECT webpage_id, round(o, 6) AS original_score FROM scored",
