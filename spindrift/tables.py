@@ -22,20 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of a page in the order that decides between two versions of the same date; a query reads no further than it needs.
+_PAGE = ("last_modified_date", "is_active", "is_crawled", "size", "pagerank", "title", "url")
+
+
+def _latest_pages(webpage: DataFrame, n: int) -> DataFrame:
+    cols = _PAGE[:n]
+    latest = webpage.filter(F.col("webpage_id").isNotNull()).groupBy("webpage_id").agg(F.max(F.struct(*cols)).alias("v"))
+    return latest.select("webpage_id", *[F.col(f"v.{c}").alias(c) for c in cols])
+
+
 def standing_pages(webpage: DataFrame) -> DataFrame:
     """One row per webpage_id: url, title, last_modified_date, size, pagerank, is_active, is_crawled of its latest version."""
-    cols = ["last_modified_date", "is_active", "is_crawled", "size", "pagerank", "title", "url"]
-    return (
-        webpage.filter(F.col("webpage_id").isNotNull())
-        .groupBy("webpage_id")
-        .agg(F.max(F.struct(*cols)).alias("v"))
-        .select("webpage_id", *[F.col(f"v.{c}").alias(c) for c in ("url", "title", "last_modified_date", "size", "pagerank", "is_active", "is_crawled")])
-    )
+    return _latest_pages(webpage, len(_PAGE)).select("webpage_id", "url", "title", "last_modified_date", "size", "pagerank", "is_active", "is_crawled")
 
 
 def act_pages(webpage: DataFrame, *keep: str) -> DataFrame:
     """webpage_id (and the columns ``keep``) of the pages whose standing row is active and crawled."""
-    return standing_pages(webpage).filter(F.col("is_active") & F.col("is_crawled")).select("webpage_id", *keep)
+    n = max([3, *[_PAGE.index(c) + 1 for c in keep]])
+    return _latest_pages(webpage, n).filter(F.col("is_active") & F.col("is_crawled")).select("webpage_id", *keep)
 
 
 def standing_postings(index: DataFrame, with_tf: bool = False) -> DataFrame:
