@@ -255,9 +255,9 @@ tf AS (SELECT word_id, 1.0 AS tf FROM pt), q AS (SELECT word_id, tf * idf AS wei
         "q_pmi_delete_affected": f"""WITH {_POST}, {_pairs('body')}, w AS (SELECT word_id FROM keyword WHERE word IN ({', '.join(repr(w) for w in ANY)})), hit AS (SELECT *, word1_id IN (SELECT word_id FROM w) OR word2_id IN (SELECT word_id FROM w) AS h FROM pv_body)
 SELECT 'rest' AS kind, word1_id AS a, word2_id AS b FROM hit WHERE NOT h UNION ALL SELECT 'affected', a, 0 FROM (SELECT word1_id AS a FROM hit WHERE h UNION SELECT word2_id FROM hit WHERE h)""",
         "q_outdegree": f"WITH {_GRAPH} SELECT parent_id, c AS out_degree FROM deg",
-        "q_pagerank_standard": _pagerank(20) + "SELECT webpage_id, round(r, 6) AS pagerank FROM r20",
-        "q_pagerank_literal": _pagerank(4, literal=True) + "SELECT webpage_id, round(r, 4) AS pagerank FROM r4",
-        "q_pagerank_subset": _pagerank(3, start="coalesce(pagerank / 1000, 1.0)", only=f"WHERE child_id IN (SELECT webpage_id FROM {_posts('title_index')} WHERE frequency > 0 AND word_id = {_word('search')})") + "SELECT webpage_id, round(r, 4) AS pagerank FROM r3",
+        "q_pagerank_standard": _pagerank(20) + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r20",
+        "q_pagerank_literal": _pagerank(4, literal=True) + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r4",
+        "q_pagerank_subset": _pagerank(3, start="coalesce(pagerank / 1000, 1.0)", only=f"WHERE child_id IN (SELECT webpage_id FROM {_posts('title_index')} WHERE frequency > 0 AND word_id = {_word('search')})") + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r3",
         "q_pagerank_minmax": f"WITH {_ACT}, ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM act) SELECT webpage_id, round({_SCALED}, 9) AS scaled FROM act, ends",
         "q_fuzzy_terms": _fuzzy({"craw": 1.0, "use": 0.5}),
         "q_fuzzy_top": f"SELECT word_id, word, weight FROM (SELECT *, dense_rank() OVER (ORDER BY weight DESC) AS r FROM ({_fuzzy({'craw': 1.0, 'use': 0.5})})) WHERE r <= 5",

@@ -38,9 +38,9 @@ def local_session(name: str = "spindrift", cores: int = 4, partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context; a temporary one only where neither is set."""
     global _own_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if _own_dir is None:
