@@ -99,3 +99,25 @@ def test_stream_maintenance(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     maintain(stream, lambda: state["t"], write, ["webpage_id", "word_id"], str(tmp_path / "ck")).awaitTermination()
     assert rows(state["t"], "webpage_id", "word_id", "frequency") == {(1, 1, 5), (2, 2, 1)}
+
+
+def test_stream_counts(spark, tmp_path):
+    from spindrift.streaming.incremental import interaction_counts, read_stream
+
+    t = lambda h, m: dt.datetime(2025, 1, 1, h, m)
+    src = str(tmp_path / "events")
+    spark.createDataFrame([(t(1, 5), "click"), (t(1, 50), "click"), (t(2, 10), "view"), (t(9, 0), "click")], "ts timestamp, event_type string").write.parquet(src)
+    counts = interaction_counts(read_stream(spark, src, "ts timestamp, event_type string"))
+    q = counts.writeStream.format("memory").queryName("counted").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.start.hour, r.event_type, r.n) for r in spark.table("counted").collect()} == {(1, "click", 2), (2, "view", 1), (9, "click", 1)}
+
+
+def test_written_tables_can_be_dropped(spark):
+    from spindrift.session import broadcast_if_small, drop_materialized, materialize, shared_dir
+
+    df = materialize(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5 and shared_dir(spark)
+    assert broadcast_if_small(df, 5)[1] and not broadcast_if_small(df, 4)[1]
+    assert drop_materialized() >= 1 and drop_materialized() == 0
