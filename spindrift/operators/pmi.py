@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spindrift import skew
 from spindrift.config import DEFAULT, Config
+from spindrift.session import materialize
 
 
 def field_pairs(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -25,7 +26,8 @@ def field_pairs(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataF
     above = cfg.title_frequency_above if field == "title" else cfg.body_frequency_above
     own = postings.filter(F.col("field") == field)
     n = own.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("n"))
-    strong = own.filter(F.col("frequency") > above).select("webpage_id", "word_id", "frequency")
+    # few rows are above the threshold; they are read for the totals and on both sides of the pairs
+    strong = materialize(own.filter(F.col("frequency") > above).select("webpage_id", "word_id", "frequency"), f"strong-{field}")
     total = strong.groupBy("word_id").agg(F.sum("frequency").alias("F"))
     strong = skew.lookup_join(strong, total, "word_id", spread=["webpage_id"])
     a = strong.select("webpage_id", F.col("word_id").alias("word1_id"), F.col("frequency").alias("freq1"), F.col("F").alias("total1"))

@@ -405,30 +405,34 @@ def q_joined_vectors(spark: Spark, d: str) -> DataFrame:
 # -------------------------------------------------------------------- PMI
 
 
+def _posts(spark: Spark, d: str) -> DataFrame:
+    return materialize(index.act_postings(spark, d), "postings")
+
+
 @query
 def q_pmi_title(spark: Spark, d: str) -> DataFrame:
-    return pmi.page_values(index.act_postings(spark, d), "title").withColumn("pmi", F.round("pmi", 6))
+    return pmi.page_values(_posts(spark, d), "title").withColumn("pmi", F.round("pmi", 6))
 
 
 @query
 def q_pmi_body(spark: Spark, d: str) -> DataFrame:
-    return pmi.page_values(index.act_postings(spark, d), "body").withColumn("pmi", F.round("pmi", 6))
+    return pmi.page_values(_posts(spark, d), "body").withColumn("pmi", F.round("pmi", 6))
 
 
 @query
 def q_pmi_combined(spark: Spark, d: str) -> DataFrame:
-    p = materialize(index.act_postings(spark, d), "postings")
+    p = _posts(spark, d)
     return pmi.combine_fields(pmi.pair_values(p, "title"), pmi.pair_values(p, "body")).withColumn("pmi", F.round("pmi", 6))
 
 
 @query
 def q_pmi_top_literal(spark: Spark, d: str) -> DataFrame:
-    return pmi.top_literal(pmi.page_values(index.act_postings(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
+    return pmi.top_literal(pmi.page_values(_posts(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
 
 
 @query
 def q_pmi_top_per_term(spark: Spark, d: str) -> DataFrame:
-    return pmi.top_per_term(pmi.pair_values(index.act_postings(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
+    return pmi.top_per_term(pmi.pair_values(_posts(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
 
 
 @query
@@ -443,7 +447,7 @@ def q_pmi_expand(spark: Spark, d: str) -> DataFrame:
 @query
 def q_pmi_delete_affected(spark: Spark, d: str) -> DataFrame:
     """Pairs left, and words affected, when the postings of two words change."""
-    values = materialize(pmi.page_values(index.act_postings(spark, d), "body"), "pmi")
+    values = materialize(pmi.page_values(_posts(spark, d), "body"), "pmi")
     words = table(spark, d, "keyword").filter(F.col("word").isin(*ANY)).select("word_id")
     rest, affected = pmi.delete_words(values, words)
     return rest.select(F.lit("rest").alias("kind"), F.col("word1_id").alias("a"), F.col("word2_id").alias("b")).unionByName(affected.select(F.lit("affected").alias("kind"), F.col("word_id").alias("a"), F.lit(0).cast("long").alias("b")))
