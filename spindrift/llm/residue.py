@@ -10,10 +10,17 @@ Each text is read whole, once, in Arrow batches:
   own is content, and reading stops there.
 * ``soft``: as ``message``, but of phrases too weak to judge alone (loading,
   redirecting, sorry).
-
-The masked rest of every text without content sentences is hashed; equal
-hashes are grouped across all texts and sources, and a soft rest counts when it
-recurs widely (RECUR_TEXTS texts from RECUR_SOURCES sources).  Partial counts
+* ``loose``: any other wording of which CUE_SHARE of the letters are words that
+  errors, notices and filler are made of.
+* ``text``: all else.
+
+The masked body of every text (without navigation, heading and footer) is
+hashed, whatever its wording; equal hashes are grouped across all texts and
+sources.  A soft rest counts when it recurs (RECUR_TEXTS texts from
+RECUR_SOURCES sources), a loose one when it recurs widely (LOOSE_TEXTS,
+LOOSE_SOURCES; pages are copied, so a few copies alone prove nothing), and a
+text of any wording when it stands everywhere: in EVERYWHERE of all texts
+(at least EVERYWHERE_TEXTS) and in half of the sources.  Partial counts
 are formed before the shuffle, so a hash that a third of the texts share is cheap.
 
 Null, empty and blank texts are never residue.  Rows are kept as they come
@@ -37,6 +44,10 @@ from spindrift import skew
 
 RECUR_TEXTS = 3
 RECUR_SOURCES = 2
+LOOSE_TEXTS = 5
+LOOSE_SOURCES = 3
+#: One in so many of all texts; at most as many bodies can stand in that many.
+EVERYWHERE, EVERYWHERE_TEXTS = 100, 10
 
 # ---------------------------------------------------------------- placeholders
 
@@ -224,6 +235,17 @@ _SOFT = re.compile(
     "loading|pleasewait|redirectingin(?:seconds|s)|redirecting|gobacktothestartpage|backtothestartpage|trythesearchboxorcheckthespellingoftheaddress|ifthispersiststellthewebmaster|"
     "pleasetryagainlater|tryagain|notfound|oops|sorry|whoops|error|http|gone|forbidden|ray(?:id)?|reference(?:number|id)?|requestid|unavailable|reload|refresh|timeout|nginx|apache|cloudfront|warning|ok"
 )
+#: Words that errors, notices and filler are made of in any wording; they judge only what recurs widely.
+_CUE = re.compile(
+    "errors?|unavailable|unable|failed|failure|cannot|couldnot|notfound|notavailable|notexist|missing|expired|denied|forbidden|blocked|disabled|invalid|maintenance|tryagain|retry|reload|refresh"
+    "|browser|cookies?|javascript|scripts?|enabled?|loading|pleasewait|onemoment|justamoment|redirect(?:ed|ing)?|timeout|timedout|overloaded|exception|traceback|unsupported|captcha|verifyyou|connection|later"
+    "|placeholder|dummy|sampletext|filler|lorem|ipsum|yourtext|texthere|goeshere|comingsoon|underconstruction"
+    "|fehler|nichtverfügbar|nichtgefunden|verweigert|gesperrt|wartung|aktivieren|platzhalter|mustertext|bittewarten|erneut"
+    "|erreur|indisponible|introuvable|refusé|interdit|veuillez|patienter|réessayer|activer|navigateur|noencontrad[oa]|nodisponible|denegado|prohibido|espere|intente|navegador|mantenimiento"
+    "|ошибк[аи]|недоступн[а-я]{1,2}|ненайден[ао]?|запрещ[её]н|подождите|повторите|браузере?|включите|заглушка"
+    "|错误|无法|不可用|未找到|拒绝|禁止|请稍|加载|启用|浏览器|维护|占位|エラー|見つかりません|利用できません|拒否|お待ち|有効に|ブラウザ|メンテナンス|ダミー|読み込み中"
+)
+CUE_SHARE = 0.15
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum massa quam vel nibh eget porta orci urna fusce vivamus mauris donec vestibulum pellentesque".split()
 )
@@ -353,27 +375,61 @@ def message_rest(canonical: str) -> tuple[str, int, int] | None:
     return "|".join(rest), strong, total
 
 
+def body(canonical: str) -> str:
+    """The masked letters of a whole text, line by line, without navigation, heading and footer."""
+    out: list[str] = []
+    heading = False
+    for found in _LINES.finditer(canonical):
+        raw = found.group()
+        line = _TAG.sub(" ", raw) if "<" in raw else raw
+        if len(line) <= _LINE_AT_ONCE and line.lstrip().startswith("©") and len(_NAV_WORDS.split(line.strip())) <= 8:
+            continue
+        words = _WORDS.findall(_mask(line))
+        flat = "".join(words)
+        if not flat or _NAV.fullmatch(flat):
+            continue
+        if not heading and not out and len(words) <= _HEADING_WORDS and len(flat) <= _HEADING_LETTERS and not _CUE.search(flat) and not re.search(r"[.!?。]\s*$", line):
+            heading = True
+            continue
+        out.append(flat)
+    return "|".join(out)
+
+
 def classify(text: str | None) -> tuple[str | None, str | None]:
     """(kind, masked rest): kind is slot, message, soft or None (content, or nothing to judge)."""
+    kind, rest = read(text)
+    return (None, None) if kind in ("loose", "text") else (kind, rest)
+
+
+def read(text: str | None) -> tuple[str | None, str | None]:
+    """(kind, masked rest or body) of a text: kind is slot, message, soft, loose, text or None (nothing to judge)."""
     if text is None or not text.strip():
         return None, None
     t = _canonical(text)
     if has_slot(t):
         return "slot", None
     found = message_rest(t)
-    if found is None or not found[0]:
+    if found is not None and found[0]:
+        rest, strong, total = found
+        return ("message" if strong >= 0.5 * total or strong >= 12 else "soft"), rest
+    rest = body(t)
+    if not rest:
         return None, None
-    rest, strong, total = found
-    return ("message" if strong >= 0.5 * total or strong >= 12 else "soft"), rest
+    cued = sum(m.end() - m.start() for m in _CUE.finditer(rest))
+    return ("loose" if cued >= CUE_SHARE * len(rest) else "text"), rest
+
+
+def _hash(rest: str | None) -> int | None:
+    return None if rest is None else int.from_bytes(hashlib.blake2b(rest.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kinds, hashes = [], []
         for t in b.column(2).to_pylist():
-            kind, rest = classify(t)
+            kind, rest = read(t)
             kinds.append(kind)
-            hashes.append(None if rest is None else int.from_bytes(hashlib.blake2b(rest.encode(), digest_size=8).digest(), "big", signed=True))
+            hashes.append(_hash(rest))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64())], names=["id", "source", "kind", "rest"])
 
 
@@ -384,7 +440,7 @@ def recurring(judged: DataFrame) -> DataFrame:
 
 
 def judge(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", recur_texts: int = RECUR_TEXTS, recur_sources: int = RECUR_SOURCES) -> DataFrame:
-    """(key, kind, n_texts, n_sources, residue) for every text that is a slot, message or soft rest.
+    """(key, kind, n_texts, n_sources, residue) for every text that is a slot, message, soft or loose rest, or stands everywhere.
 
     ``n_texts`` and ``n_sources`` say how widely its masked rest recurs;
     ``residue`` is the verdict.
@@ -392,14 +448,21 @@ def judge(documents: DataFrame, key: str = "doc_id", source: str = "source", tex
     from spindrift.session import materialize
 
     kind = documents.schema[key].dataType.simpleString()
-    read = documents.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    read_ = documents.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     # a small table (no texts): both the grouping and the verdict read it
-    judged = materialize(read.mapInArrow(_judge, f"id {kind}, source string, kind string, rest long").filter("kind is not null"), "residue")
+    judged = materialize(read_.mapInArrow(_judge, f"id {kind}, source string, kind string, rest long").filter("kind is not null"), "residue")
     groups = recurring(judged)
-    joined = skew.salted_join(judged, groups, "rest", "left", hot=skew.hot_keys(judged, "rest"), spread=["id"])
+    suspicious = judged.filter("kind <> 'text'")
+    joined = skew.salted_join(suspicious, groups, "rest", "left", hot=skew.hot_keys(suspicious, "rest"), spread=["id"])
+    # of the other texts only bodies that stand everywhere matter: at most EVERYWHERE of them
+    all_texts, all_sources = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    everywhere = (F.col("n_texts") >= EVERYWHERE_TEXTS) & (F.col("n_texts") * EVERYWHERE >= F.lit(all_texts)) & (F.col("n_sources") * 2 >= F.lit(all_sources))
+    rest = judged.filter("kind = 'text'").join(F.broadcast(groups.filter(everywhere)), "rest")
     wide = (F.col("n_texts") >= recur_texts) & (F.col("n_sources") >= recur_sources)
-    verdict = F.col("kind").isin("slot", "message") | ((F.col("kind") == "soft") & F.coalesce(wide, F.lit(False)))
-    return joined.select(F.col("id").alias(key), "kind", "n_texts", "n_sources", verdict.alias("residue"))
+    wider = (F.col("n_texts") >= LOOSE_TEXTS) & (F.col("n_sources") >= LOOSE_SOURCES)
+    verdict = F.col("kind").isin("slot", "message") | F.coalesce(((F.col("kind") == "soft") & wide) | ((F.col("kind") == "loose") & wider) | everywhere, F.lit(False))
+    cols = ["id", "kind", "n_texts", "n_sources"]
+    return joined.select(*cols).unionByName(rest.select(*cols)).select(F.col("id").alias(key), "kind", "n_texts", "n_sources", verdict.alias("residue"))
 
 
 def flagged(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

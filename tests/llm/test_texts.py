@@ -158,3 +158,16 @@ def test_long_text_and_empty_table(spark):
     assert residue.classify("The ship left the port. " * 100_000 + "{{title}}")[0] == "slot"
     assert residue.classify("lorem ipsum dolor sit amet. " * 20_000)[0] == "message"
     assert residue.flagged(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_unlisted_wordings_count_when_they_recur_widely(spark):
+    notice = "Our apologies: the gadget service failed, retry in {} minutes; an error was logged."
+    odd = "Zum grünen Kranze, bitte Platz nehmen und den Wirt rufen."
+    rows = [(i, f"s{i % 4}", notice.format(i)) for i in range(6)]
+    rows += [(100 + i, f"s{i % 4}", odd) for i in range(12)]
+    # copies of content, in fewer texts than everywhere; a notice in unlisted wording that stands alone
+    rows += [(200 + i, f"s{i % 4}", "The ship left the port in the morning, and nobody saw the captain.") for i in range(6)]
+    rows += [(300, "s1", "The lift has failed; an error was logged, retry later.")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in residue.flagged(df).collect()} == {*range(6), *range(100, 112)}
+    assert {r.kind for r in residue.judge(df).filter("doc_id >= 100 and doc_id < 200").collect()} == {"text"}
