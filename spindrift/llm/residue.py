@@ -6,7 +6,8 @@ Each text is read whole, once, in Arrow batches:
   unfilled, or an editor's note in its place.  One is enough.
 * ``message``: with navigation, heading and footer taken off, and numbers,
   addresses and dates masked, what is left is made of nothing but phrases of
-  filler, errors or script notices.  A text whose rest has one sentence of its
+  filler, errors or script notices, and noise (names, broken words) in
+  proportion to the whole text.  A text whose rest has one sentence of its
   own is content, and reading stops there.
 * ``soft``: as ``message``, but of phrases too weak to judge alone (loading,
   redirecting, sorry).
@@ -14,6 +15,13 @@ Each text is read whole, once, in Arrow batches:
   errors, notices and filler are made of.
 * ``text``: all else.
 
+Headings and footers are the first and last lines that recur in their source
+(in EDGE_TEXTS of its texts with as many different bodies, and in EDGE_SHARE of
+all its texts), whatever their length and wording; besides them a first line of
+up to three words, and lines with ©.  Each text is judged as it is and without
+its first, its last and both lines; once the recurring ones are known, the
+allowed judgements count.
+
 The masked body of every text (without navigation, heading and footer) is
 hashed, whatever its wording; equal hashes are grouped across all texts and
 sources.  A soft rest counts when it recurs (RECUR_TEXTS texts from
@@ -48,6 +56,8 @@ LOOSE_TEXTS = 5
 LOOSE_SOURCES = 3
 #: One in so many of all texts; at most as many bodies can stand in that many.
 EVERYWHERE, EVERYWHERE_TEXTS = 100, 10
+#: Texts, and one in so many of a source's texts, that a line must begin or end to be a heading or footer.
+EDGE_TEXTS, EDGE_SHARE = 3, 10
 
 # ---------------------------------------------------------------- placeholders
 
@@ -236,21 +246,23 @@ _SOFT = re.compile(
     "pleasetryagainlater|tryagain|notfound|oops|sorry|whoops|error|http|gone|forbidden|ray(?:id)?|reference(?:number|id)?|requestid|unavailable|reload|refresh|timeout|nginx|apache|cloudfront|warning|ok"
 )
 #: Words that errors, notices and filler are made of in any wording; they judge only what recurs widely.
-_CUE = re.compile(
-    "errors?|unavailable|unable|failed|failure|cannot|couldnot|notfound|notavailable|notexist|missing|expired|denied|forbidden|blocked|disabled|invalid|maintenance|tryagain|retry|reload|refresh"
-    "|browser|cookies?|javascript|scripts?|enabled?|loading|pleasewait|onemoment|justamoment|redirect(?:ed|ing)?|timeout|timedout|overloaded|exception|traceback|unsupported|captcha|verifyyou|connection|later"
-    "|placeholder|dummy|sampletext|filler|lorem|ipsum|yourtext|texthere|goeshere|comingsoon|underconstruction"
-    "|fehler|nichtverfügbar|nichtgefunden|verweigert|gesperrt|wartung|aktivieren|platzhalter|mustertext|bittewarten|erneut"
-    "|erreur|indisponible|introuvable|refusé|interdit|veuillez|patienter|réessayer|activer|navigateur|noencontrad[oa]|nodisponible|denegado|prohibido|espere|intente|navegador|mantenimiento"
-    "|ошибк[аи]|недоступн[а-я]{1,2}|ненайден[ао]?|запрещ[её]н|подождите|повторите|браузере?|включите|заглушка"
-    "|错误|无法|不可用|未找到|拒绝|禁止|请稍|加载|启用|浏览器|维护|占位|エラー|見つかりません|利用できません|拒否|お待ち|有効に|ブラウザ|メンテナンス|ダミー|読み込み中"
+_CUES = tuple(
+    "error unavailable unable failed failure cannot couldnot notfound notavailable notexist missing expired denied forbidden blocked disabled invalid maintenance tryagain retry reload refresh browser cookie"
+    " javascript enable loading pleasewait onemoment justamoment redirect timeout timedout overloaded exception traceback unsupported captcha verifyyou connection later placeholder dummy sampletext filler"
+    " lorem ipsum yourtext texthere goeshere comingsoon underconstruction fehler nichtverfügbar nichtgefunden verweigert gesperrt wartung aktivieren platzhalter mustertext bittewarten erneut erreur indisponible"
+    " introuvable refusé interdit veuillez patienter réessayer activer navigateur noencontrad nodisponible denegado prohibido espere intente navegador mantenimiento ошибк недоступн ненайден запрещ подождите"
+    " повторите браузер включите заглушка 错误 无法 不可用 未找到 拒绝 禁止 请稍 加载 启用 浏览器 维护 占位 エラー 見つかりません 利用できません 拒否 お待ち 有効に ブラウザ メンテナンス ダミー 読み込み中".split()
 )
+_ASCII_CUES = tuple(c for c in _CUES if c.isascii())
 CUE_SHARE = 0.15
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum massa quam vel nibh eget porta orci urna fusce vivamus mauris donec vestibulum pellentesque".split()
 )
-#: Part of the letters that must be message phrases where noise breaks some of them, and letters such a rest may have.
-PHRASE_SHARE, NOISE_LETTERS = 0.6, 60
+#: Part of the letters that must be message phrases where noise breaks some of them, letters such a rest may have in a
+#: text of any length, and the part of a longer text's letters.
+PHRASE_SHARE, NOISE_LETTERS, NOISE_SHARE = 0.6, 60, 0.1
+#: Plain words in a row, or letters of a script without blanks, that make a sentence of its own beyond the noise letters.
+_PROSE = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_]+(?:['’-][^\W\d_]+)*[,;:]?\s+){7}[^\W\d_]+|[\u3040-\u30ff\u3400-\u9fff]{20}")
 _HEADING_WORDS, _HEADING_LETTERS = 3, 32
 #: Letters up to which a rest may consist of soft phrases.
 _SOFT_LETTERS = 150
@@ -296,7 +308,12 @@ def has_slot(canonical: str) -> bool:
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
 def _letters(s: str) -> str:
+    if s.isascii():
+        return s.encode().translate(None, _NO_LETTERS).decode()
     return "".join(_WORDS.findall(s))
 
 
@@ -321,8 +338,16 @@ def message_rest(canonical: str) -> tuple[str, int, int] | None:
     The rest is what is left of the text without navigation, heading and footer,
     letters only.
     """
+    found = _message_rest(canonical, len(canonical))
+    return None if isinstance(found, bool) else found
+
+
+def _message_rest(canonical: str, whole: int) -> tuple[str, int, int] | bool:
+    """As :func:`message_rest` for a part of a text of ``whole`` characters, but True where no text with this part can be a message, else False."""
     rest: list[str] = []
     strong = total = stray = 0
+    prose = False
+    most = NOISE_SHARE * whole  # no part of the text has more letters
     heading = False
     for found in _LINES.finditer(canonical):
         raw = found.group()
@@ -367,32 +392,50 @@ def message_rest(canonical: str) -> tuple[str, int, int] | None:
                 continue
             strong += len(f) - len(x)
             stray += len(y)
-            if stray > NOISE_LETTERS:
-                return None
+            prose = prose or len(y) >= PHRASE_SHARE * len(f) and _PROSE.search(sentence) is not None
+            if stray > NOISE_LETTERS and (prose or stray > most):
+                return True
             rest.append(f)
-    if stray and strong < PHRASE_SHARE * total:
-        return None
+    if stray and strong < PHRASE_SHARE * total or stray > NOISE_LETTERS and stray > NOISE_SHARE * total:
+        return False
     return "|".join(rest), strong, total
 
 
-def body(canonical: str) -> str:
-    """The masked letters of a whole text, line by line, without navigation, heading and footer."""
-    out: list[str] = []
-    heading = False
+#: Where masking takes letters away, not digits alone.
+_LETTERED = re.compile(r"[a-f]\d|\d[a-f]|[/@]|www\.|\.(?:example|com|org|net|html?|php|py|java)\b|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d\d")
+
+
+def _cued(flat: str) -> int:
+    """Letters of ``flat`` in cue words."""
+    return sum(len(c) * flat.count(c) for c in (_ASCII_CUES if flat.isascii() else _CUES) if c in flat)
+
+
+def _body(canonical: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, masked letters, letters in cue words or -1 for a short heading) of every line that is neither navigation nor marked by ©."""
+    out = []
     for found in _LINES.finditer(canonical):
         raw = found.group()
         line = _TAG.sub(" ", raw) if "<" in raw else raw
-        if len(line) <= _LINE_AT_ONCE and line.lstrip().startswith("©") and len(_NAV_WORDS.split(line.strip())) <= 8:
+        if "©" in line and len(line) <= _LINE_AT_ONCE and line.lstrip().startswith("©") and len(_NAV_WORDS.split(line.strip())) <= 8:
             continue
-        words = _WORDS.findall(_mask(line))
-        flat = "".join(words)
+        masked = _mask(line) if _LETTERED.search(line) else line
+        flat = _letters(masked)
         if not flat or _NAV.fullmatch(flat):
             continue
-        if not heading and not out and len(words) <= _HEADING_WORDS and len(flat) <= _HEADING_LETTERS and not _CUE.search(flat) and not re.search(r"[.!?。]\s*$", line):
-            heading = True
-            continue
-        out.append(flat)
-    return "|".join(out)
+        cued = _cued(flat)
+        if not cued and len(flat) <= _HEADING_LETTERS and len(_WORDS.findall(masked)) <= _HEADING_WORDS and not re.search(r"[.!?。]\s*$", line):
+            cued = -1
+        out.append((found.start(), found.end(), flat, cued))
+    return out
+
+
+def _kind_of_body(lines: list[tuple[int, int, str, int]]) -> tuple[str | None, str | None]:
+    if lines and lines[0][3] < 0:
+        lines = lines[1:]
+    if not lines:
+        return None, None
+    rest = "|".join([x[2] for x in lines])
+    return ("loose" if sum(max(x[3], 0) for x in lines) >= CUE_SHARE * len(rest) else "text"), rest
 
 
 def classify(text: str | None) -> tuple[str | None, str | None]:
@@ -408,29 +451,71 @@ def read(text: str | None) -> tuple[str | None, str | None]:
     t = _canonical(text)
     if has_slot(t):
         return "slot", None
-    found = message_rest(t)
-    if found is not None and found[0]:
-        rest, strong, total = found
-        return ("message" if strong >= 0.5 * total or strong >= 12 else "soft"), rest
-    rest = body(t)
-    if not rest:
-        return None, None
-    cued = sum(m.end() - m.start() for m in _CUE.finditer(rest))
-    return ("loose" if cued >= CUE_SHARE * len(rest) else "text"), rest
+    return _kind_of_message(message_rest(t)) or _kind_of_body(_body(t))
+
+
+def _kind_of_message(found: tuple[str, int, int] | bool | None) -> tuple[str, str] | None:
+    if not found or found is True or not found[0]:
+        return None
+    rest, strong, total = found
+    return ("message" if strong >= 0.5 * total or strong >= 12 else "soft"), rest
 
 
 def _hash(rest: str | None) -> int | None:
     return None if rest is None else int.from_bytes(hashlib.blake2b(rest.encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def _variants(text: str | None, source: str | None) -> tuple[list[str | None], list[int | None], int | None, int | None]:
+    """Kinds and hashes of a text as it is, without its first line, its last, and both; hashes of these lines within their source."""
+    if text is None or not text.strip():
+        return [None], [None], None, None
+    t = _canonical(text)
+    if has_slot(t):
+        return ["slot"], [None], None, None
+    lines = _body(t)
+    if len(lines) < 2:
+        kind, rest = _kind_of_message(message_rest(t)) or _kind_of_body(lines)
+        return [kind], [_hash(rest)], None, None
+    begin, end = lines[0][1], lines[-1][0]
+    parts = (t, lines), (t[begin:], lines[1:]), (t[:end], lines[:-1]), (t[begin:end], lines[1:-1])
+    # the smallest part first: what makes it content makes every larger one content too
+    found: list[tuple[str, int, int] | bool] = [True] * 4
+    for i in (3, 2, 1, 0):
+        if i == 3 or not (found[3] is True or i == 0 and (found[1] is True or found[2] is True)):
+            found[i] = _message_rest(parts[i][0], len(t))
+    read_ = [_kind_of_message(f) or _kind_of_body(part) for f, (_, part) in zip(found, parts)]
+    return [k for k, _ in read_], [_hash(r) for _, r in read_], _hash(f"{source}\0head\0{lines[0][2]}"), _hash(f"{source}\0foot\0{lines[-1][2]}")
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        kinds, hashes = [], []
-        for t in b.column(2).to_pylist():
-            kind, rest = read(t)
-            kinds.append(kind)
-            hashes.append(_hash(rest))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64())], names=["id", "source", "kind", "rest"])
+        read_ = [_variants(t, s) for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        kinds, rests, heads, feet = zip(*read_) if read_ else ((), (), (), ())
+        arrays = [pa.array(kinds, pa.list_(pa.string())), pa.array(rests, pa.list_(pa.int64())), pa.array(heads, pa.int64()), pa.array(feet, pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["id", "source", "kinds", "rests", "head", "foot"])
+
+
+def edges(variants: DataFrame) -> DataFrame:
+    """(edge): the first and last lines that are their source's headings and footers, at most 2 x EDGE_SHARE of a source."""
+    sizes = variants.groupBy("source").agg(F.count(F.lit(1)).alias("size")).select(F.col("source").alias("of"), "size")
+    each = variants.select("source", F.col("rests")[0].alias("rest"), F.explode(F.array("head", "foot")).alias("edge")).filter("edge is not null")
+    by_body = each.groupBy("edge", "source", "rest").agg(F.count(F.lit(1)).alias("n"))
+    found = by_body.groupBy("edge", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bodies")).filter(F.col("bodies") >= EDGE_TEXTS)
+    return found.join(sizes, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("n") * EDGE_SHARE >= F.col("size")).select("edge").distinct()
+
+
+def without_edges(variants: DataFrame) -> DataFrame:
+    """(id, source, kind, rest) once the headings and footers are known: a message if one of the allowed judgements says so, else the one with least around it."""
+    from spindrift.session import materialize
+
+    known = materialize(edges(variants), "residue-edges")
+    for side in ("head", "foot"):
+        variants = skew.lookup_join(variants, known.select(F.col("edge").alias(side), F.lit(True).alias(f"{side}_off")), side, "left", spread=["id"])
+    head, foot = (F.coalesce(f"{side}_off", F.lit(False)) for side in ("head", "foot"))
+    judged = F.transform("kinds", lambda k, i: F.struct(k.alias("kind"), F.get("rests", i).alias("rest"), (((i % 2 == 0) | head) & ((i < 2) | foot)).alias("allowed")))
+    allowed = F.filter(judged, lambda v: v["allowed"] & v["kind"].isNotNull())
+    best = F.coalesce(F.get(F.filter(allowed, lambda v: v["kind"].isin("slot", "message")), F.lit(0)), F.get(allowed, F.size(allowed) - 1))
+    return variants.select("id", "source", best.alias("best")).select("id", "source", "best.kind", "best.rest")
 
 
 def recurring(judged: DataFrame) -> DataFrame:
@@ -449,8 +534,9 @@ def judge(documents: DataFrame, key: str = "doc_id", source: str = "source", tex
 
     kind = documents.schema[key].dataType.simpleString()
     read_ = documents.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    # a small table (no texts): both the grouping and the verdict read it
-    judged = materialize(read_.mapInArrow(_judge, f"id {kind}, source string, kind string, rest long").filter("kind is not null"), "residue")
+    # small tables (no texts): the headings and footers, the grouping and the verdict read them
+    variants = materialize(read_.mapInArrow(_judge, f"id {kind}, source string, kinds array<string>, rests array<long>, head long, foot long").filter("kinds[0] is not null"), "residue-read")
+    judged = materialize(without_edges(variants), "residue")
     groups = recurring(judged)
     suspicious = judged.filter("kind <> 'text'")
     joined = skew.salted_join(suspicious, groups, "rest", "left", hot=skew.hot_keys(suspicious, "rest"), spread=["id"])

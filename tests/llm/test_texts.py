@@ -171,3 +171,25 @@ def test_unlisted_wordings_count_when_they_recur_widely(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert {r.doc_id for r in residue.flagged(df).collect()} == {*range(6), *range(100, 112)}
     assert {r.kind for r in residue.judge(df).filter("doc_id >= 100 and doc_id < 200").collect()} == {"text"}
+
+
+def test_noise_is_judged_by_share_of_the_whole_text():
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit. " * 100
+    noise = " ".join(f"\nzork{c}.quib({c}) in vexl{c}" for c in "abcdefgh")
+    assert len(residue._letters(noise)) > residue.NOISE_LETTERS
+    assert residue.classify(filler + noise + "\n" + filler)[0] == "message"
+    # as much noise alone, or a sentence of the page's own, is content
+    assert residue.classify("404 Not Found" + noise)[0] is None
+    sentence = "The ship left the port in the morning, and nobody on the quay had seen the captain since the day before."
+    assert residue.classify(filler + sentence + " " + filler)[0] is None
+
+
+def test_headings_and_footers_go_by_position_and_recurrence(spark):
+    head, foot = "The Old Harbour Museum of Clocks, Bells and Nautical Instruments of the Northern Coast", "All rights reserved by the trustees of the museum and its friends"
+    said = ["The ship left the port in the morning.", "Nobody on the quay had seen the captain.", "A folio was found in the ledger of the mill.", "The oven keeps the room free of damp."]
+    rows = [(i, "a", f"{head}\n{t * 3}\n{foot}") for i, t in enumerate(said)]
+    rows += [(10, "a", f"{head}\n404 Not Found\n{foot}"), (11, "a", f"404 Not Found\n{foot}")]
+    # the same lines are no heading or footer where they don't recur
+    rows += [(20, "b", f"{head}\n404 Not Found\n{foot}")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in residue.flagged(df).collect()} == {10, 11}
