@@ -136,12 +136,14 @@ def eligible(rows: DataFrame, n_baskets: int, min_count: int, max_share: tuple[i
     return counts.filter((F.col("n") >= min_count) & (F.col("n") * den <= F.lit(n_baskets * num)))
 
 
-def pair_counts(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5)) -> DataFrame:
+def pair_counts(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), min_shared: int | None = None) -> DataFrame:
     """(word1_id, word2_id, n1, n2, n12), word1_id < word2_id, of all pairs with n12 >= min_count and n12 >= share * min(n1, n2).
 
+    ``min_shared`` is the least n12 where it isn't the items' ``min_count``.  With a share of 0 every basket is opened.
     ``rows`` (basket, item) must be distinct and stable (a written table).
     """
     num, den = share
+    least = min_count if min_shared is None else min_shared
     n_items = eligible(rows, n_baskets, min_count, max_share)
     too_common = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * max_share[1] > F.lit(n_baskets * max_share[0])).select("item")
     kept = rows.join(F.broadcast(too_common), "item", "left_anti")  # bounded: see the module's docstring
@@ -161,7 +163,7 @@ def pair_counts(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tupl
     needs = F.ceil(F.col("na") * num / F.lit(den))
     opens = F.least(F.col("na"), F.col("na") - needs + F.ceil(F.col("na") / F.lit(4)))
     # what the unopened baskets can add at most
-    found = found.filter(F.col("c") + F.col("na") - opens >= F.greatest(needs, F.lit(min_count)))
+    found = found.filter(F.col("c") + F.col("na") - opens >= F.greatest(needs, F.lit(least)))
     candidates = materialize(found, "pairs-candidates")
     # the baskets of a beyond the opened ones, for the candidates that have any
     closed = ranked.filter(F.col("position") > F.col("opens")).select(F.col("item").alias("a"), "basket")
@@ -173,7 +175,7 @@ def pair_counts(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tupl
         .agg(F.count(F.lit(1)).alias("d"))
     )
     exact = candidates.join(more, ["a", "b"], "left").withColumn("n12", F.col("c") + F.coalesce("d", F.lit(0).cast("long")))
-    exact = exact.filter((F.col("n12") >= min_count) & (F.col("n12") * den >= F.col("na") * num))
+    exact = exact.filter((F.col("n12") >= least) & (F.col("n12") * den >= F.col("na") * num))
     swap = F.col("a") > F.col("b")
     return exact.select(
         F.least("a", "b").alias("word1_id"),
@@ -219,10 +221,10 @@ def false_discovery_cut(scored: DataFrame, n_tests: int, rate: float = 0.05, ste
     return cut
 
 
-def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int]) -> DataFrame:
+def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int], min_shared: int | None = None) -> DataFrame:
     item_degrees = degree_histogram(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "n")
     basket_degrees = degree_histogram(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("n")), "n")
-    return surprise(pair_counts(rows, n_baskets, min_count, share, max_share), item_degrees, basket_degrees)
+    return surprise(pair_counts(rows, n_baskets, min_count, share, max_share, min_shared), item_degrees, basket_degrees)
 
 
 def _stable(rows: DataFrame) -> DataFrame:
@@ -234,12 +236,13 @@ def co_occurrence(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tu
     return _scored(_stable(rows), n_baskets, min_count, share, max_share)
 
 
-def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), rate: float = 0.05) -> DataFrame:
+def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), rate: float = 0.05, min_shared: int | None = None) -> DataFrame:
     """:func:`co_occurrence` with ``significant``: whether the pair is among the discoveries at that false-discovery rate.
 
-    The tests are all pairs of eligible items; pairs that can't reach the counts aren't discoveries.
+    The tests are all pairs of eligible items; pairs that can't reach the counts aren't discoveries, so the ranks are
+    whole only with a share of 0 and ``min_shared`` 1 (pairs without a shared basket have p = 1).
     """
     kept = _stable(rows)
-    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share), "pairs-scored")
+    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share, min_shared), "pairs-scored")
     v = eligible(kept, n_baskets, min_count, max_share).count()
     return scored.withColumn("significant", F.col("log10_p") <= false_discovery_cut(scored, v * (v - 1) // 2, rate))

@@ -107,8 +107,8 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs sharing at least 7 pages and 3/4 of the rarer word's, with counts, null expectation and significance at a false-discovery rate of 5 %."""
-    found = pairs.significant(_baskets(spark, d), _n_act(spark, d))
+    """All pairs of words live on at least 7 act pages that share a page, with counts, null expectation and significance at a false-discovery rate of 5 %."""
+    found = pairs.significant(_baskets(spark, d), _n_act(spark, d), share=(0, 1), max_share=(1, 1), min_shared=1)
     return found.select("word1_id", "word2_id", "n1", "n2", "n12", F.round("expected", 6).alias("expected"), F.round("log10_p", 6).alias("log10_p"), "significant")
 
 

@@ -109,3 +109,23 @@ def test_false_discovery_cut(spark):
     cut = pairs.false_discovery_cut(df, 1000)
     assert sum(v <= cut for v in p) == 3  # 1e-4 <= 0.05 * 3 / 1000, but 1e-2 > 0.05 * 4 / 1000
     assert pairs.false_discovery_cut(df.limit(0), 0) == -np.inf
+
+
+def test_p4_pairs_has_every_pair_of_supported_words(spark, monkeypatch):
+    from spindrift.llm import queries
+
+    rows = _baskets()
+    # words 9001 and 9002 share half of their pages, far above chance; 9003 is on more than a fifth of all
+    rows = rows + [(b, 9001) for b in range(20)] + [(b, 9002) for b in range(10, 30)] + [(b, 9003) for b in range(60)]
+    df = spark.createDataFrame(rows, "basket long, item long").repartition(3)
+    monkeypatch.setattr(queries, "_baskets", lambda *_: df)
+    monkeypatch.setattr(queries, "_n_act", lambda *_: 120)
+    got = {(r.word1_id, r.word2_id): r for r in queries.p4_pairs(spark, "").collect()}
+    of = {}
+    for b, i in set(rows):
+        if b is not None and i is not None:
+            of.setdefault(i, set()).add(b)
+    of = {i: b for i, b in of.items() if len(b) >= 7}
+    want = {(i, j): (len(of[i]), len(of[j]), len(of[i] & of[j])) for i in of for j in of if i < j and of[i] & of[j]}
+    assert {k: (r.n1, r.n2, r.n12) for k, r in got.items()} == want
+    assert got[9001, 9002].n12 == 10 and got[9001, 9003].n12 == 20
