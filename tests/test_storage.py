@@ -121,3 +121,12 @@ def test_written_tables_can_be_dropped(spark):
     assert df.count() == 5 and shared_dir(spark)
     assert broadcast_if_small(df, 5)[1] and not broadcast_if_small(df, 4)[1]
     assert drop_materialized() >= 1 and drop_materialized() == 0
+
+
+def test_crawl_follows_a_long_chain(spark):
+    from spindrift.operators import crawl
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(55)], "parent_id long, child_id long").coalesce(1)
+    seed = spark.createDataFrame([(0,)], "page_id long")
+    assert {(r.page_id, r.depth) for r in crawl.frontier(links, seed, 1000).collect()} == {(i, i) for i in range(56)}
+    assert crawl.frontier(links, seed, 1000, max_depth=2).count() == 3
