@@ -12,7 +12,7 @@ from spindrift import skew
 from spindrift.config import DEFAULT, Config
 from spindrift.functions import text as tx
 from spindrift.functions.vector import norms
-from spindrift.tables import act_pages, live_postings, on_act_pages, standing_pages, table
+from spindrift.tables import act_postings_by_page, standing_pages, table
 
 
 def text_postings(docs: DataFrame, doc: str, text: str, field: str, with_phrases: bool = False, stopwords: Sequence[str] = tx.STOPWORDS) -> DataFrame:
@@ -131,10 +131,4 @@ class SearchIndex:
 
 def act_postings(spark: SparkSession, d: str) -> DataFrame:
     """(webpage_id, field, word_id, frequency, normalized_tf): live postings of act pages, both fields."""
-    act = act_pages(table(spark, d, "webpage"))
-    out = None
-    for field in ("title", "body"):
-        raw = table(spark, d, f"{field}_index")
-        live = live_postings(raw, with_tf=True).select("webpage_id", F.lit(field).alias("field"), "word_id", "frequency", "normalized_tf")
-        out = live if out is None else out.unionByName(live)
-    return on_act_pages(out, act, table(spark, d, "body_index"))
+    return act_postings_by_page(spark, d, with_tf=True).rows.select("webpage_id", "field", "word_id", "frequency", "normalized_tf")

@@ -4,9 +4,10 @@
     (key, secondary order) with sampled quantiles, so that a heavy key spans
     many partitions; each partition forms partial states, which are stitched
     by key.
-``range_rank``       position of every row within its key, under any skew: the
-    same partitioning, local positions, and an offset for each partition's
-    first key, taken from the partial counts of the partitions before.
+``range_rank``       position of every row within its key, under any skew of keys
+    or of tied values: the same partitioning, local positions, and for each
+    partition's first key an offset, and for its first tie a rank, carried over
+    from the partitions before.
 ``hot_keys``         the keys that hold at least a given share of all rows; at
     most 1/share keys can, which bounds what comes to the driver.
 ``salted_join``      equi-join that spreads only those keys over several tasks.
@@ -35,35 +36,76 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Values of ``key`` (nulls excluded) that hold at least ``share`` of the rows of ``df``; never more than 1/share values."""
-    total = df.count()
-    if not total:
-        return []
-    most = int(1 / share) + 1
-    top = key_counts(df.filter(F.col(key).isNotNull()), key).filter(F.col("n_rows") >= total * share).orderBy(F.desc("n_rows"), key).limit(most)
-    return [r[0] for r in top.collect()]
+class HotKeys(list):
+    """Keys that hold much of a table, and over how many tasks the rows of each are to be spread (``salts``)."""
 
+    def __init__(self, counts: dict | None = None, total: int = 0, tasks: int = 1) -> None:
+        super().__init__(counts or ())
+        # a task then gets about one task's share of all rows
+        self.salts = {k: max(2, -(-n * tasks // max(total, 1))) for k, n in (counts or {}).items()}
 
-def _salt(hot: Sequence, key: str, salts: int, spread: Sequence[str]) -> Column:
-    if not hot:
-        return F.lit(0)
-    return F.when(F.col(key).isin(list(hot)), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+
+#: Most keys that are treated as hot, whatever the number of tasks.
+MOST_HOT = 1024
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence = (), spread: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> HotKeys:
+    """Values of ``key`` (nulls excluded) that hold at least ``share`` of the rows of ``df``; never more than 1/share values.
+
+    By default a key is hot from twice a task's share on (at most HOT_SHARE, at least 1/MOST_HOT).
+    One pass over one column, the total being a row of the same aggregation; ``df`` should be a table, not a long plan.
+    """
+    tasks = shuffle_partitions(df.sparkSession)
+    share = share or max(1 / MOST_HOT, min(HOT_SHARE, 2 / tasks))
+    counts = df.select(key).rollup(key).agg(F.count(F.lit(1)).alias("n_rows"), F.grouping(key).alias("total"))
+    top = counts.filter((F.col("total") == 1) | F.col(key).isNotNull()).orderBy(F.desc("total"), F.desc("n_rows"), key).limit(int(1 / share) + 2).collect()
+    if not top or not top[0].n_rows:
+        return HotKeys()
+    total = top[0].n_rows
+    return HotKeys({r[0]: r.n_rows for r in top[1:] if r.n_rows >= total * share}, total, tasks)
+
+
+def _salts(hot: Sequence) -> dict:
+    return hot.salts if isinstance(hot, HotKeys) else dict.fromkeys(hot, SALTS)
+
+
+def salt(hot: Sequence, key: str, spread: Sequence[str]) -> Column:
+    """The task number among those of its key for a row of a hot key, 0 for all others."""
+    out: Column | None = None
+    by_salts: dict[int, list] = {}
+    for k, n in _salts(hot).items():
+        by_salts.setdefault(n, []).append(k)
+    for n, keys in sorted(by_salts.items()):
+        value = F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")
+        out = F.when(F.col(key).isin(keys), value) if out is None else out.when(F.col(key).isin(keys), value)
+    return F.lit(0) if out is None else out.otherwise(F.lit(0))
+
+
+def repeated(right: DataFrame, hot: Sequence, key: str, name: str = "__salt") -> DataFrame:
+    """``right`` with a row for each task of a hot key."""
+    out: Column | None = None
+    by_salts: dict[int, list] = {}
+    for k, n in _salts(hot).items():
+        by_salts.setdefault(n, []).append(k)
+    for n, keys in sorted(by_salts.items()):
+        value = F.sequence(F.lit(0), F.lit(n - 1))
+        out = F.when(F.col(key).isin(keys), value) if out is None else out.when(F.col(key).isin(keys), value)
+    one = F.array(F.lit(0))
+    return right.withColumn(name, F.explode(one if out is None else out.otherwise(one)))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence = (), spread: Sequence[str] = ()) -> DataFrame:
     """``left`` joined with ``right`` on ``key``; rows of ``left`` with a key in ``hot`` are spread by the hash of ``spread``.
 
-    ``right`` is repeated ``salts`` times for the hot keys only.  ``how`` is
-    inner, left, left_semi or left_anti (each row of ``left`` meets all its
+    ``right`` is repeated for the hot keys only.  ``how`` is inner, left,
+    left_semi or left_anti (each row of ``left`` meets all its
     partners in exactly one task, so these keep their meaning).  The result
     has the columns of ``left``, then the other columns of ``right``.
     """
     if not hot:
         return left.join(right.hint("shuffle_hash"), key, how)
-    l = left.withColumn("__salt", _salt(hot, key, salts, spread))
-    r = right.withColumn("__salt", F.explode(F.when(F.col(key).isin(list(hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return l.join(r.hint("shuffle_hash"), [key, "__salt"], how).drop("__salt")
+    l = left.withColumn("__salt", salt(hot, key, spread))
+    return l.join(repeated(right, hot, key).hint("shuffle_hash"), [key, "__salt"], how).drop("__salt")
 
 
 def lookup_join(left: DataFrame, dictionary: DataFrame, key: str, how: str = "inner", hot_in: DataFrame | None = None, spread: Sequence[str] = (), max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -114,24 +156,31 @@ def _changes(columns: list[pa.ChunkedArray | pa.Array], before: list | None) ->
         if n > 1:
             a, b = c[1:], c[:-1]
             d = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            if pa.types.is_floating(c.type):
+                d = d & ~(pc.fill_null(pc.is_nan(a), False).to_numpy(zero_copy_only=False) & pc.fill_null(pc.is_nan(b), False).to_numpy(zero_copy_only=False))
             out[1:] |= d | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
         out[0] |= before is None or not _same(c[0].as_py(), before[i])
     return out
 
 
 def _same(a: object, b: object) -> bool:
-    return a == b or (a is None and b is None)
+    return a == b or (a is None and b is None) or (a != a and b != b)
 
 
 def _positions(keys: Sequence[str], order: Sequence[str]):
-    """Arrow iterator that adds, to a sorted partition, each row's position and competition rank within its key."""
+    """Arrow iterator that adds, to a sorted partition, each row's position and competition rank within its key.
+
+    ``__head`` is 2 for the rows of the partition's first tie, 1 for the other rows of its first key, 0 for the rest.  The
+    first and the last row come once more, with ``__mark`` 1 and 2, for the carry from partition to partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         last_key: list | None = None
         last_all: list | None = None
-        pos, rank, first_run = 0, 0, True
+        pos, rank, head = 0, 0, 2
+        end: pa.RecordBatch | None = None
         for b in batches:
             n = b.num_rows
             if not n:
@@ -145,39 +194,80 @@ def _positions(keys: Sequence[str], order: Sequence[str]):
             position = np.where(starts >= 0, idx - starts + 1, idx + 1 + pos).astype(np.int64)
             tie = np.maximum.accumulate(np.where(new_all, idx, -1))
             ranks = np.where(tie >= 0, position[np.maximum(tie, 0)], rank).astype(np.int64)
-            n_new = np.cumsum(new_key)
-            is_first = (n_new == 1) if last_all is None else (n_new == 0) & first_run
-            pos, rank = int(position[-1]), int(ranks[-1])
-            first_run = bool(is_first[-1])
+            opening = int(last_all is None)
+            heads = np.where(np.cumsum(new_key) > opening, 0, np.where(np.cumsum(new_all) > opening, 1, 2))
+            heads = np.minimum(heads, head).astype(np.int8)
+            pos, rank, head = int(position[-1]), int(ranks[-1]), int(heads[-1])
+            made = pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(position), pa.array(ranks), pa.array(heads), pa.array(np.zeros(n, np.int8))], names=[*b.schema.names, "__pos", "__rank", "__head", "__mark"]
+            )
+            if last_all is None:
+                yield _marked(made.slice(0, 1), 1)
             last_key = [c[n - 1].as_py() for c in kcols]
             last_all = last_key + [c[n - 1].as_py() for c in ocols]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(position), pa.array(ranks), pa.array(is_first)], names=[*b.schema.names, "__pos", "__rank", "__first"])
+            yield made
+            end = made.slice(n - 1)
+        if end is not None:
+            yield _marked(end, 2)
 
     return run
 
 
+def _marked(b: pa.RecordBatch, mark: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([mark] * b.num_rows, pa.int8())], names=b.schema.names)
+
+
+def _carried(ends: Sequence, n_keys: int) -> list[tuple[int, int, int | None]]:
+    """(partition, offset of its first key, rank of its first tie or null) where something is carried; ``ends`` are its marked rows in order."""
+    out = []
+    key: tuple | None = None
+    tie: tuple | None = None
+    held, tied = 0, 0
+    equal = lambda a, b: a is not None and b is not None and all(map(_same, a, b))
+    for part, first, last in ends:
+        k, o = first[:n_keys], first[n_keys:-2]
+        off = held if equal(k, key) else 0
+        rank = tied if off and equal(o, tie) else None
+        if off:
+            out.append((part, off, rank))
+        one_key, one_tie = last[-2][0] > 0, last[-2][0] == 2
+        held = last[-2][1] + (off if one_key else 0)
+        tied = rank if one_tie and rank is not None else last[-1] + (off if one_key else 0)
+        key, tie = last[:n_keys], last[n_keys:-2]
+    return out
+
+
 def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None, position: str = "position", rank: str = "rank", label: str = "rank") -> DataFrame:
     """``df`` with each row's position (1, 2, ...) and competition rank (ties share the first position) within ``keys``, ascending in ``order``.
 
-    Nulls come first.  Without keys the whole table is one key.  Rows are range-partitioned on (keys, order);
-    every partition numbers its own rows, and what the partitions before hold of
-    a partition's first key is added as an offset (at most one offset per
-    partition, which bounds the broadcast).  No key needs to fit into one task.
+    Nulls come first, NaN last.  Without keys the whole table is one key.  Rows
+    are range-partitioned on (keys, order, a hash of the row), so that neither a
+    key nor a tie needs to fit into one task; every partition numbers its own
+    rows, and what the partitions before hold of its first key and of its first
+    tie is carried over.  Two rows per partition come to the driver for that,
+    and at most one row per partition is broadcast.
     Rows equal in keys and order share a rank and have positions in no defined order.
     """
     spark = df.sparkSession
     n = n or shuffle_partitions(spark)
     by = [*keys, *order]
-    schema = T.StructType([*df.schema.fields, T.StructField("__pos", T.LongType()), T.StructField("__rank", T.LongType()), T.StructField("__first", T.BooleanType())])
-    local = df.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_positions(keys, order), schema)
+    extra = [("__pos", T.LongType()), ("__rank", T.LongType()), ("__head", T.ByteType()), ("__mark", T.ByteType())]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in extra]])
+    split = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()], F.spark_partition_id())
+    local = df.withColumn("__split", split).repartitionByRange(n, *by, "__split").drop("__split").sortWithinPartitions(*by).mapInArrow(_positions(keys, order), schema)
     kept = materialize(local.withColumn("__part", F.spark_partition_id()), label)
-    # per partition: how much of its first key and how much of its last key it holds
-    ends = kept.groupBy("__part", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max("__pos").alias("c"), F.max(F.col("__first").cast("int")).alias("f"))
-    key_cols = [f"__k{i}" for i in range(len(keys))]
-    w = Window.partitionBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in key_cols]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ends.withColumn("__off", F.coalesce(F.sum("c").over(w), F.lit(0))).filter((F.col("f") == 1) & (F.col("__off") > 0)).select("__part", "__off")
-    out = kept.join(F.broadcast(offsets), "__part", "left").withColumn("__add", F.when(F.col("__first"), F.coalesce("__off", F.lit(0))).otherwise(F.lit(0)))
-    return out.select(*df.columns, (F.col("__pos") + F.col("__add")).alias(position), (F.col("__rank") + F.col("__add")).alias(rank))
+    marks = kept.filter("__mark > 0").select("__part", "__mark", "__head", "__pos", "__rank", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).orderBy("__part", "__mark").collect()
+    ends: dict[int, list[tuple]] = {}
+    for r in marks:
+        ends.setdefault(r[0], []).append((*r[5:], (r[2], r[3]), r[4]))
+    carried = _carried([(p, v[0], v[1]) for p, v in ends.items()], len(keys))
+    out = kept.filter("__mark = 0")
+    if not carried:
+        return out.select(*df.columns, F.col("__pos").alias(position), F.col("__rank").alias(rank))
+    offsets = spark.createDataFrame(carried, "__part int, __off long, __tie long")
+    out = out.join(F.broadcast(offsets), "__part", "left").withColumn("__add", F.when(F.col("__head") > 0, F.coalesce("__off", F.lit(0))).otherwise(F.lit(0)))
+    ranked = F.when(F.col("__head") == 2, F.coalesce("__tie", F.col("__rank") + F.col("__add"))).otherwise(F.col("__rank") + F.col("__add"))
+    return out.select(*df.columns, (F.col("__pos") + F.col("__add")).alias(position), ranked.alias(rank))
 
 
 def key_positions(df: DataFrame, key: str, order: Sequence[str], n: int | None = None) -> DataFrame:

@@ -10,6 +10,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,47 @@ def on_act_pages(postings: DataFrame, act: DataFrame, raw_index: DataFrame, part
     """
     hot = skew.hot_keys(raw_index, "webpage_id")
     return skew.salted_join(postings, act, "webpage_id", how="left_semi", hot=hot, spread=[part_by])
+
+
+@dataclass
+class ByPage:
+    """Rows that lie in one task per page, or for a large page in several by the hash of one column.
+
+    ``rows`` grouped by ``keys`` and that column, or by ``keys`` alone, needs no further shuffle.
+    """
+
+    rows: DataFrame
+    keys: list[str]
+
+
+def act_postings_by_page(
+    spark: SparkSession, d: str, fields: Sequence[str] = FIELDS, with_tf: bool = False, act: DataFrame | None = None, rename: Callable[[DataFrame], DataFrame] | None = None, part_by: str = "word_id"
+) -> ByPage:
+    """Live postings of act pages (webpage_id, field, word_id, frequency, normalized_tf if asked for), in one shuffle of the raw rows.
+
+    The raw rows of all ``fields`` are spread by page; which version of a
+    posting stands, the semi join with the act pages and whatever is grouped by
+    page afterwards happen where the page's rows then are.  Pages that hold much
+    of all rows are spread further by ``part_by``.  ``rename`` may add columns to
+    the raw rows before (``part_by`` may be one, if it depends on the word alone).
+    """
+    cols = ["indexed_at", "frequency"] + ["normalized_tf"] * with_tf
+    raw = None
+    for field in fields:
+        own = table(spark, d, f"{field}_index").select("webpage_id", F.lit(field).alias("field"), "word_id", *cols)
+        raw = own if raw is None else raw.unionByName(own)
+    hot = skew.hot_keys(raw, "webpage_id")
+    raw = raw.filter(F.col("webpage_id").isNotNull() & F.col("word_id").isNotNull())
+    before = set(raw.columns)
+    raw = raw if rename is None else rename(raw)
+    added = [c for c in raw.columns if c not in before]
+    pages = (act if act is not None else act_pages(table(spark, d, "webpage"))).select("webpage_id")
+    keys = ["webpage_id"]
+    if hot:
+        keys.append("__salt")
+        raw, pages = raw.withColumn("__salt", skew.salt(hot, "webpage_id", [part_by])), skew.repeated(pages, hot, "webpage_id")
+    each = ["field"] if len(fields) > 1 else []
+    latest = raw.repartition(*keys).groupBy(*keys, *each, "word_id", *added).agg(F.max(F.struct(*cols)).alias("v"))
+    field_of = F.col("field") if each else F.lit(fields[0]).alias("field")
+    live = latest.select(*keys, field_of, "word_id", *added, *[F.col(f"v.{c}").alias(c) for c in cols[1:]]).filter("frequency > 0")
+    return ByPage(live.join(pages.hint("shuffle_hash"), keys, "left_semi"), keys)

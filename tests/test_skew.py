@@ -111,3 +111,38 @@ def test_extra_columns_with_clashing_names_survive(spark):
     d = spark.createDataFrame([(1, 5, "a"), (1, 4, "b")], "k long, o long, n_rows string")
     got = {(r.k, r.o, r.n_rows, r.position) for r in skew.range_rank(d, ["k"], ["o"]).collect()}
     assert got == {(1, 4, "b", 1), (1, 5, "a", 2)}
+
+
+def test_range_rank_splits_ties(spark):
+    """One key, nine tenths of the values missing: no task gets more than twice the mean, and ranks are carried over the borders."""
+    n = 200_000
+    d = spark.range(n).select(F.lit(1).alias("k"), F.col("id"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).alias("v"))
+    got = skew.range_rank(d, ["k"], ["v"], n=8).cache()
+    parts = [r.c for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("c")).collect()]
+    nulls = n - n // 10
+    assert got.count() == n and got.select("position").distinct().count() == n and got.agg(F.max("position")).first()[0] == n
+    assert {r[0] for r in got.filter("v is null").select("rank").distinct().collect()} == {1}
+    assert got.filter(f"v is not null and rank <> {nulls} + v / 10 + 1").count() == 0
+    local = d.withColumn("__split", F.xxhash64("k", "id", "v")).repartitionByRange(8, "k", "v", "__split")
+    sizes = [r.c for r in local.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert max(sizes) < 2 * n / 8 and len(parts) >= 1
+
+
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_range_rank_of_long_ties_nan_and_several_keys(spark, n):
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 1, 1, 2]), r.choice([None, None, float("nan"), 0.0, -0.0, 1.5]), i) for i in range(900)]
+    d = spark.createDataFrame(rows, "k long, v double, i long").repartition(3)
+    at = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    seen = defaultdict(list)
+    for x in skew.range_rank(d, ["k"], ["v"], n=n).collect():
+        own = [at(v) for k, v, _ in rows if k == x.k]
+        assert x["rank"] == sum(o < at(x.v) for o in own) + 1
+        seen[x.k].append(x.position)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in seen.values())
+
+
+def test_salts_follow_the_share(spark):
+    d = spark.createDataFrame([(1,)] * 600 + [(2,)] * 300 + [(i,) for i in range(10, 110)], "k long")
+    hot = skew.hot_keys(d, "k", 1 / 20)
+    assert list(hot) == [1, 2] and hot.salts[1] >= hot.salts[2] >= 2

@@ -130,3 +130,52 @@ def test_crawl_follows_a_long_chain(spark):
     seed = spark.createDataFrame([(0,)], "page_id long")
     assert {(r.page_id, r.depth) for r in crawl.frontier(links, seed, 1000).collect()} == {(i, i) for i in range(56)}
     assert crawl.frontier(links, seed, 1000, max_depth=2).count() == 3
+
+
+def test_scratch_tables_last_as_long_as_their_block(spark):
+    import os
+
+    from spindrift.session import drop_materialized, materialize, scratch, shared_dir
+
+    drop_materialized()
+    outer = materialize(spark.range(3).toDF("x"), "outer")
+    with scratch():
+        inner = materialize(spark.range(4).toDF("x"), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3 and not [f for f in os.listdir(shared_dir(spark)) if "-inner-" in f]
+    assert drop_materialized() == 1
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    import pytest
+
+    from spindrift import session
+
+    class Spark:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Spark)
+
+
+def test_built_once_is_built_again_only_for_other_data(spark, tmp_path):
+    from spindrift.session import built_once
+
+    made = []
+
+    def build(path: str) -> None:
+        made.append(path)
+        spark.range(2).write.parquet(f"{path}/t")
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a").write_text("1")
+    first = built_once(spark, str(src), "try", build)
+    assert built_once(spark, str(src), "try", build) == first and len(made) == 1
+    (src / "a").write_text("12")
+    assert built_once(spark, str(src), "try", build) != first and len(made) == 2
