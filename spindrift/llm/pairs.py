@@ -11,8 +11,7 @@ Only these small baskets are opened for a; they yield candidates, whose exact
 counts come from the remaining baskets.  A basket is never paired with itself:
 one with very many items is opened for the few items that have nothing smaller.
 Items in fewer than ``min_count`` baskets, or in more than ``max_share`` of all,
-can't be in a result and are left out first (of the latter there are at most
-rows / (max_share * N), a bounded list).
+can't be in a result and are left out first.
 
 Null.  P(item i in basket p) = x_i y_p / (1 + x_i y_p), with x and y fitted so
 that every item's frequency and every basket's size are met on average (fitted
@@ -129,51 +128,57 @@ def _mills(w: "np.ndarray") -> "np.ndarray":
     return np.where(w < 3, small, 1 / (w + t))
 
 
-def eligible(rows: DataFrame, n_baskets: int, min_count: int, max_share: tuple[int, int]) -> DataFrame:
-    """(item, n) of the items in at least ``min_count`` and at most ``max_share`` of all baskets; rows distinct in (basket, item)."""
+def item_counts(rows: DataFrame) -> DataFrame:
+    """(item, n), written; rows distinct in (basket, item)."""
+    return materialize(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "pairs-items")
+
+
+def eligible(counts: DataFrame, n_baskets: int, min_count: int, max_share: tuple[int, int]) -> DataFrame:
+    """(item, n) of the items in at least ``min_count`` and at most ``max_share`` of all baskets."""
     num, den = max_share
-    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter((F.col("n") >= min_count) & (F.col("n") * den <= F.lit(n_baskets * num)))
 
 
-def pair_counts(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), min_shared: int | None = None) -> DataFrame:
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``size`` of their baskets, which orders baskets; large baskets are spread over several tasks."""
+    if "size" in rows.columns:
+        return rows.select("basket", "item", "size")
+    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
+    return skew.salted_join(rows.select("basket", "item"), sizes, "basket", hot=skew.hot_keys(rows, "basket"), spread=["item"])
+
+
+def pair_counts(
+    rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), min_shared: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """(word1_id, word2_id, n1, n2, n12), word1_id < word2_id, of all pairs with n12 >= min_count and n12 >= share * min(n1, n2).
 
     ``min_shared`` is the least n12 where it isn't the items' ``min_count``.  With a share of 0 every basket is opened.
-    ``rows`` (basket, item) must be distinct and stable (a written table).
+    ``rows`` (basket, item, and size if known) must be distinct and stable (a written table).
     """
     num, den = share
     least = min_count if min_shared is None else min_shared
-    n_items = eligible(rows, n_baskets, min_count, max_share)
-    too_common = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * max_share[1] > F.lit(n_baskets * max_share[0])).select("item")
-    kept = rows.join(F.broadcast(too_common), "item", "left_anti")  # bounded: see the module's docstring
-    kept = skew.lookup_join(kept, n_items, "item", spread=["basket"])
-    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    kept = skew.salted_join(kept, sizes, "basket", hot=skew.hot_keys(rows, "basket"), spread=["item"])
-    kept = materialize(kept.select("basket", "item", "n", "size"), "pairs-rows")
-
+    counts = item_counts(rows) if counts is None else counts
+    # the joins below spread large baskets, and items with many candidates, over several tasks
+    sized = _sized(rows)
+    kept = skew.lookup_join(sized, eligible(counts, n_baskets, min_count, max_share), "item", hot_in=rows, spread=["basket"])
     need = F.ceil(F.col("n") * num / F.lit(den))
     t = F.ceil(F.col("n") / F.lit(4))
-    ranked = skew.range_rank(kept, ["item"], ["size", "basket"], label="pairs-order")
-    ranked = ranked.withColumn("opens", F.least(F.col("n"), F.col("n") - need + t))
-    opened = ranked.filter(F.col("position") <= F.col("opens")).select(F.col("item").alias("a"), F.col("n").alias("na"), "basket")
-    other = kept.select(F.col("item").alias("b"), F.col("n").alias("nb"), "basket")
+    ranked = skew.range_rank(kept.select("basket", "item", "n", "size"), ["item"], ["size", "basket"], label="pairs-order")
+    ranked = materialize(ranked.select("basket", "item", "n", (F.col("position") <= F.least(F.col("n"), F.col("n") - need + t)).alias("opens")), "pairs-rows")
+    hot = skew.hot_keys(ranked, "basket")
+    opened = ranked.filter("opens").select(F.col("item").alias("a"), F.col("n").alias("na"), "basket")
+    other = ranked.select(F.col("item").alias("b"), F.col("n").alias("nb"), "basket")
     rarer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    found = opened.join(other, "basket").filter(rarer).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    found = skew.salted_join(opened, other, "basket", hot=hot, spread=["a"]).filter(rarer).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     needs = F.ceil(F.col("na") * num / F.lit(den))
     opens = F.least(F.col("na"), F.col("na") - needs + F.ceil(F.col("na") / F.lit(4)))
     # what the unopened baskets can add at most
     found = found.filter(F.col("c") + F.col("na") - opens >= F.greatest(needs, F.lit(least)))
     candidates = materialize(found, "pairs-candidates")
     # the baskets of a beyond the opened ones, for the candidates that have any
-    closed = ranked.filter(F.col("position") > F.col("opens")).select(F.col("item").alias("a"), "basket")
-    more = (
-        candidates.select("a", "b")
-        .join(closed, "a")
-        .join(kept.select(F.col("item").alias("b"), "basket"), ["b", "basket"], "left_semi")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("d"))
-    )
+    closed = ranked.filter("not opens").select(F.col("item").alias("a"), "basket")
+    shared = skew.salted_join(candidates.filter(F.col("na") > opens).select("a", "b"), closed, "a", hot=skew.hot_keys(candidates, "a"), spread=["b"])
+    more = shared.join(ranked.select(F.col("item").alias("b"), "basket"), ["b", "basket"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("d"))
     exact = candidates.join(more, ["a", "b"], "left").withColumn("n12", F.col("c") + F.coalesce("d", F.lit(0).cast("long")))
     exact = exact.filter((F.col("n12") >= least) & (F.col("n12") * den >= F.col("na") * num))
     swap = F.col("a") > F.col("b")
@@ -221,19 +226,25 @@ def false_discovery_cut(scored: DataFrame, n_tests: int, rate: float = 0.05, ste
     return cut
 
 
-def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int], min_shared: int | None = None) -> DataFrame:
-    item_degrees = degree_histogram(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "n")
+def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int], min_shared: int | None, counts: DataFrame) -> DataFrame:
+    item_degrees = degree_histogram(counts, "n")
     basket_degrees = degree_histogram(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("n")), "n")
-    return surprise(pair_counts(rows, n_baskets, min_count, share, max_share, min_shared), item_degrees, basket_degrees)
+    return surprise(pair_counts(rows, n_baskets, min_count, share, max_share, min_shared, counts), item_degrees, basket_degrees)
 
 
 def _stable(rows: DataFrame) -> DataFrame:
-    return materialize(rows.filter("basket is not null and item is not null").distinct(), "pairs-input")
+    if "size" in rows.columns:
+        return materialize(rows, "pairs-input")
+    return materialize(rows.filter("basket is not null and item is not null").select("basket", "item").distinct(), "pairs-input")
 
 
 def co_occurrence(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5)) -> DataFrame:
-    """(word1_id, word2_id, n1, n2, n12, expected, log10_p): :func:`pair_counts` and :func:`surprise` of (basket, item) ``rows``."""
-    return _scored(_stable(rows), n_baskets, min_count, share, max_share)
+    """(word1_id, word2_id, n1, n2, n12, expected, log10_p): :func:`pair_counts` and :func:`surprise` of (basket, item) ``rows``.
+
+    Rows that carry the ``size`` of their basket (which only orders the baskets) are taken to be distinct and without nulls.
+    """
+    kept = _stable(rows)
+    return _scored(kept, n_baskets, min_count, share, max_share, None, item_counts(kept))
 
 
 def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), rate: float = 0.05, min_shared: int | None = None) -> DataFrame:
@@ -243,6 +254,7 @@ def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tupl
     whole only with a share of 0 and ``min_shared`` 1 (pairs without a shared basket have p = 1).
     """
     kept = _stable(rows)
-    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share, min_shared), "pairs-scored")
-    v = eligible(kept, n_baskets, min_count, max_share).count()
+    counts = item_counts(kept)
+    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share, min_shared, counts), "pairs-scored")
+    v = eligible(counts, n_baskets, min_count, max_share).count()
     return scored.withColumn("significant", F.col("log10_p") <= false_discovery_cut(scored, v * (v - 1) // 2, rate))

@@ -4,54 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift import skew
 from spindrift.llm import distinct, encode, frequency, leximin, packing, pairs, residue, terms, topn
 from spindrift.session import broadcast_if_small, materialize
-from spindrift.tables import act_pages, live_postings, on_act_pages, table
+from spindrift.tables import act_pages, act_postings_by_page, live_postings, table
 
 
-def _term_postings(spark: SparkSession, d: str, index: str, only: DataFrame | None = None) -> DataFrame:
-    """(webpage_id, term, frequency) of live postings, word ids replaced by the id that stands for their term."""
-    raw = table(spark, d, index)
-    if only is not None:
-        side, small = broadcast_if_small(only)
-        raw = raw.join(side, "webpage_id", "left_semi") if small else skew.salted_join(raw, only, "webpage_id", "left_semi", skew.hot_keys(raw, "webpage_id"), ["word_id"])
-    live = live_postings(raw)
-    other = terms.variants(table(spark, d, "keyword"))
-    named = skew.lookup_join(live, other, "word_id", "left", hot_in=raw, spread=["webpage_id"])
-    return named.select("webpage_id", F.coalesce("term_id", "word_id").alias("term"), "frequency")
+def _act(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(webpage_id) of the act pages, written, and their number."""
+    act = materialize(act_pages(table(spark, d, "webpage")), "act")
+    return act, act.count()
 
 
-def _act_terms(spark: SparkSession, d: str, index: str) -> DataFrame:
-    """(record, term, frequency) over act pages, one row per page and term."""
-    postings = _term_postings(spark, d, index)
-    on_act = on_act_pages(postings, act_pages(table(spark, d, "webpage")), table(spark, d, index), part_by="term")
-    return distinct.per_record(on_act.withColumnRenamed("webpage_id", "record"))
+def _act_terms(spark: SparkSession, d: str, field: str, act: DataFrame, variants: DataFrame) -> DataFrame:
+    """(record, term, frequency) over act pages, written: one row per page and term, a term's spellings added up.
 
+    The words are replaced by their terms before the one shuffle of the raw rows, so a page's spellings meet in it.
+    """
+    raw = table(spark, d, f"{field}_index")
 
-def _n_act(spark: SparkSession, d: str) -> int:
-    return act_pages(table(spark, d, "webpage")).count()
+    def named(rows: DataFrame) -> DataFrame:
+        known = skew.lookup_join(rows, variants, "word_id", "left", hot_in=raw, spread=["webpage_id"])
+        return known.withColumn("term", F.coalesce("term_id", "word_id")).drop("term_id")
+
+    lying = act_postings_by_page(spark, d, (field,), act=act, rename=named, part_by="term")
+    sums = lying.rows.groupBy(*lying.keys, "term").agg(F.sum("frequency").alias("frequency"))
+    return materialize(sums.select(F.col("webpage_id").alias("record"), "term", "frequency"), f"terms-{field}")
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(terms.variants(table(spark, d, "keyword")), "variants")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """For each probe page the one term of its body with the highest score against all act pages (ties: the smaller id)."""
-    probes = table(spark, d, "probe_page").select("webpage_id").filter("webpage_id is not null").distinct()
-    asked = distinct.per_record(_term_postings(spark, d, "body_index", probes).withColumnRenamed("webpage_id", "record"))
-    df = distinct.document_frequency(_act_terms(spark, d, "body_index"))
-    scored = distinct.distinctiveness(asked, df, _n_act(spark, d))
+    act, n = _act(spark, d)
+    rows = _act_terms(spark, d, "body", act, _variants(spark, d))
+    probes = table(spark, d, "probe_page").select(F.col("webpage_id").alias("record")).filter("record is not null").distinct()
+    side, small = broadcast_if_small(probes)
+    asked = rows.join(side, "record", "left_semi") if small else skew.salted_join(rows, probes, "record", "left_semi", skew.hot_keys(rows, "record"), ["term"])
+    scored = distinct.distinctiveness(materialize(asked, "asked"), distinct.document_frequency(rows), n)
     best = topn.top_n(scored.select("record", "term", "score"), ["record"], [("score", "desc"), ("term", "asc")], 1)
     return best.select(F.col("record").alias("webpage_id"), F.col("term").alias("word_id"))
 
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every term of every act page, body and title apart, with its score."""
-    n = _n_act(spark, d)
+    act, n = _act(spark, d)
+    variants = _variants(spark, d)
     out = []
     for field in ("body", "title"):
-        rows = materialize(_act_terms(spark, d, f"{field}_index"), f"terms-{field}")
+        rows = _act_terms(spark, d, field, act, variants)
         scored = distinct.distinctiveness(rows, distinct.document_frequency(rows), n)
         out.append(scored.select(F.lit(field).alias("field"), F.col("record").alias("webpage_id"), F.col("term").alias("word_id"), "frequency", "df", F.round("score", 9).alias("score")))
     return out[0].unionByName(out[1])
@@ -70,10 +76,11 @@ def _asked_items(spark: SparkSession, d: str) -> DataFrame:
         return live.select("webpage_id", "word_id", (F.col("normalized_tf") if name == "body" else null).alias("body_tf"), (F.col("normalized_tf") if name == "title" else null).alias("title_tf"))
 
     both = field("body").unionByName(field("title")).groupBy("webpage_id", "word_id").agg(F.max("body_tf").alias("body_tf"), F.max("title_tf").alias("title_tf"))
+    both = materialize(both, "asked")
     pages = act_pages(table(spark, d, "webpage"), "pagerank")
-    on_act = skew.salted_join(both, pages, "webpage_id", hot=skew.hot_keys(table(spark, d, "body_index"), "webpage_id"), spread=["word_id"])
+    on_act = skew.salted_join(both, pages, "webpage_id", hot=skew.hot_keys(both, "webpage_id"), spread=["word_id"])
     queries, few = broadcast_if_small(asked)
-    joined = on_act.join(queries, "word_id") if few else skew.salted_join(on_act, asked, "word_id", hot=skew.hot_keys(table(spark, d, "body_index"), "word_id"), spread=["webpage_id"])
+    joined = on_act.join(queries, "word_id") if few else skew.salted_join(on_act, asked, "word_id", hot=skew.hot_keys(both, "word_id"), spread=["webpage_id"])
     return joined.select("query_id", "webpage_id", "pagerank", "body_tf", "title_tf")
 
 
@@ -93,17 +100,25 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """For each act page its five live body postings of highest frequency (ties: the smaller word_id)."""
-    best = topn.top_n(live_postings(table(spark, d, "body_index")), ["webpage_id"], [("frequency", "desc"), ("word_id", "asc")], 5)
-    # five rows a page are left, so the join with the act pages has no large key
-    return best.join(act_pages(table(spark, d, "webpage")).hint("shuffle_hash"), "webpage_id", "left_semi").select("webpage_id", "word_id")
+    """For each act page its five live body postings of highest frequency (ties: the smaller word_id).
+
+    The rows lie by page when the heaps are formed, so a page's heap leaves its task with five rows.
+    """
+    lying = act_postings_by_page(spark, d, ("body",))
+    best = topn.top_n(lying.rows.select("webpage_id", "word_id", "frequency"), ["webpage_id"], [("frequency", "desc"), ("word_id", "asc")], 5)
+    return best.select("webpage_id", "word_id")
+
+
+def _n_act(spark: SparkSession, d: str) -> int:
+    return act_pages(table(spark, d, "webpage")).count()
 
 
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    """(basket, item): the words live in body or title of each act page; a word of both comes twice."""
-    fields = [live_postings(table(spark, d, f"{f}_index")).select("webpage_id", "word_id") for f in ("body", "title")]
-    on_act = on_act_pages(fields[0].unionByName(fields[1]), act_pages(table(spark, d, "webpage")), table(spark, d, "body_index"))
-    return on_act.select(F.col("webpage_id").alias("basket"), F.col("word_id").alias("item"))
+    """(basket, item, size): the distinct words live in body or title of each act page; ``size`` orders the pages by their words (of a page in several tasks, one task's share)."""
+    lying = act_postings_by_page(spark, d)
+    words = lying.rows.groupBy(*lying.keys, "word_id").agg(F.count(F.lit(1)).alias("fields"))
+    sized = words.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*lying.keys)))
+    return sized.select(F.col("webpage_id").alias("basket"), F.col("word_id").alias("item"), "size")
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -113,26 +128,23 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The operator's pairs, of which an exact check keeps those of the stated counts: the fitted null judges words of large pages otherwise than n1 * n2 / N does."""
     n = _n_act(spark, d)
     found = pairs.co_occurrence(_baskets(spark, d), n, min_count=7, share=(3, 4), max_share=(1, 5))
     return found.filter(F.col("n12") * n >= F.col("n1") * F.col("n2") * 5).select("word1_id", "word2_id")
 
 
-def _term_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences and act pages of every term: spellings are encoded as their term's id, then a page's spellings are added up."""
-    raw = table(spark, d, "body_index")
+def _term_frequencies(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Occurrences and act pages of every term, and the number of act pages."""
+    act, n = _act(spark, d)
     spelled = materialize(terms.spellings(table(spark, d, "keyword")), "spellings")
-    ids = frequency.dictionary(spelled.select(F.col("term_id").alias("term")))
-    by_word = spelled.join(ids, spelled.term_id == ids.term).select("word_id", "id")
-    encoded = skew.salted_join(live_postings(raw), by_word, "word_id", hot=skew.hot_keys(raw, "word_id"), spread=["webpage_id"])
-    on_act = on_act_pages(encoded.select("webpage_id", "id", "frequency"), act_pages(table(spark, d, "webpage")), raw, part_by="id")
-    pairs = distinct.per_record(on_act.select(F.col("webpage_id").alias("record"), F.col("id").alias("term"), "frequency"))
-    return frequency.with_counts(ids, frequency.count_arrays(pairs.select(F.col("term").alias("id"), "frequency")))
+    rows = _act_terms(spark, d, "body", act, spelled.filter("word_id <> term_id"))
+    return frequency.frequencies(rows, spelled.select(F.col("term_id").alias("term"))), n
 
 
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and act pages of every term, with its mark (null: useful)."""
-    m = frequency.marks(_term_frequencies(spark, d), _n_act(spark, d))
+    m = frequency.marks(*_term_frequencies(spark, d))
     return m.select(F.col("term").alias("word_id"), "occurrences", "records", "mark")
 
 

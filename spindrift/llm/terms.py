@@ -40,5 +40,5 @@ def spellings(keyword: DataFrame) -> DataFrame:
 
 
 def variants(keyword: DataFrame) -> DataFrame:
-    """The rows of :func:`spellings` whose word is not itself the one that stands for its term."""
+    """The rows of :func:`spellings` whose word is not the one that stands for its term."""
     return spellings(keyword).filter("word_id <> term_id")

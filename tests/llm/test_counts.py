@@ -129,3 +129,50 @@ def test_p4_pairs_has_every_pair_of_supported_words(spark, monkeypatch):
     want = {(i, j): (len(of[i]), len(of[j]), len(of[i] & of[j])) for i in of for j in of if i < j and of[i] & of[j]}
     assert {k: (r.n1, r.n2, r.n12) for k, r in got.items()} == want
     assert got[9001, 9002].n12 == 10 and got[9001, 9003].n12 == 20
+
+
+def _upper_tail(k: int, q: list) -> float:
+    """P(X >= k) of a sum of independent Bernoulli variables, term by term."""
+    p = [1.0]
+    for x in q:
+        p = [(p[i] if i < len(p) else 0) * (1 - x) + (p[i - 1] * x if i else 0) for i in range(len(p) + 1)]
+    return sum(p[k:])
+
+
+def test_p4_pairs_against_term_by_term_tails_and_step_up(spark, small):
+    """Every pair of words on 7 act pages or more: exact counts, exact Poisson-binomial tails, and the step-up rule over all tests."""
+    import math
+    from collections import Counter
+    from itertools import combinations
+
+    from spindrift.llm import pairs, queries
+
+    base = [(r.basket, r.item) for r in queries._baskets(spark, small).collect()]
+    by, n_of, size = {}, Counter(), Counter()
+    for b, i in base:
+        by.setdefault(b, set()).add(i)
+        n_of[i] += 1
+        size[b] += 1
+    kept = {i for i, n in n_of.items() if n >= 7}
+    both = Counter(p for words in by.values() for p in combinations(sorted(words & kept), 2))
+    degree, x, y, m = pairs.fit_null(sorted(Counter(n_of.values()).items()), sorted(Counter(size.values()).items()))
+    xs = {int(d): v for d, v in zip(degree, x)}
+    got = {(r.word1_id, r.word2_id): r for r in queries.p4_pairs(spark, small).collect()}
+    assert {k: r.n12 for k, r in got.items()} == dict(both) and len(both) > 1000
+    # the tails of a spread of pairs, the most and the least surprising among them
+    order = sorted(got, key=lambda k: got[k].log10_p)
+    for k in order[:60] + order[:: max(1, len(order) // 200)]:
+        r = got[k]
+        q = [u * v for u, v in zip(*[[xs[n] * yy / (1 + xs[n] * yy) for yy, c in zip(y, m) for _ in range(int(c))] for n in (r.n1, r.n2)])]
+        assert r.expected == pytest.approx(sum(q), rel=1e-4, abs=1e-6)
+        exact = math.log10(max(_upper_tail(r.n12, q), 1e-300))
+        if r.n12 > sum(q) + 0.5:
+            assert r.log10_p == pytest.approx(exact, abs=0.06 + 0.02 * abs(exact))
+        else:
+            assert exact > math.log10(0.2)
+    tests = len(kept) * (len(kept) - 1) // 2
+    cut = max([p for i, p in enumerate(sorted(r.log10_p for r in got.values()), 1) if p <= math.log10(0.05 * i / tests)], default=-math.inf)
+    # the operator counts on a grid of a hundredth, rounded so that it is never too generous
+    for r in got.values():
+        assert not r.significant or r.log10_p <= cut
+        assert r.significant or r.log10_p > cut - 0.02
