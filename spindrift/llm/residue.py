@@ -106,18 +106,16 @@ _FENCE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
 _QUOTED = re.compile(r"„[^“”\n]+[“”]|“[^”\n]+”|(?<![^\s(\[—–-])\"(?=\S)[^\"\n]*(?<=\S)\"(?!\w)|「[^」\n]+」|‘[^’\n]+’")
 _PAIRED_TAG = re.compile(r"<\s*([a-z][a-z0-9]*)\b[^>]*>(.*?)<\s*/\s*\1\s*>", re.S)
 _BLANKS = re.compile(r"[ \t\xa0]{2,}")
-_MARKS = re.compile(r"[{}\[\]<>%@$«(#*]")
-_NOTE_WORDS = ("__", " here", "tbd", "tbc", "tba", "todo", "to do", "to-do", "fixme", "add your", "for this ", "from the editor", " hier", " ici", " aquí", "здесь", "在此", "请", "ここに")
+#: Strings of which a strong, a weak slot, a marked note and a note in words have at least one.
+_STRONG_MARKS = ("{{", "${", "#{", "{$", "{!", "%%", "@@", "##", "<%", "{%", "[[", "*|")
+_WEAK_MARKS = ("[", "<", "{", "«", "$", "%", "__")
+_NOTE_MARKS = ("[", "<", "(ins", "( ins", "(hier", "(aqu", "( aqu")
+_NOTE_WORDS = (" here", "tbd", "tbc", "tba", "todo", "to do", "to-do", "fixme", "add your", "for this ", "from the editor", " hier", " ici", " aquí", "здесь", "在此", "请", "ここに")
 _BLOCK_TAG = re.compile(r"\{%-?\s*(\w+)[^%]*%\}")
 _LISTED_TAGS = re.compile(r"(?:<([a-z][a-z0-9]*)[^>\n]*>[^<\n]*</\s*\1\s*>\s*)+$")
 _OPENS = frozenset("for if block macro while each unless raw with comment".split())
 
 
-def _may_have_slot(t: str) -> bool:
-    """Cheap: whether any mark or note word occurs at all."""
-    return _MARKS.search(t) is not None or any(w in t for w in _NOTE_WORDS)
-
-
 def _without_blocks(t: str) -> str:
     """``t`` without template blocks ({% for ... %} to {% endfor %}) and the tags listed right before them; one pass, blocks of any length."""
     out, at, open_at, depth = [], 0, 0, []
@@ -147,24 +145,28 @@ def _is_slot_name(name: str, names: set = _SLOT_NAMES) -> bool:
 
 def has_slot(canonical: str) -> bool:
     """Whether a canonical text has an unfilled slot or an editor's note outside quotations and code."""
-    if not _may_have_slot(canonical):
+    strong, weak, marked, noted = (any(x in canonical for x in marks) for marks in (_STRONG_MARKS, _WEAK_MARKS, _NOTE_MARKS, _NOTE_WORDS))
+    if not (strong or weak or marked or noted):
         return False
     t = _without_blocks(canonical) if "{%" in canonical else canonical
     t = _FENCE.sub(" ", t) if "`" in t else t
     t = _BLANKS.sub(" ", t)
     t = _QUOTED.sub(" ", t)
-    for m in _STRONG_SLOT.finditer(t):
-        name = next(g for g in m.groups() if g)
-        if not (m.group().startswith("{%") and _CONTROL.match(name)) and not _MENTIONS.search(t, max(0, m.start() - 24), m.start()):
-            return True
-    if _NOTE_MARKED.search(t) or any(w in t and note.search(t) for w, note in _NOTES):
+    if strong:
+        for m in _STRONG_SLOT.finditer(t):
+            name = next(g for g in m.groups() if g)
+            if not (m.group().startswith("{%") and _CONTROL.match(name)) and not _MENTIONS.search(t, max(0, m.start() - 24), m.start()):
+                return True
+    if marked and _NOTE_MARKED.search(t) or noted and any(w in t and note.search(t) for w, note in _NOTES):
         return True
-    if any(w in t for w in _NOTE_WORDS[1:]):
+    if noted:
         for m in _PUT.finditer(t):
             if _is_slot_name(next(g for g in m.groups() if g)):
                 return True
         if not t.isascii() and _CJK_PUT.search(t):
             return True
+    if not weak:
+        return False
     if "<" in t and "</" in t:
         t = _PAIRED_TAG.sub(r" \2 ", _PAIRED_TAG.sub(r" \2 ", t))
     for m in _WEAK_SLOT.finditer(t):
@@ -173,7 +175,7 @@ def has_slot(canonical: str) -> bool:
             return True
     if "$" in t and any(m.group(1).replace("_", "") in _COMPOUND for m in _LONE_SLOT.finditer(t)):
         return True
-    return len({m.group() for m in _NUMBERED.finditer(t)}) > 1
+    return "{" in t and len({m.group() for m in _NUMBERED.finditer(t)}) > 1
 
 
 # ---------------------------------------------------------------- sentences
@@ -191,12 +193,13 @@ _TAG = re.compile(r"</?\s*[a-z][a-z0-9]*(?:\s[^<>]*)?/?>")
 #: Names of code in a line of a trace: dotted, underscored, called.
 _CODE_NAME = re.compile(r"[^\W\d][\w$]*(?:(?:\.|::|->|\\)[\w$<>]+)+(?:\([^()\n]*\))?|\w+_\w+(?:\([^()\n]*\))?|[^\W\d]\w*\([^()\n]*\)")
 _CODE_MARK = re.compile(r"[_(\\]|::|->|^\s*at\s|\w\.\w+\.\w")
+_QUOTE_MARK = re.compile("[\"'`„“「‘]")
 _SINGLE_QUOTED = re.compile(r"(?<![\w’'])'[^'\n]+'(?!\w)")
 _NAV = re.compile(r"(?:home|news|sitemap|search|login|logout|signin|signup|register|contact|contactus|page|menu|about|aboutus|imprint|impressum|privacy|terms|help|faq|blog|shop|archive|index|next|previous|back|top|startseite|kontakt|suche|accueil|recherche|inicio|buscar|contacto|главная|поиск|контакты|首页|搜索|ホーム|検索)+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
-#: Where masking takes letters away, not digits alone.
-_LETTERED = re.compile(r"[a-f]\d|\d[a-f]|[/@]|www\.|\.(?:example|com|org|net|html?|php|py|java)\b|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d\d")
+#: Digits with which masking takes letters away.
+_LETTERED = re.compile(r"[a-f]\d|\d[a-f]|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d\d")
 
 
 def _canonical(text: str) -> str:
@@ -216,6 +219,11 @@ def _mask(line: str) -> str:
     return _NUMBER.sub(" ", line) if _DIGIT.search(line) else line
 
 
+def _masks_letters(line: str) -> bool:
+    """Whether masking takes away more than digits."""
+    return "/" in line or "@" in line or "www." in line or "." in line and _HOST_END.search(line) is not None or _DIGIT.search(line) is not None and _LETTERED.search(line) is not None
+
+
 def _letters(s: str) -> str:
     if s.isascii():
         return s.encode().translate(None, _NO_LETTERS).decode()
@@ -264,7 +272,7 @@ def _body(canonical: str) -> list[tuple[str, str]]:
         line = _TAG.sub(" ", raw) if "<" in raw else raw
         if "©" in line and line.lstrip().startswith("©") and len(line.split()) <= HEADING_WORDS + 2:
             continue
-        flat = _letters(_mask(line) if _LETTERED.search(line) else line)
+        flat = _letters(_mask(line) if _masks_letters(line) else line)
         if flat and not _NAV.fullmatch(flat):
             out.append((line, flat))
     return out
@@ -275,16 +283,26 @@ def _code_name(m: re.Match) -> str:
     return " exception " if re.search(r"(?:exception|error)\b", m.group()) else " "
 
 
+def _pieces(line: str) -> Iterator[str]:
+    """The sentences of a line, masked; lazily, and from the first quotation mark on without quotations and code."""
+    at = 0
+    for m in _SENTENCE.finditer(line):
+        if _QUOTE_MARK.search(line, at, m.start()):
+            break
+        if m.start() > at:
+            yield line[at : m.start()]
+        at = m.end()
+    rest = line[at:]
+    if _QUOTE_MARK.search(rest):
+        rest = _FENCE.sub(" ", _SINGLE_QUOTED.sub(" ", _QUOTED.sub(" ", rest)))
+    yield from _sentences(rest)
+
+
 def _units(line: str, place: int) -> Iterator[Unit]:
-    bare = _QUOTED.sub(" ", line)
-    if "'" in bare:
-        bare = _SINGLE_QUOTED.sub(" ", bare)
-    if "`" in bare:
-        bare = _FENCE.sub(" ", bare)
-    if _CODE_MARK.search(bare):
-        bare = _CODE_NAME.sub(_code_name, _mask(bare))
-    for piece in _sentences(bare):
+    for piece in _pieces(line):
         sentence = _mask(piece)
+        if _CODE_MARK.search(sentence):
+            sentence = _CODE_NAME.sub(_code_name, sentence)
         flat = _letters(sentence)
         if not flat or _NAV.fullmatch(flat):
             continue

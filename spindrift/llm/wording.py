@@ -277,9 +277,13 @@ _ONE = (
 )
 
 
+_ANY_ONE = re.compile("java script|client[ -]side|ti(?:m(?:ed?|es|ing))[ -]out|(?:r[ua]n|runs|logged|signed) out|no (?:longer|more)|['’]")
+
+
 def tokens(sentence: str) -> list[str]:
-    for pattern, word in _ONE:
-        sentence = pattern.sub(word, sentence)
+    if _ANY_ONE.search(sentence):
+        for pattern, word in _ONE:
+            sentence = pattern.sub(word, sentence)
     return _TOKEN.findall(sentence)
 
 
