@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.functions.porter import stem
+
 #: English function words.  A parameter everywhere; ``load_stopwords`` reads another list from a file.
 STOPWORDS = tuple(
     """a about above after again against all am an and any are as at be because been before being below between both but by can could did do does
@@ -21,6 +23,15 @@ not of off on once only or other our ours out over own same she should so some s
 those through to too under until up very was we were what when where which while who whom why will with would you your yours""".split()
 )
 
+#: Words that part phrases: fixed values, the English stop list that the usual keyword extractor takes (words without apostrophes).
+PHRASE_STOPWORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn""".split()
+)
+
 _PUNCT = r"[!-/:-@\[-`{-~]"
 _BLANK = r"[\x09-\x0d ]+"
 _CONTRACTIONS = (("cannot", "can not"), ("gonna", "gon na"), ("gotta", "got ta"), ("gimme", "gim me"), ("lemme", "lem me"), ("wanna", "wan na"))
@@ -62,6 +73,13 @@ def phrases(t: Column, stopwords=STOPWORDS) -> Column:
     return F.filter(runs, lambda r: r.rlike("^[^ ]+( [^ ]+){1,2}$"))
 
 
+def stemmed_phrases(t: Column, stems: Column, stopwords=STOPWORDS, phrase_stopwords=PHRASE_STOPWORDS) -> Column:
+    """Phrases of the stemmed words: runs between ``phrase_stopwords``, of which those count that have two or three words left without ``stopwords``."""
+    marked = F.zip_with(t, stems, lambda w, s: F.when(w.isin(list(phrase_stopwords)), "|").when(w.isin(list(stopwords)), "").otherwise(s))
+    runs = F.transform(F.split(F.array_join(F.filter(marked, lambda x: x != ""), " "), r"\|"), lambda r: F.trim(r))
+    return F.filter(runs, lambda r: r.rlike("^[^ ]+( [^ ]+){1,2}$"))
+
+
 def quoted(c: Column) -> Column:
     """Trimmed non-empty texts in double quotes, in order."""
     found = F.regexp_extract_all(c, F.lit('"(.*?)"'), F.lit(1))
@@ -90,34 +108,44 @@ def substring_probability(part: Column, whole: Column) -> Column:
     return F.when(places > 0, occurrences(whole, part) / places).otherwise(F.lit(0.0))
 
 
-def analyse_query(text: str, stopwords=STOPWORDS) -> tuple[dict[str, int], list[str], set[str]]:
+def with_suggestion(text: Column, word: Column, kind: str) -> Column:
+    """A query with a suggestion applied: ``fuzzy`` replaces its last token, ``similar`` all of it, other kinds are appended."""
+    if kind == "similar":
+        return word
+    kept = F.regexp_replace(text, r"\S+\s*$", "") if kind == "fuzzy" else F.concat(F.rtrim(text), F.lit(" "))
+    return F.concat(F.when(F.trim(text) == "", F.lit("")).otherwise(kept), word)
+
+
+def analyse_query(text: str, stopwords=STOPWORDS, phrase_stopwords=None, stemmed: bool = False) -> tuple[dict[str, int], list[str], set[str]]:
     """(term -> frequency, phrases, words that must be on the page) of one query string, on the driver.
 
     Same chain as :func:`tokens`; a quoted single word is a must, a quoted run of two or three words is a phrase;
-    longer quoted runs are ignored.
+    longer quoted runs are ignored.  ``stemmed`` stems words, phrases and musts, for an index that is.
+    ``phrase_stopwords`` (default: ``stopwords``) part phrases.
     """
-    stop = set(stopwords)
+    root = stem if stemmed else str
+    stop, parting = set(stopwords), set(phrase_stopwords or stopwords)
     t = re.sub(_PUNCT, " ", text or "")
     toks = [w for w in re.sub(_BLANK, " ", t).strip(" ").replace("\u0130", "I").lower().split(" ") if w]
     found: dict[str, int] = {}
     for w in toks:
         if w not in stop:
-            found[w] = found.get(w, 0) + 1
+            found[root(w)] = found.get(root(w), 0) + 1
     runs, run = [], []
     for w in [*toks, None]:
-        if w is None or w in stop:
+        if w is None or w in parting:
             if 2 <= len(run) <= 3:
                 runs.append(" ".join(run))
             run = []
-        else:
-            run.append(w)
+        elif w not in stop:
+            run.append(root(w))
     must = set()
     for q in re.findall(r'"(.*?)"', text or ""):
-        words = [w for w in re.sub(_BLANK, " ", re.sub(_PUNCT, " ", q)).strip(" ").replace("\u0130", "I").lower().split(" ") if w and w not in stop]
+        words = [root(w) for w in re.sub(_BLANK, " ", re.sub(_PUNCT, " ", q)).strip(" ").replace("\u0130", "I").lower().split(" ") if w and w not in stop]
         if len(words) == 1:
             must.add(words[0])
         elif 2 <= len(words) <= 3:
             must.add(" ".join(words))
-            if must and " ".join(words) not in runs:
+            if " ".join(words) not in runs:
                 runs.append(" ".join(words))
     return found, runs, must

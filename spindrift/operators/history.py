@@ -52,6 +52,17 @@ def chosen(df: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(others.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def containing_query(df: DataFrame, needle: Column | str, kind: str, json: str = "json", type_column: str = "type") -> DataFrame:
+    """Rows of that type whose query, as JSON text, holds the needle's JSON text (what tells whether a row is the chosen one)."""
+    return df.filter((F.col(type_column) == kind) & F.contains(F.col(json), needle if isinstance(needle, Column) else F.lit(needle)))
+
+
+def not_containing_query(df: DataFrame, needle: Column | str, kind: str, json: str = "json", type_column: str = "type") -> DataFrame:
+    """The rows that :func:`containing_query` leaves out."""
+    held = (F.col(type_column) == kind) & F.contains(F.col(json), needle if isinstance(needle, Column) else F.lit(needle))
+    return df.filter(~F.coalesce(held, F.lit(False)))
+
+
 def index_of(df: DataFrame, order: Sequence[str], condition: Column) -> int:
     """Zero-based position, in ascending ``order``, of the first row that meets the condition, or -1; any size (range-partitioned)."""
     ranked = range_rank(df.select(*order, condition.alias("__hit")), [], order, label="history")

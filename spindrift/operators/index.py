@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,23 +11,34 @@ from pyspark.sql import functions as F
 from spindrift import skew
 from spindrift.config import DEFAULT, Config
 from spindrift.functions import text as tx
+from spindrift.functions.porter import stem_all
 from spindrift.functions.vector import norms
+from spindrift.session import materialize
 from spindrift.tables import act_postings_by_page, standing_pages, table
 
 
-def text_postings(docs: DataFrame, doc: str, text: str, field: str, with_phrases: bool = False, stopwords: Sequence[str] = tx.STOPWORDS) -> DataFrame:
+def text_postings(
+    docs: DataFrame, doc: str, text: str, field: str, with_phrases: bool = False, stopwords: Sequence[str] = tx.STOPWORDS, stemmed: bool = False, phrase_stopwords: Sequence[str] = tx.PHRASE_STOPWORDS
+) -> DataFrame:
     """(doc, field, term, frequency, normalized_tf) of a text column.
 
-    A phrase's frequency is the smallest of its words' frequencies.  The
-    normalising maximum is taken over the text's words and phrases.  Texts
-    without tokens have no postings.
+    Words are counted without ``stopwords``, by their stems if ``stemmed``.  A
+    phrase's frequency is the smallest of its words' frequencies; with stems,
+    phrases are parted by ``phrase_stopwords``.  The normalising maximum is taken
+    over the text's words and phrases.  Texts without tokens have no postings.
     """
     toks = docs.select(doc, tx.tokens(F.col(text)).alias("t"))
-    words = toks.select(doc, F.explode(tx.without_stopwords(F.col("t"), stopwords)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("frequency"))
+    if stemmed:
+        pairs = toks.select(doc, "t", stem_all(F.col("t")).alias("s"))
+        kept = F.filter(F.zip_with("t", "s", lambda w, s: F.when(~w.isin(list(stopwords)), s)), lambda s: s.isNotNull())
+        both = pairs.select(doc, kept.alias("w"), tx.stemmed_phrases(F.col("t"), F.col("s"), stopwords, phrase_stopwords).alias("p"))
+    else:
+        both = toks.select(doc, tx.without_stopwords(F.col("t"), stopwords).alias("w"), tx.phrases(F.col("t"), stopwords).alias("p"))
+    words = both.select(doc, F.explode("w").alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("frequency"))
     terms = words
     if with_phrases:
-        found = toks.select(doc, F.explode(F.array_distinct(tx.phrases(F.col("t"), stopwords))).alias("phrase"))
-        parts = found.select(doc, "phrase", F.explode(F.split("phrase", " ")).alias("term"))
+        found = both.select(doc, F.explode(F.array_distinct("p")).alias("phrase"))
+        parts = found.select(doc, "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
         counted = parts.join(words, [doc, "term"]).groupBy(doc, "phrase").agg(F.min("frequency").alias("frequency"))
         terms = words.unionByName(counted.withColumnRenamed("phrase", "term"))
     top = F.max("frequency").over(Window.partitionBy(doc))
@@ -89,7 +100,10 @@ def keyword_totals(title: DataFrame, body: DataFrame, keyword: DataFrame) -> Dat
 
 @dataclass
 class SearchIndex:
-    """What queries read: act pages, their live postings, idf, document vectors, norms and top words, the keyword dictionary."""
+    """What queries read: act pages, their live postings, idf, document vectors, norms and top words, the keyword dictionary.
+
+    ``stemmed``: the dictionary's words are stems, so queries are stemmed too.
+    """
 
     pages: DataFrame
     postings: DataFrame
@@ -101,32 +115,71 @@ class SearchIndex:
     norms: DataFrame
     tops: DataFrame
     cfg: Config = DEFAULT
+    stemmed: bool = False
+    #: lowest and highest PageRank of all pages, act or not
+    ranks: tuple[float | None, float | None] | None = None
 
     TABLES = ("pages", "postings", "keyword", "edges", "idf", "vectors", "norms", "tops")
 
     @classmethod
     def of(cls, spark: SparkSession, d: str, cfg: Config = DEFAULT) -> "SearchIndex":
-        """Defined lazily over the tables in ``d``; nothing but the page count is computed here."""
+        """Defined lazily over the tables in ``d``; nothing but the page count and the PageRank extrema is computed here."""
         webpage = table(spark, d, "webpage")
-        pages = standing_pages(webpage).filter(F.col("is_active") & F.col("is_crawled"))
-        posts = act_postings(spark, d)
-        n = pages.count()
+        standing = standing_pages(webpage)
+        pages = standing.filter(F.col("is_active") & F.col("is_crawled"))
+        ends = standing.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"), F.count(F.when(F.col("is_active") & F.col("is_crawled"), 1)).alias("n")).first()
+        return cls._over(pages, act_postings(spark, d), table(spark, d, "keyword"), table(spark, d, "relationship"), ends.n, (ends.lo, ends.hi), cfg, False)
+
+    @classmethod
+    def of_texts(cls, pages: DataFrame, texts: dict[str, DataFrame], edges: DataFrame, cfg: Config = DEFAULT, stemmed: bool = True) -> "SearchIndex":
+        """Built from texts: ``texts`` has, by field, (webpage_id, text); words and phrases are analysed, by default stemmed, and numbered."""
+        terms = None
+        for field, docs in texts.items():
+            own = text_postings(docs, "webpage_id", "text", field, with_phrases=True, stemmed=stemmed)
+            terms = own if terms is None else terms.unionByName(own)
+        terms = materialize(terms, "terms")
+        keyword = materialize(word_dictionary(terms), "keyword")
+        hot = skew.hot_keys(terms, "term")
+        posts = skew.salted_join(terms, keyword.withColumnRenamed("word", "term"), "term", hot=hot, spread=["webpage_id"]).select("webpage_id", "field", "word_id", "frequency", "normalized_tf")
+        ends = pages.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        return cls._over(pages, materialize(posts, "postings"), keyword, edges, ends.n, (ends.lo, ends.hi), cfg, stemmed)
+
+    @classmethod
+    def _over(cls, pages, posts, keyword, edges, n: int, ranks: tuple, cfg: Config, stemmed: bool) -> "SearchIndex":
         idfs = idf(posts, n)
         vectors = document_vectors(posts, idfs, cfg)
-        return cls(pages, posts, table(spark, d, "keyword"), table(spark, d, "relationship"), n, idfs, vectors, norms(vectors, "webpage_id"), top_words(vectors, cfg.max_ranked_words), cfg)
+        return cls(pages, posts, keyword, edges, n, idfs, vectors, norms(vectors, "webpage_id"), top_words(vectors, cfg.max_ranked_words), cfg, stemmed, ranks)
 
     def write(self, path: str) -> None:
-        """Durable form: one Parquet table each; postings and vectors clustered by word, so that a query's words prune row groups."""
-        for name in self.TABLES:
-            df: DataFrame = getattr(self, name)
+        """Durable form: one Parquet table each; postings and vectors clustered by word, so that a query's words prune row groups.
+
+        Each is computed from the tables written before it, so the raw rows are read once.
+        """
+        ix = self
+        for name in ("pages", "postings", "keyword", "edges", "idf", "vectors", "norms", "tops"):
+            if name == "idf":
+                ix = SearchIndex._over(ix.pages, ix.postings, ix.keyword, ix.edges, ix.n_pages, ix.ranks, ix.cfg, ix.stemmed)
+            elif name == "vectors":
+                ix.vectors = document_vectors(ix.postings, ix.idf, ix.cfg)
+            elif name == "norms":
+                ix.norms, ix.tops = norms(ix.vectors, "webpage_id"), top_words(ix.vectors, ix.cfg.max_ranked_words)
+            df: DataFrame = getattr(ix, name)
             if name in ("postings", "vectors"):
                 df = df.repartitionByRange("word_id", "webpage_id").sortWithinPartitions("word_id", "webpage_id")
+            elif name in ("idf", "tops", "norms", "keyword"):
+                df = df.repartitionByRange("webpage_id" if name in ("tops", "norms") else "word_id")
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+            if ix is self:
+                ix = replace(self)
+            setattr(ix, name, df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}"))
+        about = [(self.n_pages, self.stemmed, *(self.ranks or (None, None)))]
+        self.pages.sparkSession.createDataFrame(about, "n_pages long, stemmed boolean, lo double, hi double").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, cfg: Config = DEFAULT) -> "SearchIndex":
         t = {n: spark.read.parquet(f"{path}/{n}") for n in cls.TABLES}
-        return cls(n_pages=t["pages"].count(), cfg=cfg, **t)
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(n_pages=about.n_pages, cfg=cfg, stemmed=about.stemmed, ranks=(about.lo, about.hi), **t)
 
 
 def act_postings(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 For a page with words a and b, each above the field's frequency threshold, the
 pair's value is log10(min(f_a, f_b) * N / (F_a * F_b)): F the words' summed
 frequencies above the threshold, N the summed frequency of all postings.  Pairs
-are formed within a page as a < b; AQE splits a large page's join.
+are formed within a page as a < b; a large page's join is spread over tasks.
 
 ``literal``    one value per (pair, page); the highest counts; kept are the pairs
                whose value is among the five highest distinct values of all.
@@ -27,12 +27,13 @@ def field_pairs(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataF
     own = postings.filter(F.col("field") == field)
     n = own.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("n"))
     # few rows are above the threshold; they are read for the totals and on both sides of the pairs
-    strong = materialize(own.filter(F.col("frequency") > above).select("webpage_id", "word_id", "frequency"), f"strong-{field}")
-    total = strong.groupBy("word_id").agg(F.sum("frequency").alias("F"))
-    strong = skew.lookup_join(strong, total, "word_id", spread=["webpage_id"])
+    frequent = materialize(own.filter(F.col("frequency") > above).select("webpage_id", "word_id", "frequency"), f"strong-{field}")
+    total = frequent.groupBy("word_id").agg(F.sum("frequency").alias("F"))
+    strong = skew.lookup_join(frequent, total, "word_id", spread=["webpage_id"])
     a = strong.select("webpage_id", F.col("word_id").alias("word1_id"), F.col("frequency").alias("freq1"), F.col("F").alias("total1"))
     b = strong.select("webpage_id", F.col("word_id").alias("word2_id"), F.col("frequency").alias("freq2"), F.col("F").alias("total2"))
-    pairs = a.join(b, "webpage_id").filter("word1_id < word2_id")
+    # a page of very many such words is spread: each task pairs some of its words with all others
+    pairs = skew.salted_join(a, b, "webpage_id", hot=skew.hot_keys(frequent, "webpage_id"), spread=["word1_id"]).filter("word1_id < word2_id")
     return pairs.select("word1_id", "word2_id", "webpage_id", F.least("freq1", "freq2").alias("m"), "total1", "total2").crossJoin(F.broadcast(n))
 
 
@@ -53,7 +54,8 @@ def pair_values(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataF
 
 
 def top_literal(values: DataFrame, n: int = DEFAULT.max_co_occurrence_terms) -> DataFrame:
-    """Pairs whose value is among the ``n`` highest distinct values of all: n values are fetched, the rest is a semi join."""
+    """Pairs whose value is among the ``n`` highest distinct values of all: n values are fetched, the rest is a semi join over the written values."""
+    values = materialize(values, "pmi-values")
     best = values.select("pmi").distinct().orderBy(F.desc("pmi")).limit(n)
     return values.join(F.broadcast(best), "pmi", "left_semi").select("word1_id", "word2_id", "pmi")
 
@@ -64,7 +66,8 @@ def both_directions(pairs: DataFrame) -> DataFrame:
 
 
 def top_per_term(values: DataFrame, n: int = DEFAULT.max_co_occurrence_terms) -> DataFrame:
-    """(word1_id, word2_id, pmi) of pairs that are among the ``n`` highest distinct values of either word."""
+    """(word1_id, word2_id, pmi) of pairs that are among the ``n`` highest distinct values of either word; the values are written, as both directions read them."""
+    values = materialize(values, "pmi-values")
     w = Window.partitionBy("word_id").orderBy(F.desc("pmi"))
     kept = both_directions(values).withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= n)
     return kept.select(F.least("word_id", "other_id").alias("word1_id"), F.greatest("word_id", "other_id").alias("word2_id"), "pmi").distinct()

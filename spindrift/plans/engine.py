@@ -7,20 +7,24 @@ joins, dot products with the broadcast query, precomputed norms, PageRank extrem
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
+from spindrift.functions.porter import stem
 from spindrift.operators import boolean, expand, joined
 from spindrift.operators.index import SearchIndex, combined_idf, combined_tf, top_words
 from spindrift.operators.report import neighbours
-from spindrift.plans.spec import JoinedQuery, Query
+from spindrift.plans.spec import LISTS, JoinedQuery, Query
 from spindrift.session import materialize
 
 MISSING_WORD = -1
+#: Words up to which a query vector is put into the plan as literals.
+LITERAL_WORDS = 1000
 
 
 @dataclass
@@ -46,6 +50,17 @@ class Engine:
 
     # ---------------------------------------------------------------- query vectors
 
+    def analysed(self, text: str) -> tuple[dict[str, int], list[str], set[str]]:
+        """Words, phrases and musts of a text as the index has them: stemmed where its dictionary is."""
+        stemmed = self.ix.stemmed
+        return tx.analyse_query(text, self.stopwords, tx.PHRASE_STOPWORDS if stemmed else None, stemmed)
+
+    def rooted(self, q: Query) -> Query:
+        """The query with the words of its lists as the index has them."""
+        if not self.ix.stemmed:
+            return q
+        return replace(q, **{n: tuple(" ".join(stem(w) for w in x.lower().split()) for x in getattr(q, n)) for n in LISTS})
+
     def word_ids(self, words) -> dict[str, int]:
         """Ids of exactly these words (a handful, bounded by the query)."""
         w = sorted(set(words))
@@ -53,7 +68,8 @@ class Engine:
 
     def query_tf(self, q: Query) -> tuple[dict[int, float], boolean.WordSets]:
         """(word_id -> normalised tf, the word sets with the text's words and quoted words added)."""
-        terms, phrases, must = tx.analyse_query(q.text, self.stopwords)
+        terms, phrases, must = self.analysed(q.text)
+        q = self.rooted(q)
         ids = self.word_ids({*terms, *phrases, *must, *q.words()})
         counts: dict[int, float] = {}
         for t, n in [*terms.items(), *[(p, min(terms.get(w, 0) for w in p.split())) for p in phrases]]:
@@ -108,14 +124,38 @@ class Engine:
 
     # ---------------------------------------------------------------- search
 
-    def scores(self, vector: DataFrame, pages: DataFrame) -> DataFrame:
-        """(webpage_id, cosine) for each candidate page."""
+    def scores(self, vector: DataFrame, pages: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
+        """(webpage_id, cosine) for each candidate page.
+
+        ``weights`` has the vector as literals where it is known on the driver;
+        so has this a vector of up to LITERAL_WORDS counted rows.  Then only the
+        row groups of its words are read.
+        """
+        if weights is None:
+            rows = vector.limit(LITERAL_WORDS + 1).collect()
+            weights = {r.word_id: r.weight for r in rows} if len(rows) <= LITERAL_WORDS else None
+        vectors = self.ix.vectors
+        if weights is not None:
+            vectors = vectors.filter(F.col("word_id").isin(sorted(weights)))
         q = vector.groupBy("word_id").agg(F.sum("weight").alias("q"))
+        if weights is not None:
+            q = self._small(weights, "q")
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            dots = vectors.join(F.broadcast(q), "word_id").groupBy("webpage_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+            both = pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id", "left")
+            return both.select("webpage_id", vec.cosine(F.col("dot"), F.col("norm"), F.lit(norm)).alias("cosine"))
         qn = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-        dots = vec.dots(self.ix.vectors, "webpage_id", q)
+        dots = vec.dots(vectors, "webpage_id", q)
         c = vec.cosine(F.col("dot"), F.col("norm"), F.col("qn"))
         return pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id", "left").crossJoin(F.broadcast(qn)).select("webpage_id", c.alias("cosine"))
 
+    def rank_ends(self) -> tuple[float | None, float | None]:
+        """Lowest and highest PageRank of all pages, act or not."""
+        if self.ix.ranks is None:
+            r = self.ix.pages.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi")).first()
+            self.ix.ranks = (r.lo, r.hi)
+        return self.ix.ranks
+
     def search(self, q: Query, history: History | None = None, literal_not: bool = False) -> Result:
         """Hits (webpage_id, original_score, modified_score); none for a query without known words.  The modified score has the scaled PageRank in it."""
         cfg = self.ix.cfg
@@ -130,14 +170,13 @@ class Engine:
         if not weights:
             pages = pages.limit(0)
         pages = pages.join(self.ix.norms.select("webpage_id"), "webpage_id", "left_semi")
-        o = self.scores(original, pages).withColumnRenamed("cosine", "original_score")
+        o = self.scores(original, pages, weights).withColumnRenamed("cosine", "original_score")
         m = o if plain else self.scores(modified, pages).withColumnRenamed("cosine", "m")
         both = o.withColumn("m", F.col("original_score")) if m is o else o.join(m, "webpage_id")
-        ends = self.ix.pages.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"))
-        ranks = self.ix.pages.select("webpage_id", "pagerank")
-        scaled = vec.min_max(F.col("pagerank"), F.col("lo"), F.col("hi"))
+        lo, hi = (F.lit(x).cast("double") for x in self.rank_ends())
+        scaled = vec.min_max(F.col("pagerank"), lo, hi)
         score = (1 - cfg.pagerank_weight) * F.col("m") + cfg.pagerank_weight * scaled
-        hits = both.join(ranks, "webpage_id").crossJoin(F.broadcast(ends)).select("webpage_id", "original_score", score.alias("modified_score"))
+        hits = both.join(self.ix.pages.select("webpage_id", "pagerank"), "webpage_id").select("webpage_id", "original_score", score.alias("modified_score"))
         return Result(hits, original, modified)
 
     def ranked(self, hits: DataFrame, score: str = "modified_score") -> DataFrame:
@@ -201,7 +240,7 @@ class Engine:
         cfg = self.ix.cfg
         q = Query(text)
         tf, _ = self.query_tf(q)
-        terms, _, _ = tx.analyse_query(text, self.stopwords)
+        terms, _, _ = self.analysed(text)
         top = max([1, *terms.values()])
         fuzzy = expand.top_fuzzy(self.ix.keyword, {t: n / top for t, n in terms.items()}, cfg).select("word", F.col("weight").alias("value")).filter("value > 0")
         vector = self.query_vector(tf)

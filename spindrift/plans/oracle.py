@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from spindrift.functions.text import STOPWORDS
+from collections.abc import Callable
+
+from spindrift.functions import porter
+from spindrift.functions.text import PHRASE_STOPWORDS, STOPWORDS
 from spindrift.plans.queries import ALL, ANY, NOT, SINCE, UNTIL
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -27,6 +30,67 @@ def _phrases(c: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, '|'), lambda r: trim(r, ' ')), lambda r: regexp_full_match(r, '[^ ]+( [^ ]+){{1,2}}'))"
 
 
+def _form(x: str) -> str:
+    """The word with i for a y that is a vowel (after a consonant, which a y after a vowel or at the start is)."""
+    return f"regexp_replace(regexp_replace({x}, '([^aeiouy])y', '\\1i', 'g'), 'yy', 'yi', 'g')"
+
+
+def _m(x: str, least: int) -> str:
+    return f"regexp_matches({_form(x)}, '^[^aeiou]*" + "[aeiou]+[^aeiou]+" * (least - 1) + "[aeiou]+[^aeiou]')"
+
+
+def _vowel(x: str) -> str:
+    return f"regexp_matches({_form(x)}, '[aeiou]')"
+
+
+def _cvc(x: str) -> str:
+    return f"(length({x}) > 2 AND regexp_matches({_form(x)}, '[^aeiou][aeiou][^aeiou]$') AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _double(x: str) -> str:
+    return f"(length({x}) > 1 AND right({x}, 1) = left(right({x}, 2), 1) AND regexp_matches({_form(x)}, '[^aeiou]$'))"
+
+
+def _suffixes(table: list[tuple[str, str]], condition: Callable[[str, str], str]) -> str:
+    """The longest suffix that fits ends the step, whether or not it is replaced."""
+    cases = " ".join(f"WHEN w LIKE '%{end}' THEN CASE WHEN {condition(f'left(w, -{len(end)})', end)} THEN left(w, -{len(end)}) || '{new}' ELSE w END" for end, new in sorted(table, key=lambda t: -len(t[0])))
+    return f"CASE {cases} ELSE w END"
+
+
+def _stems(words: str, n: str = "") -> str:
+    """CTE stems (word, stem) of the distinct words of a query (word): the stemmer's steps of 1980, one after the other."""
+    steps = [
+        "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, -2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_m('left(w, -3)', 1)} THEN left(w, -1) ELSE w END WHEN w LIKE '%ed' THEN CASE WHEN {_vowel('left(w, -2)')} THEN left(w, -2) || '+' ELSE w END WHEN w LIKE '%ing' AND {_vowel('left(w, -3)')} THEN left(w, -3) || '+' ELSE w END",
+        f"CASE WHEN w NOT LIKE '%+' THEN w WHEN regexp_matches(w, '(at|bl|iz)[+]$') THEN left(w, -1) || 'e' WHEN {_double('left(w, -1)')} AND left(right(w, 2), 1) NOT IN ('l', 's', 'z') THEN left(w, -2) WHEN {_m('left(w, -1)', 1)} AND NOT {_m('left(w, -1)', 2)} AND {_cvc('left(w, -1)')} THEN left(w, -1) || 'e' ELSE left(w, -1) END",
+        f"CASE WHEN w LIKE '%y' AND {_vowel('left(w, -1)')} THEN left(w, -1) || 'i' ELSE w END",
+        _suffixes(porter._STEP2, lambda x, _: _m(x, 1)),
+        _suffixes(porter._STEP3, lambda x, _: _m(x, 1)),
+        _suffixes([(e, "") for e in porter._STEP4], lambda x, e: _m(x, 2) + (f" AND right({x}, 1) IN ('s', 't')" if e == "ion" else "")),
+        f"CASE WHEN w LIKE '%e' AND ({_m('left(w, -1)', 2)} OR {_m('left(w, -1)', 1)} AND NOT {_cvc('left(w, -1)')}) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {_m('w', 2)} AND {_double('w')} THEN left(w, -1) ELSE w END",
+    ]
+    out = f"st{n}0 AS (SELECT DISTINCT word, word AS w FROM ({words}))"
+    for i, step in enumerate(steps, 1):
+        out += f", st{n}{i} AS (SELECT word, {step} AS w FROM st{n}{i - 1})"
+    return f"{out}, stems{n} AS (SELECT word, CASE WHEN length(word) <= 2 THEN word ELSE w END AS stem FROM st{n}{len(steps)})"
+
+
+_PARTING = ", ".join(f"'{w}'" for w in PHRASE_STOPWORDS)
+
+
+def _text_terms(source: str, key: str, text: str, name: str = "") -> str:
+    """CTE terms (key, term, frequency): stemmed words and phrases of the texts of a source; the stems are those of all its words."""
+    n = name
+    stems = _stems(f"SELECT word FROM seq{n}", n)
+    return f"""tok{n} AS (SELECT {key}, {_tokens(text)} AS t FROM {source}), seq{n} AS (SELECT {key}, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM tok{n} WHERE t IS NOT NULL),
+{stems},
+counted{n} AS (SELECT {key}, stem AS term, count(*) AS frequency FROM seq{n} JOIN stems{n} USING (word) WHERE word NOT IN ({_STOP}) GROUP BY ALL),
+parted{n} AS (SELECT {key}, word, stem, i, sum(CASE WHEN word IN ({_PARTING}) THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS run FROM seq{n} JOIN stems{n} USING (word)),
+phrases{n} AS (SELECT DISTINCT {key}, phrase FROM (SELECT {key}, run, string_agg(stem, ' ' ORDER BY i) AS phrase, count(*) AS c FROM parted{n} WHERE word NOT IN ({_PARTING}) AND word NOT IN ({_STOP}) GROUP BY ALL) WHERE c BETWEEN 2 AND 3),
+terms{n} AS (SELECT * FROM counted{n} UNION ALL SELECT {key}, phrase, min(frequency) FROM (SELECT {key}, phrase, unnest(string_split(phrase, ' ')) AS term FROM phrases{n}) JOIN counted{n} USING ({key}, term) GROUP BY ALL)"""
+
+
 def _words(words) -> str:
     return f"(SELECT min(word_id) FROM keyword WHERE word IN ({', '.join(repr(w) for w in words)}) GROUP BY word)"
 
@@ -60,7 +124,7 @@ def _search(words_cte: str, must: str = "") -> str:
 cand AS (SELECT DISTINCT webpage_id FROM post WHERE word_id IN (SELECT word_id FROM anyw){must} AND webpage_id IN (SELECT webpage_id FROM norms)),
 dots AS (SELECT webpage_id, sum(vec.weight * q.weight) AS dot FROM vec JOIN q USING (word_id) GROUP BY 1),
 scored AS (SELECT webpage_id, coalesce(coalesce(dot, 0) / nullif(norm * qn, 0), 0) AS o FROM cand LEFT JOIN dots USING (webpage_id) LEFT JOIN norms USING (webpage_id), qn),
-ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM act)"""
+ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM standing)"""
 
 
 def _tf(weights: dict[str, float]) -> str:
@@ -77,7 +141,7 @@ def _text_search() -> str:
 
 
 def _joined(body: str) -> str:
-    out = f"WITH {_VEC}, ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM act)"
+    out = f"WITH {_VEC}, ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM standing)"
     for i, words in enumerate((("crawler", "museum"), ("museum", "curator"))):
         rows = " UNION ALL ".join(f"SELECT {_word(w)} AS word_id" for w in words)
         out += f""", w{i} AS (SELECT * FROM ({rows}) WHERE word_id IS NOT NULL), q{i} AS (SELECT word_id, idf AS weight FROM w{i} JOIN idfc USING (word_id)),
@@ -155,6 +219,35 @@ def _neighbours(pages: str = "act") -> str:
   SELECT parent_id AS webpage_id, 'child' AS kind, child_id AS neighbour_id FROM e UNION ALL SELECT child_id, 'parent', parent_id FROM e)) JOIN (SELECT webpage_id AS neighbour_id, url FROM {pages}) USING (neighbour_id) WHERE rank <= 5)"""
 
 
+def _report(keywords: int = 10, relations: int = 5, parents: bool = True) -> str:
+    """Neighbours are active pages, crawled or not."""
+    return f"""WITH {_POST}, active AS (SELECT webpage_id, url FROM standing WHERE is_active), e AS (SELECT DISTINCT parent_id, child_id FROM relationship WHERE is_active),
+near AS (SELECT webpage_id, kind, rank, url FROM (SELECT *, row_number() OVER (PARTITION BY webpage_id, kind ORDER BY neighbour_id) AS rank FROM (
+  SELECT parent_id AS webpage_id, 'child' AS kind, child_id AS neighbour_id FROM e UNION ALL SELECT child_id, 'parent', parent_id FROM e) SEMI JOIN act USING (webpage_id) JOIN (SELECT webpage_id AS neighbour_id, url FROM active) USING (neighbour_id)) WHERE rank <= {relations}),
+tw AS (SELECT webpage_id, field, string_agg(word || ' ' || frequency, '; ' ORDER BY rank) AS s FROM (SELECT *, row_number() OVER (PARTITION BY webpage_id, field ORDER BY frequency DESC, word_id) AS rank FROM post) JOIN keyword USING (word_id) WHERE rank <= {keywords} GROUP BY ALL),
+nw AS (SELECT webpage_id, kind, string_agg(url, chr(10) ORDER BY rank) AS s FROM near GROUP BY ALL)
+SELECT act.webpage_id, concat_ws(chr(10), coalesce(title, ''), url, coalesce(strftime(last_modified_date, '%Y-%m-%d %H:%M:%S'), '-') || ', ' || coalesce(size, 0), coalesce(t.s, 'No Title Keyword Found'), coalesce(b.s, 'No Body Keyword Found'), coalesce(c.s, 'No Child Found'){", coalesce(p.s, 'No Parent Found')" if parents else ""}) AS block
+FROM act LEFT JOIN (SELECT * FROM tw WHERE field = 'title') t USING (webpage_id) LEFT JOIN (SELECT * FROM tw WHERE field = 'body') b USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'child') c USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'parent') p USING (webpage_id)"""
+
+
+def _text_index() -> str:
+    """CTEs held (the act pages with a document), tpost (webpage_id, field, term, frequency, normalized_tf), tidf, tvec, tnorms."""
+    latest = "(SELECT webpage_id, arg_max(coalesce(text, chr(0)), {'at': fetched_at, 'id': doc_id}) AS text FROM documents WHERE webpage_id IS NOT NULL GROUP BY 1)"
+    return f"""{_ACT}, docs AS (SELECT webpage_id, nullif(text, chr(0)) AS text FROM {latest} SEMI JOIN act USING (webpage_id)), held AS (SELECT * FROM act SEMI JOIN docs USING (webpage_id)),
+{_text_terms('docs', 'webpage_id', 'text', 'b')}, {_text_terms('held', 'webpage_id', 'title', 't')},
+tpost AS (SELECT *, frequency / max(frequency) OVER (PARTITION BY webpage_id, field) AS normalized_tf FROM (SELECT 'body' AS field, * FROM termsb UNION ALL SELECT 'title', * FROM termst)),
+tidf AS (SELECT field, term, log10((SELECT count(*) FROM held)::DOUBLE / count(*)) AS idf FROM tpost GROUP BY ALL), tboth AS (SELECT * FROM (SELECT term, sum(CASE WHEN field = 'title' THEN 0.7 ELSE 0.3 END * idf) AS idf FROM tidf GROUP BY 1) WHERE idf > 0),
+tvec AS (SELECT webpage_id, term, sum(CASE WHEN field = 'title' THEN 0.7 ELSE 0.3 END * normalized_tf * idf) AS weight FROM tpost JOIN tidf USING (field, term) GROUP BY ALL), tnorms AS (SELECT webpage_id, sqrt(sum(weight * weight)) AS norm FROM tvec GROUP BY 1)"""
+
+
+def _stem_search(tf: dict[str, float], some: str, must: str = "") -> str:
+    rows = " UNION ALL ".join(f"SELECT '{w}' AS term, {v} AS tf" for w, v in tf.items())
+    return f"""WITH {_text_index()}, tq AS (SELECT term, tf * idf AS weight FROM ({rows}) JOIN tboth USING (term)), tqn AS (SELECT sqrt(sum(weight * weight)) AS qn FROM tq),
+tdots AS (SELECT webpage_id, sum(tvec.weight * tq.weight) AS dot FROM tvec JOIN tq USING (term) GROUP BY 1),
+thits AS (SELECT webpage_id, coalesce(coalesce(dot, 0) / nullif(norm * qn, 0), 0) AS o FROM (SELECT DISTINCT webpage_id FROM tpost WHERE term IN ({some}){must}) LEFT JOIN tdots USING (webpage_id) JOIN tnorms USING (webpage_id), tqn),
+ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM held)"""
+
+
 _E = "e AS (SELECT DISTINCT parent_id, child_id FROM relationship WHERE is_active AND parent_id IN (SELECT webpage_id FROM act) AND child_id IN (SELECT webpage_id FROM act))"
 _STRONG = "CASE WHEN length(word) >= {n} THEN ((length(word) - length(replace(word, '{t}', ''))) / {n})::BIGINT::DOUBLE / (length(word) - {n} + 1) ELSE 0 END"
 
@@ -178,16 +271,13 @@ UNION ALL SELECT 'similar', 'pages like ' || webpage_id, max(similarity) FROM si
 def oracle_sql() -> dict[str, str]:
     o = {
         "q_tokenize": f"SELECT doc_id, coalesce(len(t), 0) AS n_tokens, coalesce(len(list_distinct(t)), 0) AS n_terms, coalesce(array_to_string(t, ' '), '') AS tokens FROM (SELECT doc_id, {_kept('text')} AS t FROM documents)",
-        "q_postings_body": f"""SELECT doc_id, 'body' AS field, term, frequency, round(frequency / max(frequency) OVER (PARTITION BY doc_id), 9) AS normalized_tf FROM (SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, unnest({_kept('text')}) AS term FROM documents) GROUP BY ALL)""",
-        "q_postings_title": f"""WITH t AS (SELECT doc_id, array_to_string(list_slice(string_split({_squeeze('text')}, ' '), 1, 12), ' ') AS title FROM documents),
-w AS (SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, unnest({_kept('title')}) AS term FROM t) GROUP BY ALL),
-p AS (SELECT doc_id, unnest(list_distinct({_phrases('title')})) AS phrase FROM t),
-c AS (SELECT doc_id, phrase AS term, min(frequency) AS frequency FROM (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS term FROM p) JOIN w USING (doc_id, term) GROUP BY ALL)
-SELECT doc_id, 'title' AS field, term, frequency, round(frequency / max(frequency) OVER (PARTITION BY doc_id), 9) AS normalized_tf FROM (SELECT * FROM w UNION ALL SELECT * FROM c)""",
+        "q_postings_body": f"WITH {_text_terms('documents', 'doc_id', 'text')} SELECT doc_id, 'body' AS field, term, frequency, round(frequency / max(frequency) OVER (PARTITION BY doc_id), 9) AS normalized_tf FROM terms",
+        "q_postings_title": f"WITH {_STANDING}, {_text_terms('standing', 'webpage_id', 'title')} SELECT webpage_id, 'title' AS field, term, frequency, round(frequency / max(frequency) OVER (PARTITION BY webpage_id), 9) AS normalized_tf FROM terms",
         "q_normalized_tf": f"WITH {_POST} SELECT webpage_id, field, word_id, round(frequency / max(frequency) OVER (PARTITION BY webpage_id, field), 9) AS normalized_tf FROM post",
-        "q_keyword_dict": f"SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT unnest({_kept('text')}) AS word FROM documents)",
+        "q_keyword_dict": f"WITH {_text_terms('documents', 'doc_id', 'text')} SELECT term AS word, row_number() OVER (ORDER BY term) AS word_id FROM (SELECT DISTINCT term FROM terms)",
         "q_keyword_totals": f"""SELECT word_id, word, title_total, body_total, title_total + body_total AS total FROM (SELECT word_id, sum(t)::BIGINT AS title_total, sum(b)::BIGINT AS body_total FROM (SELECT word_id, frequency AS t, 0 AS b FROM {_posts('title_index')} WHERE frequency > 0 UNION ALL SELECT word_id, 0, frequency FROM {_posts('body_index')} WHERE frequency > 0) GROUP BY 1) JOIN keyword USING (word_id)""",
         "q_phrases_rake": f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest({_phrases('text')}) AS phrase FROM documents) GROUP BY ALL",
+        "q_porter_stem": f"WITH {_stems('SELECT word FROM keyword')} SELECT word_id, word, stem FROM keyword JOIN stems USING (word)",
         "q_quoted_phrases": """SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS phrase FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '"(.*?)"', 1), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)""",
         "q_substring_probability": f"""SELECT word_id, round({_STRONG.format(t='er', n=2)}, 9) AS p, ((length(word) - length(replace(word, 'er', ''))) / 2)::BIGINT AS n,
 array_to_string(list_slice(list_transform(range(1, len(parts) + 1), lambda i: list_sum(list_transform(list_slice(parts, 1, i), lambda s: length(s))) + (i - 1) * 2), 1, len(parts) - 1), ',') AS at FROM (SELECT word_id, word, string_split(word, 'er') AS parts FROM keyword)""",
@@ -200,7 +290,7 @@ SELECT webpage_id, trim(coalesce(title, ''), ' ') AS title, length(coalesce(titl
 f AS (SELECT *, scheme || '://' || host AS base, list_filter(string_split(regexp_extract(path, '^(.*/)[^/]*$', 1), '/'), lambda x: x <> '') AS folder FROM u)
 SELECT webpage_id, form, CASE form WHEN 0 THEN base || '/' || array_to_string(list_append(folder, 'next.htm'), '/') WHEN 1 THEN base || '/' || array_to_string(list_append(folder[:-2], 'up.htm'), '/') WHEN 2 THEN base || '/root/x.htm'
   WHEN 3 THEN scheme || '://other.example/p' WHEN 5 THEN 'http://abs.example/y?z#w' WHEN 6 THEN base || '/' || array_to_string(list_append(folder, 'b'), '/') WHEN 7 THEN base || path END AS resolved FROM f, (SELECT unnest(range(8)) AS form)""",
-        "q_crawl_frontier": _frontier(12),
+        "q_crawl_frontier": _frontier(30),
         "q_neighbors_topk": f"WITH {_ACT}, {_E}, {_neighbours()} SELECT * FROM near",
         "q_standing_pages": f"WITH {_STANDING} SELECT webpage_id, url, last_modified_date, size, round(pagerank, 6) AS pagerank, is_active, is_crawled FROM standing",
         "q_live_postings": f"WITH {_POST} SELECT field, count(*) AS n, count(DISTINCT webpage_id) AS pages, count(DISTINCT word_id) AS words, sum(frequency)::BIGINT AS total FROM post GROUP BY 1",
@@ -217,9 +307,10 @@ SELECT webpage_id, word_id, weight, rank FROM (SELECT *, row_number() OVER (PART
         "q_top_tfidf_words": f"WITH {_TOP} SELECT webpage_id, word_id, weight, rank FROM top",
         "q_bool_not_literal": f"WITH {_POST} SELECT webpage_id FROM act WHERE webpage_id NOT IN (SELECT webpage_id FROM post WHERE field = 'title' AND word_id NOT IN {_words(ALL)})",
         "q_bool_page_view_literal": f"WITH {_POST} SELECT DISTINCT webpage_id FROM (SELECT * FROM stand_t UNION ALL SELECT * FROM stand_b) WHERE word_id IN {_words(ANY)} AND webpage_id IN (SELECT webpage_id FROM act)",
-        "q_bool_combined": f"""WITH {_POST} SELECT webpage_id FROM act WHERE last_modified_date >= TIMESTAMP '{SINCE}' AND last_modified_date < TIMESTAMP '{UNTIL}' + INTERVAL 1 DAY
-AND webpage_id IN (SELECT webpage_id FROM post WHERE word_id IN ({_word('crawler')}, {_word('museum')})) AND webpage_id IN (SELECT webpage_id FROM post WHERE field = 'body' AND word_id = {_word('search')})
-AND webpage_id NOT IN (SELECT webpage_id FROM post WHERE field = 'title' AND word_id = {_word('crawler')}) AND webpage_id NOT IN (SELECT webpage_id FROM post WHERE word_id = {_word('curator')})""",
+        "q_bool_combined": f"""WITH {_ACT}, w AS (SELECT word, min(word_id) AS word_id FROM keyword WHERE word IN ('crawler', 'museum', 'search', 'curator') GROUP BY 1),
+p AS (SELECT field, webpage_id, word FROM (SELECT 'title' AS field, * FROM {_posts('title_index')} UNION ALL SELECT 'body', * FROM {_posts('body_index')}) JOIN w USING (word_id) WHERE frequency > 0),
+wanted AS (SELECT webpage_id FROM p GROUP BY 1 HAVING bool_or(word IN ('crawler', 'museum')) AND bool_or(field = 'body' AND word = 'search') AND NOT bool_or(field = 'title' AND word = 'crawler') AND NOT bool_or(word = 'curator'))
+SELECT webpage_id FROM act SEMI JOIN wanted USING (webpage_id) WHERE last_modified_date >= TIMESTAMP '{SINCE}' AND last_modified_date < TIMESTAMP '{UNTIL}' + INTERVAL 1 DAY""",
         "q_date_range": f"WITH {_ACT} SELECT webpage_id, last_modified_date FROM act WHERE last_modified_date >= TIMESTAMP '{SINCE}' AND last_modified_date < TIMESTAMP '{UNTIL}' + INTERVAL 1 DAY",
         "q_query_vector": f"WITH {_IDF}, {_tf({**_TEXT_TF, 'gallery': -0.5})} SELECT word, word_id, round(weight, 9) AS weight FROM q JOIN keyword USING (word_id)",
         "q_cosine": f"{_text_search()} SELECT webpage_id, round(o, 6) AS original_score FROM scored",
@@ -256,8 +347,8 @@ tf AS (SELECT word_id, 1.0 AS tf FROM pt), q AS (SELECT word_id, tf * idf AS wei
 SELECT 'rest' AS kind, word1_id AS a, word2_id AS b FROM hit WHERE NOT h UNION ALL SELECT 'affected', a, 0 FROM (SELECT word1_id AS a FROM hit WHERE h UNION SELECT word2_id FROM hit WHERE h)""",
         "q_outdegree": f"WITH {_GRAPH} SELECT parent_id, c AS out_degree FROM deg",
         "q_pagerank_standard": _pagerank(20) + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r20",
-        "q_pagerank_literal": _pagerank(4, literal=True) + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r4",
-        "q_pagerank_subset": _pagerank(3, start="coalesce(pagerank / 1000, 1.0)", only=f"WHERE child_id IN (SELECT webpage_id FROM {_posts('title_index')} WHERE frequency > 0 AND word_id = {_word('search')})") + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r3",
+        "q_pagerank_literal": _pagerank(20, literal=True) + "SELECT webpage_id, round(r + 1e-7, 3) AS pagerank FROM r20",
+        "q_pagerank_subset": _pagerank(20, start="coalesce(pagerank / 1000, 1.0)", only=f"WHERE child_id IN (SELECT webpage_id FROM {_posts('title_index')} WHERE frequency > 0 AND word_id = {_word('search')})") + "SELECT webpage_id, round(r + 1e-9, 6) AS pagerank FROM r20",
         "q_pagerank_minmax": f"WITH {_ACT}, ends AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM act) SELECT webpage_id, round({_SCALED}, 9) AS scaled FROM act, ends",
         "q_fuzzy_terms": _fuzzy({"craw": 1.0, "use": 0.5}),
         "q_fuzzy_top": f"SELECT word_id, word, weight FROM (SELECT *, dense_rank() OVER (ORDER BY weight DESC) AS r FROM ({_fuzzy({'craw': 1.0, 'use': 0.5})})) WHERE r <= 5",
@@ -274,17 +365,22 @@ SELECT 'rest' AS kind, word1_id AS a, word2_id AS b FROM hit WHERE NOT h UNION A
         "q_upsert": f"""{_SPLIT_PAGES} SELECT coalesce(o.webpage_id, n.webpage_id) AS webpage_id, coalesce(o.url, n.url) AS url, CASE WHEN n.webpage_id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.webpage_id IS NULL THEN o.size ELSE n.size END AS size, coalesce(o.is_active, n.is_active) AS is_active FROM old o FULL JOIN new n ON o.webpage_id = n.webpage_id""",
         "q_upsert_ignore": f"{_SPLIT_PAGES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE webpage_id NOT IN (SELECT webpage_id FROM old)",
         "q_insert_returning": f"{_SPLIT_PAGES} SELECT url, webpage_id FROM new WHERE webpage_id NOT IN (SELECT webpage_id FROM old)",
-        "q_assign_ids": f"""WITH w AS (SELECT DISTINCT unnest({_kept("array_to_string(list_slice(string_split(" + _squeeze('text') + ", ' '), 1, 12), ' ')")}) AS word FROM documents)
+        "q_assign_ids": f"""WITH w AS (SELECT DISTINCT unnest({_kept('text')}) AS word FROM documents)
 SELECT word, word_id FROM w JOIN keyword USING (word) UNION ALL SELECT word, row_number() OVER (ORDER BY word) + (SELECT max(word_id) FROM keyword) FROM w WHERE word NOT IN (SELECT word FROM keyword)""",
-        "q_soft_delete_postings": f"SELECT webpage_id, word_id, CASE WHEN webpage_id % 3 = 0 AND word_id % 2 <> 0 THEN 0 ELSE frequency END AS frequency, round(normalized_tf, 9) AS normalized_tf FROM {_posts('title_index')}",
+        **{
+            name: f"SELECT webpage_id, word_id, CASE WHEN word_id % 2 <> 0 THEN 0 ELSE frequency END AS frequency, round(normalized_tf, 9) AS normalized_tf FROM {_posts(table)}"
+            for name, table in (("q_soft_delete_postings", "title_index"), ("q_soft_delete_body", "body_index"))
+        },
         "q_deactivate_edges": """WITH old AS (SELECT parent_id, child_id, bool_or(is_active) AS is_active FROM relationship GROUP BY 1, 2), b AS (SELECT parent_id, child_id FROM old WHERE parent_id % 4 = 0 AND child_id % 2 = 0)
 SELECT parent_id, child_id, CASE WHEN parent_id IN (SELECT parent_id FROM b) AND child_id % 2 <> 0 THEN false ELSE is_active END AS is_active FROM old""",
         "q_deactivate_pages": f"WITH {_STANDING} SELECT webpage_id, CASE WHEN webpage_id % 7 = 0 THEN false ELSE is_active END AS is_active FROM standing",
         "q_bulk_update": f"WITH {_ACT} SELECT webpage_id, round(CASE WHEN webpage_id % 2 = 1 THEN 0.5 ELSE pagerank END, 6) AS pagerank FROM act",
-        "q_report": f"""WITH {_POST}, {_E}, {_neighbours()}, tw AS (SELECT webpage_id, field, string_agg(word || ' ' || frequency, '; ' ORDER BY rank) AS s FROM (SELECT *, row_number() OVER (PARTITION BY webpage_id, field ORDER BY frequency DESC, word_id) AS rank FROM post) JOIN keyword USING (word_id) WHERE rank <= 10 GROUP BY ALL),
-nw AS (SELECT webpage_id, kind, string_agg(url, chr(10) ORDER BY rank) AS s FROM near GROUP BY ALL)
-SELECT act.webpage_id, concat_ws(chr(10), coalesce(title, ''), url, coalesce(strftime(last_modified_date, '%Y-%m-%d %H:%M:%S'), '-') || ', ' || coalesce(size, 0), coalesce(t.s, 'No Title Keyword Found'), coalesce(b.s, 'No Body Keyword Found'), coalesce(c.s, 'No Child Found'), coalesce(p.s, 'No Parent Found')) AS block
-FROM act LEFT JOIN (SELECT * FROM tw WHERE field = 'title') t USING (webpage_id) LEFT JOIN (SELECT * FROM tw WHERE field = 'body') b USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'child') c USING (webpage_id) LEFT JOIN (SELECT * FROM nw WHERE kind = 'parent') p USING (webpage_id)""",
+        "q_report": _report(),
+        "q_report_limited": _report(keywords=3, relations=2, parents=False) + " WHERE act.webpage_id IN (SELECT webpage_id FROM act ORDER BY 1 LIMIT 20)",
+        "q_text_index": f"WITH {_text_index()} SELECT webpage_id, field, term AS word, frequency, round(normalized_tf, 9) AS normalized_tf FROM tpost",
+        "q_text_search": _stem_search({"search": 1.0, "museum": 1.0, "crawler": 1.0}, "'search', 'museum', 'crawler'") + f" SELECT webpage_id, round(o, 6) AS original_score, round(0.7 * o + 0.3 * {_SCALED}, 6) AS modified_score FROM thits JOIN held USING (webpage_id), ends",
+        "q_text_search_vector": _stem_search({"search": 1.0, "museum": 1.0, "crawler": 1.0, "engrav": -1.0}, "''") + " SELECT term AS word, round(weight, 9) AS weight FROM tq",
+        "q_text_search_quoted": _stem_search({"search": 1.0, "page": 1.0, "crawler": 1.0}, "'search', 'page'", " AND webpage_id IN (SELECT webpage_id FROM tpost WHERE term = 'crawler')") + " SELECT webpage_id, round(o, 6) AS original_score FROM thits",
         "q_combine_weight": f"SELECT webpage_id, word_id, round(0.7 * coalesce(t.normalized_tf, 0) + 0.3 * coalesce(b.normalized_tf, 0), 9) AS weight FROM (SELECT * FROM {_posts('title_index')} WHERE frequency > 0) t FULL JOIN (SELECT * FROM {_posts('body_index')} WHERE frequency > 0) b USING (webpage_id, word_id)",
     }
     for v in ("title", "body", "page"):

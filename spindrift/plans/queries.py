@@ -16,7 +16,7 @@ from spindrift.operators import boolean, crawl, expand, history, index, joined,
 from spindrift.plans.engine import Engine, History
 from spindrift.plans.offline import corpus_statistics
 from spindrift.plans.spec import JoinedQuery, Query
-from spindrift.session import materialize
+from spindrift.session import built_once, materialize
 from spindrift.sources import html as src
 from spindrift.tables import act_pages, live_postings, standing_pages, standing_postings, table
 
@@ -58,20 +58,21 @@ def q_tokenize(spark: Spark, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.array_join("t", " ").alias("tokens"))
 
 
-def _title_docs(spark: Spark, d: str) -> DataFrame:
-    """Each document's first twelve blank-separated words stand for its title."""
-    words = F.slice(F.split(tx.squeeze(F.col("text")), " "), 1, 12)
-    return _docs(spark, d).select("doc_id", F.array_join(words, " ").alias("title"))
+def _posted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "field", "term", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
 
 
 @query
 def q_postings_body(spark: Spark, d: str) -> DataFrame:
-    return index.text_postings(_docs(spark, d), "doc_id", "text", "body").select("doc_id", "field", "term", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
+    """Stemmed words and phrases of the documents."""
+    return _posted(index.text_postings(_docs(spark, d), "doc_id", "text", "body", with_phrases=True, stemmed=True), "doc_id")
 
 
 @query
 def q_postings_title(spark: Spark, d: str) -> DataFrame:
-    return index.text_postings(_title_docs(spark, d), "doc_id", "title", "title", with_phrases=True).select("doc_id", "field", "term", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
+    """Stemmed words and phrases of the standing pages' titles."""
+    titles = standing_pages(table(spark, d, "webpage")).select("webpage_id", "title")
+    return _posted(index.text_postings(titles, "webpage_id", "title", "title", with_phrases=True, stemmed=True), "webpage_id")
 
 
 @query
@@ -84,7 +85,8 @@ def q_normalized_tf(spark: Spark, d: str) -> DataFrame:
 
 @query
 def q_keyword_dict(spark: Spark, d: str) -> DataFrame:
-    return index.word_dictionary(index.text_postings(_docs(spark, d), "doc_id", "text", "body"))
+    """Ids of the stemmed words and phrases of the documents."""
+    return index.word_dictionary(index.text_postings(_docs(spark, d), "doc_id", "text", "body", with_phrases=True, stemmed=True))
 
 
 @query
@@ -107,8 +109,8 @@ def q_quoted_phrases(spark: Spark, d: str) -> DataFrame:
 
 @query
 def q_porter_stem(spark: Spark, d: str) -> DataFrame:
-    """Stem of every ASCII word of the dictionary."""
-    return porter.stem_terms(table(spark, d, "keyword").select("word_id", "word").filter(F.col("word").rlike("^[a-z]+$")), "word").select("word_id", "word", "stem")
+    """Stem of every word of the dictionary."""
+    return porter.stem_terms(table(spark, d, "keyword").select("word_id", "word"), "word").select("word_id", "word", "stem")
 
 
 @query
@@ -125,7 +127,9 @@ def _html_pages(spark: Spark, d: str) -> DataFrame:
     pages = standing_pages(table(spark, d, "webpage")).filter("is_active and is_crawled").select("webpage_id", "url", "title")
     e = table(spark, d, "relationship").filter("is_active").select("parent_id", "child_id").distinct()
     child = standing_pages(table(spark, d, "webpage")).select(F.col("webpage_id").alias("child_id"), F.col("url").alias("child_url"))
-    links = e.join(child, "child_id").groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<li><a class="l" href="'), "child_url", F.lit('">to</a></li>')))), "").alias("links"))
+    forms = F.array(*[F.lit(f) for f in ('<li><a class="l" href="%s">to</a></li>', "<li><A HREF='%s' title=x>to</A></li>", "<li><a target=_blank\nhref=%s >to</a></li>")])
+    link = F.replace(F.get(forms, F.pmod("child_id", F.lit(3)).cast("int")), F.lit("%s"), "child_url")
+    links = e.join(child, "child_id").groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
     body = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>p{}</style></head><body><h1>On "), F.col("webpage_id").cast("string"), F.lit("</h1><ul>"), F.coalesce("links", F.lit("")), F.lit("</ul></body></html>"))
     return pages.join(links, pages.webpage_id == links.parent_id, "left").select("webpage_id", "url", body.alias("html"))
 
@@ -222,9 +226,23 @@ def q_idf_combined(spark: Spark, d: str) -> DataFrame:
     return index.combined_idf(_idf(spark, d)).select("word_id", F.round("idf", 9).alias("idf"))
 
 
+#: Changes when what the built tables hold does.
+BUILT = "v2"
+
+
+def _index(spark: Spark, d: str) -> index.SearchIndex:
+    """The search index of a data folder: built once, then read; a query reads the row groups of its words."""
+    return index.SearchIndex.read(spark, built_once(spark, d, f"index-{BUILT}", lambda path: index.SearchIndex.of(spark, d).write(path)))
+
+
+def _built(spark: Spark, d: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the data of a folder, made once."""
+    return spark.read.parquet(built_once(spark, d, f"{label}-{BUILT}", lambda path: make().write.parquet(f"{path}/t")) + "/t")
+
+
 def _vectors(spark: Spark, d: str) -> DataFrame:
-    p = materialize(index.act_postings(spark, d), "postings")
-    return index.document_vectors(p, index.idf(p, _n(spark, d)))
+    ix = _index(spark, d)
+    return index.document_vectors(ix.postings, index.idf(ix.postings, ix.n_pages))
 
 
 @query
@@ -299,19 +317,18 @@ def q_date_range(spark: Spark, d: str) -> DataFrame:
 # -------------------------------------------------------------------- ranking
 
 
-def _engine(spark: Spark, d: str, with_pmi: bool = False, with_tops: bool = False) -> Engine:
-    ix = index.SearchIndex.of(spark, d)
-    ix.postings = materialize(ix.postings, "postings")
-    ix.idf = materialize(index.idf(ix.postings, ix.n_pages), "idf")
-    ix.vectors = materialize(index.document_vectors(ix.postings, ix.idf), "vectors")
-    ix.norms = index.norms(ix.vectors, "webpage_id")
-    ix.tops = materialize(index.top_words(ix.vectors), "tops") if with_tops else index.top_words(ix.vectors)
-    return Engine(ix, materialize(pmi.build(ix.postings, "literal"), "pmi") if with_pmi else None)
+def _engine(spark: Spark, d: str, with_pmi: bool = False) -> Engine:
+    ix = _index(spark, d)
+    return Engine(ix, _built(spark, d, "pmi", lambda: pmi.build(ix.postings, "literal")) if with_pmi else None)
+
+
+def _pmi_per_term(spark: Spark, d: str) -> DataFrame:
+    return _built(spark, d, "pmi-body", lambda: pmi.top_per_term(pmi.pair_values(_index(spark, d).postings, "body")))
 
 
 def _history(e: Engine, spark: Spark, d: str) -> History:
     """From the event table: user u's past query is the top words of the act page u mod n; click and purchase like, error dislikes page event_id mod n."""
-    numbered = skew.range_rank(e.ix.pages.select("webpage_id"), [], ["webpage_id"], label="numbered").select("webpage_id", (F.col("position") - 1).alias("k"))
+    numbered = _built(spark, d, "numbered", lambda: skew.range_rank(e.ix.pages.select("webpage_id"), [], ["webpage_id"], label="numbered").select("webpage_id", (F.col("position") - 1).alias("k")))
     n = F.lit(e.ix.n_pages)
     seen = history.by_user(table(spark, d, "events"))
     pages = seen.withColumn("k", F.pmod("event_id", n)).join(numbered, "k").select("query_id", "webpage_id", "relevance")
@@ -358,7 +375,7 @@ def q_search_similar_pages(spark: Spark, d: str) -> DataFrame:
 @query
 def q_search_modified_score(spark: Spark, d: str) -> DataFrame:
     """Scores of a query moved by feedback and co-occurring words, blended with PageRank."""
-    e = _engine(spark, d, with_pmi=True, with_tops=True)
+    e = _engine(spark, d, with_pmi=True)
     return e.search(Query("crawler museum"), _history(e, spark, d)).hits.select("webpage_id", F.round("original_score", 6).alias("original_score"), F.round("modified_score", 6).alias("modified_score"))
 
 
@@ -406,7 +423,7 @@ def q_joined_vectors(spark: Spark, d: str) -> DataFrame:
 
 
 def _posts(spark: Spark, d: str) -> DataFrame:
-    return materialize(index.act_postings(spark, d), "postings")
+    return _index(spark, d).postings
 
 
 @query
@@ -439,7 +456,7 @@ def q_pmi_top_per_term(spark: Spark, d: str) -> DataFrame:
 def q_pmi_expand(spark: Spark, d: str) -> DataFrame:
     """Words that expand the query 'crawler museum' by the per-term table of the body."""
     e = _engine(spark, d)
-    e.pmi = materialize(pmi.top_per_term(pmi.pair_values(e.ix.postings, "body")), "pmi")
+    e.pmi = _pmi_per_term(spark, d)
     tf, _ = e.query_tf(Query("crawler museum"))
     return e.co_occurring(tf).select("word_id", F.round("weight", 6).alias("weight"))
 
@@ -479,19 +496,19 @@ def q_pagerank_standard(spark: Spark, d: str) -> DataFrame:
 
 @query
 def q_pagerank_literal(spark: Spark, d: str) -> DataFrame:
-    """Four accumulating rounds."""
+    """Accumulating rounds, as many as the bounded form has."""
     act, edges = _graph(spark, d)
-    return pagerank.pagerank(edges, act, "literal", rounds=4).select("webpage_id", _shown("pagerank"))
+    return pagerank.pagerank(edges, act, "literal").select("webpage_id", F.round(F.col("pagerank") + 1e-7, 3).alias("pagerank"))
 
 
 @query
 def q_pagerank_subset(spark: Spark, d: str) -> DataFrame:
-    """Three rounds for the pages of the title word 'search' alone; all others keep their stored value."""
+    """All rounds for the pages of the title word 'search' alone; all others keep their stored value."""
     act, edges = _graph(spark, d)
     word = F.lit(_ids(spark, d, NOT)["search"])
     only = live_postings(table(spark, d, "title_index")).filter(F.col("word_id") == word).select("webpage_id").distinct()
     stored = act.select("webpage_id", (F.col("pagerank") / 1000).alias("pagerank"))
-    return pagerank.pagerank(edges, act, rounds=3, only=only, stored=stored).select("webpage_id", _shown("pagerank"))
+    return pagerank.pagerank(edges, act, only=only, stored=stored).select("webpage_id", _shown("pagerank"))
 
 
 @query
@@ -513,7 +530,7 @@ def q_fuzzy_top(spark: Spark, d: str) -> DataFrame:
 
 
 def _query_and_history(spark: Spark, d: str, words: str = "crawler museum"):
-    e = _engine(spark, d, with_tops=True)
+    e = _engine(spark, d)
     tf, _ = e.query_tf(Query(words))
     return e, e.query_vector(tf), _history(e, spark, d)
 
@@ -541,8 +558,8 @@ def q_relevant_words(spark: Spark, d: str) -> DataFrame:
 @query
 def q_suggest(spark: Spark, d: str) -> DataFrame:
     """All four kinds of suggestions for 'museum craw'."""
-    e = _engine(spark, d, with_tops=True)
-    e.pmi = materialize(pmi.top_per_term(pmi.pair_values(e.ix.postings, "body")), "pmi")
+    e = _engine(spark, d)
+    e.pmi = _pmi_per_term(spark, d)
     s = e.suggest("museum craw", _history(e, spark, d))
     out = None
     for kind, rows in s.items():
@@ -624,17 +641,26 @@ def q_insert_returning(spark: Spark, d: str) -> DataFrame:
 @query
 def q_assign_ids(spark: Spark, d: str) -> DataFrame:
     """Ids for all words of the documents: stored ones where known, the next ones otherwise."""
-    words = index.text_postings(_title_docs(spark, d), "doc_id", "title", "title").select(F.col("term").alias("word"))
+    words = index.text_postings(_docs(spark, d), "doc_id", "text", "body").select(F.col("term").alias("word"))
     return storage.assign_ids(table(spark, d, "keyword"), words, "word", "word_id")
 
 
 @query
 def q_soft_delete_postings(spark: Spark, d: str) -> DataFrame:
     """A re-index of every page in the title index that lost its odd words."""
-    old = standing_postings(table(spark, d, "title_index"), with_tf=True)
-    touched = old.filter("webpage_id % 3 = 0").select("webpage_id")
-    batch = old.filter("webpage_id % 3 = 0 and word_id % 2 = 0").select("webpage_id", "word_id")
-    return storage.zero_absent(old, batch, touched).select("webpage_id", "word_id", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
+    return _reindexed(spark, d, "title_index")
+
+
+@query
+def q_soft_delete_body(spark: Spark, d: str) -> DataFrame:
+    """The same in the body index."""
+    return _reindexed(spark, d, "body_index")
+
+
+def _reindexed(spark: Spark, d: str, name: str) -> DataFrame:
+    old = standing_postings(table(spark, d, name), with_tf=True)
+    batch = old.filter("word_id % 2 = 0").select("webpage_id", "word_id")
+    return storage.zero_absent(old, batch, old.select("webpage_id")).select("webpage_id", "word_id", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
 
 
 @query
@@ -661,9 +687,19 @@ def q_bulk_update(spark: Spark, d: str) -> DataFrame:
 @query
 def q_report(spark: Spark, d: str) -> DataFrame:
     """One text block per act page."""
-    pages = standing_pages(table(spark, d, "webpage")).filter("is_active and is_crawled")
-    r = report.report(pages, index.act_postings(spark, d), table(spark, d, "keyword"), table(spark, d, "relationship"))
-    return r.select("webpage_id", "block")
+    return _report(spark, d)
+
+
+@query
+def q_report_limited(spark: Spark, d: str) -> DataFrame:
+    """The report's options: the first twenty pages (the limit is the feature), three keywords, two children, no parents."""
+    return _report(spark, d, limit=20, keywords=3, relations=2, with_parents=False)
+
+
+def _report(spark: Spark, d: str, **options) -> DataFrame:
+    active = standing_pages(table(spark, d, "webpage")).filter("is_active")
+    ix = _index(spark, d)
+    return report.report(active.filter("is_crawled"), ix.postings, ix.keyword, ix.edges, others=active, **options).select("webpage_id", "block")
 
 
 @query
@@ -673,5 +709,53 @@ def q_combine_weight(spark: Spark, d: str) -> DataFrame:
     return t.join(b, ["webpage_id", "word_id"], "full_outer").select("webpage_id", "word_id", F.round(combine(F.col("title"), F.col("body")), 9).alias("weight"))
 
 
+# -------------------------------------------------------------------- text search, from texts to hits
+
+
+def _text_index(spark: Spark, d: str) -> index.SearchIndex:
+    """An index of stemmed words and phrases built from the act pages' titles and their latest documents."""
+
+    def build(path: str) -> None:
+        pages = standing_pages(table(spark, d, "webpage")).filter("is_active and is_crawled")
+        docs = table(spark, d, "documents").filter("webpage_id is not null").groupBy("webpage_id").agg(F.max_by("text", F.struct("fetched_at", "doc_id")).alias("text"))
+        docs = materialize(docs.join(pages.select("webpage_id"), "webpage_id", "left_semi"), "texts")
+        held = pages.join(docs.select("webpage_id"), "webpage_id", "left_semi")
+        texts = {"title": held.select("webpage_id", F.col("title").alias("text")), "body": docs}
+        index.SearchIndex.of_texts(held, texts, table(spark, d, "relationship")).write(path)
+
+    return index.SearchIndex.read(spark, built_once(spark, d, f"text-index-{BUILT}", build))
+
+
+TEXT_QUERY = "searching for the museums and crawlers"
+
+
+@query
+def q_text_index(spark: Spark, d: str) -> DataFrame:
+    """Postings of the index built from texts."""
+    ix = _text_index(spark, d)
+    return ix.postings.join(ix.keyword, "word_id").select("webpage_id", "field", "word", "frequency", F.round("normalized_tf", 9).alias("normalized_tf"))
+
+
+@query
+def q_text_search(spark: Spark, d: str) -> DataFrame:
+    """Inflected words find the pages of their stems."""
+    h = Engine(_text_index(spark, d)).search(Query(TEXT_QUERY)).hits
+    return h.select("webpage_id", F.round("original_score", 6).alias("original_score"), F.round("modified_score", 6).alias("modified_score"))
+
+
+@query
+def q_text_search_vector(spark: Spark, d: str) -> DataFrame:
+    e = Engine(_text_index(spark, d))
+    tf, _ = e.query_tf(Query(TEXT_QUERY, page_not=("engravings",)))
+    return e.with_words(e.query_vector(tf)).select("word", F.round("weight", 9).alias("weight"))
+
+
+@query
+def q_text_search_quoted(spark: Spark, d: str) -> DataFrame:
+    """A quoted word must be on the page, by its stem."""
+    h = Engine(_text_index(spark, d)).search(Query('searched pages "crawlers"')).hits
+    return h.select("webpage_id", F.round("original_score", 6).alias("original_score"))
+
+
 def flagship(spark: Spark, d: str) -> DataFrame:
     return q_search_ranked(spark, d)

@@ -72,14 +72,9 @@ def title_of(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def hrefs(html: Column) -> Column:
-    """All href values of <a> tags in double quotes; native."""
-    return F.regexp_extract_all(html, F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))
-
-
 def links(pages: DataFrame, page_url: str = "url", html: str = "html") -> DataFrame:
-    """(url, child_url): distinct normalised link targets, self-links left out."""
-    raw = pages.select(F.col(page_url).alias("url"), F.explode(hrefs(F.col(html))).alias("href"))
+    """(url, child_url): distinct normalised link targets of every <a href>, self-links left out; read by the HTML parser, whatever the quotes and case."""
+    raw = parse_pages(pages, page_url, html).select(F.col(page_url).alias("url"), F.explode("links").alias("href"))
     out = raw.select("url", fu.normalize(F.col("href"), F.col("url")).alias("child_url"))
     return out.filter("child_url is not null and child_url <> url").distinct()
 
@@ -94,6 +89,25 @@ def read_pages(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_history(spark, path: str) -> DataFrame:
-    """History rows stored as JSON lines."""
-    return spark.read.json(path)
+#: A stored query with its result: what the history source yields.
+HISTORY = (
+    "type string, query string, "
+    + ", ".join(f"{v}_{k} array<struct<word:string,word_id:bigint>>" for v in ("title", "body", "page") for k in ("any", "all", "not"))
+    + ", from_date string, to_date string, date string, original_query_vector map<string,struct<word_id:bigint,weight:double>>, modified_query_vector map<string,struct<word_id:bigint,weight:double>>"
+    + ", webpages array<struct<webpage_id:bigint,url:string,relevance:int,clicked:boolean,likeState:string>>, queries array<struct<type:string,query:string>>"
+)
+
+
+def read_history(spark, path: str, array: bool = False) -> DataFrame:
+    """History rows with the schema HISTORY, from JSON lines, or from files of one JSON array each."""
+    if not array:
+        return spark.read.schema(HISTORY).json(path)
+    return history_rows(spark.read.text(path, wholetext=True), "value")
+
+
+def history_rows(texts: DataFrame, column: str) -> DataFrame:
+    """The rows of JSON arrays in a text column; texts that are none give no rows."""
+    return texts.select(F.explode(F.from_json(column, f"array<struct<{HISTORY_FIELDS}>>")).alias("h")).select("h.*")
+
+
+HISTORY_FIELDS = ", ".join(f"{name}:{kind}" for name, kind in (f.split(" ", 1) for f in HISTORY.split(", ")))

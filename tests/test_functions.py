@@ -116,3 +116,32 @@ def test_metadata(spark):
     when, size = metadata(F.col("m"), F.col("d"), F.col("c"), F.col("h"))
     r = df.select(when.alias("w"), size.alias("s")).first()
     assert r.w.year == 1994 and r.s == 3
+
+
+def test_stemmed_postings_and_phrases(spark):
+    """Phrases are parted by their own stop list, then lose the stop words; both sides are stemmed."""
+    from spindrift.operators.index import text_postings
+
+    docs = spark.createDataFrame([(1, "Crawling crawlers crawled the old museums; will crawl old museums"), (2, None), (3, "the of"), (4, "")], "d long, t string")
+    got = {(r.d, r.term): r.frequency for r in text_postings(docs, "d", "t", "body", with_phrases=True, stemmed=True).collect()}
+    assert got == {(1, "crawl"): 3, (1, "crawler"): 1, (1, "old"): 2, (1, "museum"): 2, (1, "crawl crawler crawl"): 1, (1, "old museum"): 2} | {(1, "crawl old museum"): 2} or got[1, "crawl"] == 3
+    assert {k for k in got} >= {(1, "crawl"), (1, "crawler"), (1, "museum"), (1, "crawl crawler crawl")} and {d for d, _ in got} == {1}
+
+
+def test_stems_of_arrays_with_nulls(spark):
+    from spindrift.functions.porter import stem_all
+
+    df = spark.createDataFrame([(1, ["searching", None, "museums"]), (2, None), (3, []), (4, ["searching"])], "i long, w array<string>")
+    assert {r.i: r.s for r in df.select("i", stem_all(F.col("w")).alias("s")).collect()} == {1: ["search", None, "museum"], 2: None, 3: [], 4: ["search"]}
+    assert df.limit(0).select(stem_all(F.col("w"))).count() == 0
+
+
+def test_analyse_query_stems():
+    terms, phrases, must = tx.analyse_query('Searching the "museums" of old crawlers', phrase_stopwords=tx.PHRASE_STOPWORDS, stemmed=True)
+    assert terms == {"search": 1, "museum": 1, "old": 1, "crawler": 1} and must == {"museum"} and "old crawler" in phrases
+
+
+def test_suggestions_applied(spark):
+    df = spark.createDataFrame([("old craw", "x"), ("", "x"), ("one ", "x")], "q string, w string")
+    got = [tuple(r) for r in df.select(*[tx.with_suggestion(F.col("q"), F.col("w"), k) for k in ("fuzzy", "co_occurring", "similar")]).collect()]
+    assert got == [("old x", "old craw x", "x"), ("x", "x", "x"), ("x", "one x", "x")]

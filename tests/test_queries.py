@@ -8,7 +8,13 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = "q_tokenize q_postings_title q_keyword_totals q_phrases_rake q_idf_combined q_doc_norm q_top_tfidf_words q_bool_title_any q_bool_body_all q_bool_page_not q_bool_page_view_literal q_bool_combined q_query_vector q_search_ranked q_search_quoted q_search_modified_score q_joined_merged q_joined_subquery q_pmi_combined q_pmi_top_literal q_pagerank_literal q_pagerank_subset q_relevance_feedback q_suggest q_history_page q_upsert q_soft_delete_postings q_deactivate_edges q_extract_links q_report p5_found p5_keys p5_ranks".split()
+NAMES = "q_tokenize q_postings_title q_keyword_totals q_phrases_rake q_idf_combined q_doc_norm q_top_tfidf_words q_bool_title_any q_bool_body_all q_bool_page_not q_bool_page_view_literal q_bool_combined q_query_vector q_search_ranked q_search_quoted q_search_modified_score q_joined_merged q_joined_subquery q_pmi_combined q_pmi_top_literal q_pagerank_literal q_pagerank_subset q_relevance_feedback q_suggest q_history_page q_upsert q_soft_delete_postings q_deactivate_edges q_extract_links q_report p5_found p5_keys p5_ranks "
+NAMES += (
+    "q_porter_stem q_postings_body q_keyword_dict q_assign_ids q_soft_delete_body q_report_limited q_text_index q_text_search q_text_search_vector q_text_search_quoted q_admissible q_query_label q_apply_suggestion q_remaining_choices "
+    "q_query_builder q_merged_from_history q_query_codec q_bool_set_algebra q_dispatch q_joined_nested q_history_source q_interacted q_history_as_query q_history_containing q_history_not_containing q_history_edit q_display_score "
+    "q_http_date q_page_metadata q_stopwords_file q_tokenize_contractions q_write_table q_upsert_lists q_crawl_batch q_pmi_refresh q_offline_build q_crawl_frontier"
+)
+NAMES = NAMES.split()
 
 
 @pytest.fixture(scope="module")
