@@ -1,8 +1,10 @@
 """Encoding a corpus with a public tokenizer, and decoding it again.
 
-The vocabulary file is a parameter; each Python worker loads it once.  Texts are
-encoded whole, block by block of an Arrow batch.  ``encode`` and ``token_counts``
-are for byte-level vocabularies, whose word boundaries they rely on.  A null or empty text gives an
+The vocabulary file is a parameter; it is shipped to the executors, and each
+Python worker loads it once.  Texts are encoded whole, block by block of an Arrow
+batch.  Where the file says that words end as byte-level vocabularies usually
+have it, a text is encoded in pieces that end where a word surely does; with any
+other file it is encoded as one.  A null or empty text gives an
 empty list.  Strings that look like special tokens are ordinary text.
 
 Byte-level vocabularies write each byte as one printable character.  ``decode``
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +35,27 @@ def vocabulary(name: str = "byte_bpe_50k.json", folder: str | None = None) -> st
     return os.path.join(folder or os.environ.get("SPINDRIFT_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """``path``, its file being sent along to every executor that has none there."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def _local(path: str) -> str:
+    """On a worker: the file itself, or the copy that was shipped."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_file(_local(path))
     t.encode_special_tokens = True
     return t
 
@@ -55,7 +72,8 @@ def byte_characters() -> dict[int, str]:
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every token id of a byte-level vocabulary file; special tokens are their UTF-8 text."""
     back = {c: b for b, c in byte_characters().items()}
-    data = json.load(open(path, encoding="utf-8"))
+    with open(_local(path), encoding="utf-8") as f:
+        data = json.load(f)
     special = {t["id"]: t["content"] for t in data.get("added_tokens", [])}
     out = [b""] * (max([*data["model"]["vocab"].values(), *special]) + 1)
     for token, i in data["model"]["vocab"].items():
@@ -70,6 +88,19 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё一-龥ぁ-んァ-ヶ"
 #: a visible character, and before a letter that follows a CJK full stop.  Nothing after such a place depends on what is before it.
 _CUT = re.compile(rf"(?<=[!-~。{_LETTERS}])(?=[ \n\r\t])|(?<=。)(?=[{_LETTERS}])")
 
+
+@lru_cache(maxsize=4)
+def cuts_are_sure(path: str) -> bool:
+    """Whether the vocabulary file splits words by the byte-level pattern, with nothing before it that changes texts: then _CUT holds."""
+    with open(_local(path), encoding="utf-8") as f:
+        data = json.load(f)
+    before = data.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before]) if before.get("type") == "Sequence" else [before]
+    plain = [x.get("type") for x in steps] == ["ByteLevel"] and steps[0].get("use_regex", True) and not steps[0].get("add_prefix_space", False)
+    # a token added to the vocabulary is sought before words are split; those that are special are ordinary text here
+    return bool(plain and data.get("normalizer") is None and all(t.get("special") for t in data.get("added_tokens", [])))
+
+
 #: Pieces whose ids a worker remembers before it forgets them all.
 PIECES = 200_000
 
@@ -85,6 +116,7 @@ class _Pieces:
     def __init__(self, path: str) -> None:
         self.tok = _tokenizer(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.sure = cuts_are_sure(path)
 
     def ids(self, texts: list) -> list[bytes]:
         """The ids of each text as int32 bytes; null counts as empty."""
@@ -92,13 +124,16 @@ class _Pieces:
 
         if len(self.known) > PIECES:
             self.known = {"": b""}
-        cut = [_CUT.split(t) if t else [""] for t in texts]
+        cut = [(_CUT.split(t) if self.sure else [t]) if t else [""] for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if new:
             for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
                 self.known[p] = np.asarray(e.ids, dtype=np.int32).tobytes()
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        if not self.sure:  # whole texts aren't worth remembering
+            self.known = {"": b""}
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +171,7 @@ def _small(b: pa.RecordBatch, at: int, limit: int = 8 << 20) -> Iterator[pa.Reco
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``text`` replaced by ``out``, an array of ints; the other columns are kept as they are."""
-    path = path or vocabulary()
+    path = _shipped(df.sparkSession, path or vocabulary())
     at = df.columns.index(text)
     schema = T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()), False) if f.name == text else f for f in df.schema.fields])
 
@@ -153,7 +188,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
 
 def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
     """``df`` with ``text`` replaced by its number of tokens (0 for null and empty)."""
-    path = path or vocabulary()
+    path = _shipped(df.sparkSession, path or vocabulary())
     at = df.columns.index(text)
     schema = T.StructType([T.StructField(out, T.LongType(), False) if f.name == text else f for f in df.schema.fields])
 
@@ -173,7 +208,7 @@ def offsets(df: DataFrame, key: str, text: str = "text", path: str | None = None
 
     Tokens inside one character all point to that character.
     """
-    path = path or vocabulary()
+    path = _shipped(df.sparkSession, path or vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -195,7 +230,7 @@ def offsets(df: DataFrame, key: str, text: str = "text", path: str | None = None
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
     """``df`` with the list ``ids`` replaced by the text it stands for.  An id outside the vocabulary raises an error."""
-    path = path or vocabulary()
+    path = _shipped(df.sparkSession, path or vocabulary())
     at = df.columns.index(ids)
     schema = T.StructType([T.StructField(out, T.StringType()) if f.name == ids else f for f in df.schema.fields])
 

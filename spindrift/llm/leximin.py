@@ -31,7 +31,6 @@ def percentiles(items: DataFrame, group: str, item: str, scores: Sequence[str],
     one = items.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*[F.max(F.when(~F.isnan(s), F.col(s))).alias(s) for s in scores])
     tall = one.select(group, item, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(s).cast("double").alias("value")) for i, s in enumerate(scores)])).alias("s")).select(group, item, "s.kind", "s.value")
     ranked = skew.range_rank(tall, [group, "kind"], ["value"], n, label="leximin")
-    # the number of items in a group is the last position of any of its scores: taken along in the same aggregation as the pivot
     wide = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("kind") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(scores))])
     sizes = ranked.filter("kind = 0").groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     both = skew.lookup_join(wide, sizes, group, hot_in=wide, spread=[item])

@@ -27,6 +27,9 @@ vec AS (SELECT *, list_sort([p_pagerank, p_body_tf, p_title_tf]) AS v FROM pct)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
+        "p7_offsets": "SELECT doc_id, length(text) AS reach, 0::BIGINT AS first, true AS numbered FROM documents WHERE text <> ''",
+        "p8_fill": "SELECT true AS whole, true AS fits, true AS tight",
         "p2_found": _P2 + "SELECT query_id, webpage_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, webpage_id) AS r FROM vec) WHERE r <= 3",
         "p2_percentiles": _P2
         + "SELECT query_id, webpage_id, round(p_pagerank, 9) AS p_pagerank, round(p_body_tf, 9) AS p_body_tf, round(p_title_tf, 9) AS p_title_tf, round(v[1], 9) AS v0, round(v[2], 9) AS v1, round(v[3], 9) AS v2 FROM vec",

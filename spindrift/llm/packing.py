@@ -3,9 +3,10 @@
 Bounded-space online packing: a task holds at most OPEN open containers.  Each
 item goes into the open container it fills best (least room left); where it fits
 into none, the fullest open container is closed and a new one opened.  At
-the end of the tasks their open containers are merged in rounds: the leftovers
-of up to MERGE tasks meet in one task and are packed, whole containers being
-the items, best-fit, fullest first.
+the end of the tasks their open containers are merged in rounds, until one task
+has met all that are left: in each round the leftovers of up to MERGE tasks meet
+in one and are packed, whole containers being the items, best-fit, fullest
+first, of which the OPEN emptiest stay open for the next.
 
 An item larger than the capacity is cut into full containers and a rest, which
 is packed like an item; no other item is cut.  Items of size 0, of null size
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.session import shuffle_partitions
+from spindrift.session import materialize
 
 CAPACITY = 4096
 OPEN = 64
@@ -84,8 +85,8 @@ def _pack(capacity: int, most_open: int):
     return run
 
 
-def _merge(capacity: int):
-    """Passes closed containers on and packs the open ones of the task together, best-fit, fullest first."""
+def _merge(capacity: int, most_open: int):
+    """Packs the open containers of the task together, best-fit, fullest first; the ``most_open`` emptiest stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -108,7 +109,7 @@ def _merge(capacity: int):
             into[c] = to
             if left > size:
                 insort(room, (left - size, to))
-        still = {c for _, c in room}
+        still = {c for _, c in room[-most_open:]}
         rows = [(*r[:4], into[c], into[c] in still) for c, rs in held.items() for r in rs]
         for i in range(0, len(rows), 50_000):
             yield _batch(rows[i : i + 50_000], kind)
@@ -119,18 +120,22 @@ def _merge(capacity: int):
 def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, most_open: int = OPEN, merge: int = MERGE) -> DataFrame:
     """(item, part, start, size, container): where each item, or each part of a cut one, lies; ``part`` counts from 0.
 
-    The merge rounds shuffle assignment rows only (no texts): closed ones go
-    anywhere, open ones to the merge task of their group.
+    The assignment rows (no texts) are written once; only those of open
+    containers are shuffled, in as many rounds as it takes to bring ``merge`` to
+    that power past the number of tasks.
     """
     kind = items.schema[item].dataType
     schema = T.StructType([T.StructField("item", kind), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("container", T.StringType()), T.StructField("open", T.BooleanType())])
     if item in _NAMES[1:]:
         items, item = items.withColumnRenamed(item, "item"), "item"
     packed = items.filter(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).alias("item"), F.col(size).cast("long").alias("size")).mapInArrow(_pack(capacity, most_open), schema)
-    n = shuffle_partitions(items.sparkSession)
+    packed = materialize(packed, "packed")
     task = F.split("container", "-")[0].cast("int")
-    # the tasks of one scan are rarely more than MERGE; each further round divides the groups by MERGE
-    groups = (task / F.lit(merge)).cast("int")
-    target = F.when(F.col("open"), groups).otherwise(F.pmod(F.xxhash64("container"), F.lit(n)).cast("int"))
-    merged = packed.withColumn("__to", target).repartition(n, "__to").drop("__to").mapInArrow(_merge(capacity), schema)
-    return merged.drop("open")
+    last = packed.filter("open").agg(F.max(task)).first()[0]
+    merged, reach = packed.filter("open"), 1
+    while last is not None and reach <= last or reach == 1:
+        reach *= merge
+        groups = (last or 0) // reach + 1
+        # containers that earlier rounds closed come along with their group and are passed on
+        merged = merged.withColumn("__to", (task / F.lit(reach)).cast("int")).repartition(groups, "__to").drop("__to").mapInArrow(_merge(capacity, most_open), schema)
+    return packed.filter("not open").unionByName(merged).drop("open")

@@ -163,6 +163,13 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", (F.col("back") == F.col("given")).alias("same"))
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """For each document that isn't empty where its tokens begin and end, in code points, and whether they are numbered without a gap."""
+    o = encode.offsets(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = o.groupBy("doc_id").agg(F.max("end").cast("long").alias("reach"), F.min("start").cast("long").alias("first"), (F.count(F.lit(1)) == F.max("position") + 1).alias("numbered"))
+    return rows.select("doc_id", "reach", "first", "numbered")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = encode.token_counts(table(spark, d, "documents").select("doc_id", "text"))
     return packing.pack(sizes, "doc_id", "n_tokens")
@@ -173,6 +180,16 @@ def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select(F.col("item").alias("doc_id"), "part", "start", F.col("size").alias("n_tokens"), "container")
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: whether every token is placed once, no container holds more than its capacity, and how full they are on average is at least 0.98."""
+    sizes = encode.token_counts(table(spark, d, "documents").select("doc_id", "text"))
+    placed = materialize(packing.pack(sizes, "doc_id", "n_tokens"), "placed")
+    each = placed.groupBy("container").agg(F.sum("size").alias("held"))
+    held = each.agg(F.sum("held").alias("held"), F.max("held").alias("most"), F.avg("held").alias("mean"))
+    whole = sizes.agg(F.sum("n_tokens").alias("tokens"))
+    return held.crossJoin(F.broadcast(whole)).select((F.col("held") == F.col("tokens")).alias("whole"), (F.col("most") <= packing.CAPACITY).alias("fits"), (F.col("mean") >= 0.98 * packing.CAPACITY).alias("tight"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that the packing cuts; part 1 exists for just those."""
     return _packed(spark, d).filter("part = 1").select(F.col("item").alias("doc_id"))
@@ -188,4 +205,4 @@ def p9_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_percentiles, p3_found, p4_found, p4_pairs, p6_found, p6_frequencies, p7_ids, p7_roundtrip, p8_found, p8_assignment, p9_found, p9_verdicts)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_percentiles, p3_found, p4_found, p4_pairs, p6_found, p6_frequencies, p7_ids, p7_roundtrip, p7_offsets, p8_found, p8_assignment, p8_fill, p9_found, p9_verdicts)}

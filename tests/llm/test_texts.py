@@ -239,3 +239,44 @@ def test_sentences_that_recur_need_less_of_their_wording(spark):
 
 def test_many_unclosed_blocks_take_linear_time():
     assert residue.classify("{% for x in y %} text " * 20_000)[0] is None
+
+
+def test_vocabulary_with_other_words_is_encoded_whole(spark):
+    """A second public vocabulary, and a byte-level one whose words may hold line breaks: no pieces, the library's own ids."""
+    assert encode.cuts_are_sure(encode.vocabulary())
+    other = encode.vocabulary("word_bpe_49k.json")
+    assert not encode.cuts_are_sure(other)
+    tok = Tokenizer.from_file(other)
+    tok.encode_special_tokens = True
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i long, text string")
+    assert {r.i: r.ids for r in encode.encode(df, path=other).collect()} == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize("change", [{"use_regex": False}, {"add_prefix_space": True}, None])
+def test_changed_pre_tokenizers_are_noticed(spark, tmp_path, change):
+    import json
+
+    with open(encode.vocabulary(), encoding="utf-8") as f:
+        data = json.load(f)
+    if change is None:
+        data["normalizer"] = {"type": "Lowercase"}
+    else:
+        data["pre_tokenizer"] = {**data["pre_tokenizer"], **change}
+    path = str(tmp_path / f"changed-{list(change or ['n'])[0]}.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(data, f)
+    assert not encode.cuts_are_sure(path)
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    texts = ["One line\nand another", "two  words", "日本。語"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    assert {r.i: r.ids for r in encode.encode(df, path=path).collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("merge", [2, 3, 64])
+def test_packing_merges_in_rounds(spark, merge):
+    """Leftovers of many tasks meet, whatever the number that meet at once."""
+    sizes = {i: 7 + i % 9 for i in range(400)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n long").repartition(11)
+    fill = _check_packing(packing.pack(df, "doc_id", "n", 100, 4, merge).collect(), sizes, 100)
+    assert sum(fill.values()) / (100 * len(fill)) > 0.93
