@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from spindrift.config import DEFAULT, Config
 from spindrift.functions.text import substring_probability
 from spindrift.operators.pmi import both_directions
-from spindrift.session import broadcast_if_small
+from spindrift.session import broadcast_if_small, materialize
 
 
 def dense_top(df: DataFrame, value: str, n: int) -> DataFrame:
-    """Rows whose ``value`` is among the ``n`` highest distinct values, ties kept; only n values travel."""
+    """Rows whose ``value`` is among the ``n`` highest distinct values, ties kept; only n values travel.  The rows are written, as both steps read them."""
+    df = materialize(df, "candidates")
     best = df.select(value).filter(F.col(value).isNotNull()).distinct().orderBy(F.desc(value)).limit(n)
     return df.join(F.broadcast(best), value, "left_semi").select(*df.columns)
 

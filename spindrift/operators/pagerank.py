@@ -6,7 +6,8 @@ each other page becomes (1 - d) + d * sum(rank(parent) / outdegree(parent)); in
 
 A round references the ranks once (parents' ranks joined with the edges, then one
 aggregation; the sums are formed before the shuffle, so a child with a third of
-all edges is harmless), and the lineage is cut every few rounds.
+all edges is harmless), and the lineage is cut every few rounds.  The edges are
+written once, bucketed by parent, so that a round shuffles partial sums only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.config import DEFAULT, Config
-from spindrift.session import materialize
+from spindrift.session import materialize, materialize_by
 
 
 def live_edges(relationship: DataFrame, act: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def pagerank(edges: DataFrame, act: DataFrame, mode: str = "standard", cfg: Conf
     ranks = start.join(changing, "webpage_id", "left_semi")
     fixed = start.join(changing, "webpage_id", "left_anti")
     if n > 0:
-        moving = materialize(links.join(changing.withColumnRenamed("webpage_id", "parent_id"), "parent_id", "left_semi"), "moving")
+        moving = materialize_by(links.join(changing.withColumnRenamed("webpage_id", "parent_id"), "parent_id", "left_semi"), "moving", "parent_id")
         constant = links.join(fixed.withColumnRenamed("webpage_id", "parent_id"), "parent_id").groupBy("child_id").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         constant = materialize(constant.select(F.col("child_id").alias("webpage_id"), "in"), "constant")
         for i in range(n):

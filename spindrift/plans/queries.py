@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,8 +228,14 @@ def q_idf_combined(spark: Spark, d: str) -> DataFrame:
     return index.combined_idf(_idf(spark, d)).select("word_id", F.round("idf", 9).alias("idf"))
 
 
-#: Changes when what the built tables hold does.
-BUILT = "v2"
+def _version() -> str:
+    """A digest of the library's sources: tables built by another version aren't taken for this one's."""
+    root = Path(__file__).parent.parent
+    own = sorted(f for part in ("", "functions", "operators", "plans", "sources") for f in (root / part).glob("*.py"))
+    return hashlib.blake2b(b"".join(f.read_bytes() for f in own), digest_size=6).hexdigest()
+
+
+BUILT = _version()
 
 
 def _index(spark: Spark, d: str) -> index.SearchIndex:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 from urllib.parse import quote, unquote
 
 from spindrift.config import DEFAULT, Config
@@ -125,12 +125,3 @@ def encode(q: Query) -> str:
 def decode(s: str) -> Query:
     d = json.loads(unquote(s))
     return Query(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
-
-
-@dataclass
-class Suggestions:
-    fuzzy: object = None
-    co_occurring: object = None
-    relevant: object = None
-    similar: object = None
-    extra: dict = field(default_factory=dict)

@@ -91,7 +91,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As :func:`materialize`, but bucketed by ``key``: whoever joins or groups the result by it needs no shuffle of it, however often."""
+    spark = df.sparkSession
+    n = shuffle_partitions(spark)
+    name = f"spindrift_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    with _shuffles_dropped(spark):
+        df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    if not _paths:
+        atexit.unregister(drop_materialized)
+        atexit.register(drop_materialized)
+    _paths.append((spark, path))
+    _names[path] = name
+    return spark.table(name)
+
+
 _paths: list[tuple[SparkSession, str]] = []
+#: Catalog names of the bucketed ones.
+_names: dict[str, str] = {}
 
 
 def _path(spark: SparkSession, path: str):
@@ -105,6 +123,8 @@ def drop_materialized(since: int = 0) -> int:
     while len(_paths) > since:
         spark, path = _paths.pop()
         try:
+            if path in _names:
+                spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
             p, fs = _path(spark, path)
             n += bool(fs.delete(p, True))
         except Exception:  # the session is gone

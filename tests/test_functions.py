@@ -145,3 +145,21 @@ def test_suggestions_applied(spark):
     df = spark.createDataFrame([("old craw", "x"), ("", "x"), ("one ", "x")], "q string, w string")
     got = [tuple(r) for r in df.select(*[tx.with_suggestion(F.col("q"), F.col("w"), k) for k in ("fuzzy", "co_occurring", "similar")]).collect()]
     assert got == [("old x", "old craw x", "x"), ("x", "x", "x"), ("x", "one x", "x")]
+
+
+def test_links_in_every_form(spark):
+    from spindrift.sources import html
+
+    page = """<A HREF='one.htm'>1</A> <a class=x href="/two.htm">2</a> <a target=_blank
+href=three.htm >3</a> <a name="x">none</a> <a href="mailto:a@b">m</a> <a href="one.htm">again</a> <!-- <a href="no.htm"> --> <a href="http://h/a/b.htm">self</a>"""
+    df = spark.createDataFrame([("http://h/a/b.htm", page), ("http://h/e", None)], "url string, html string")
+    assert sorted(r.child_url for r in html.links(df).collect()) == ["http://h/a/one.htm", "http://h/a/three.htm", "http://h/two.htm"]
+
+
+def test_history_arrays(spark, tmp_path):
+    from spindrift.sources import html
+
+    (tmp_path / "h.json").write_text('[{"type": "simple", "query": "a", "webpages": [{"webpage_id": 1, "clicked": true}]}, {"type": "single", "title_any": [{"word": "w", "word_id": 3}]}]')
+    (tmp_path / "bad.json").write_text("no json")
+    rows = html.read_history(spark, str(tmp_path), array=True).collect()
+    assert sorted((r.type, r.query, len(r.webpages or []), len(r.title_any or [])) for r in rows if r.type) == [("simple", "a", 1, 0), ("single", None, 0, 1)]

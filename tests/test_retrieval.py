@@ -215,3 +215,18 @@ def test_interacted_pages_and_display(spark):
     assert rows(history.interacted(p), "webpage_id", "relevance") == {(1, 1), (2, -1), (3, 1)}
     d = spark.createDataFrame([(0.123456,), (0.0,), (0.00012344,)], "s double")
     assert [r[0] for r in d.select(history.display_score(F.col("s"))).collect()] == pytest.approx([12.35, 0.0, 0.01234])
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from spindrift.session import drop_materialized, materialize_by
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = materialize_by(spark.range(400).selectExpr("id % 20 as parent_id", "id as child_id"), "edges", "parent_id")
+        ranks = spark.range(20).selectExpr("id as webpage_id", "1.0 as rank").groupBy("webpage_id").sum("rank").withColumnRenamed("webpage_id", "parent_id")
+        joined = edges.join(ranks, "parent_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert drop_materialized() >= 1
