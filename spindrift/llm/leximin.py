@@ -33,7 +33,7 @@ def percentiles(items: DataFrame, group: str, item: str, scores: Sequence[str],
     ranked = skew.range_rank(tall, [group, "kind"], ["value"], n, label="leximin")
     wide = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("kind") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(scores))])
     sizes = ranked.filter("kind = 0").groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    both = skew.lookup_join(wide, sizes, group, hot_in=wide, spread=[item])
+    both = skew.lookup_join(wide, sizes, group, hot_in=ranked.filter("kind = 0").select(group), spread=[item])
     pct = [F.when(F.col("size") > 1, (F.col(f"r{i}") - 1) / (F.col("size") - 1)).otherwise(F.lit(0.0)).alias(f"p_{s}") for i, s in enumerate(scores)]
     return both.select(group, item, *pct)
 
