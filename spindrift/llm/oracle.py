@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 ACT = """act AS (SELECT webpage_id, pagerank FROM (
   SELECT *, row_number() OVER (PARTITION BY webpage_id ORDER BY last_modified_date DESC NULLS LAST, is_active DESC, is_crawled DESC, size DESC NULLS LAST, pagerank DESC NULLS LAST) AS v FROM webpage
 ) WHERE v = 1 AND is_active AND is_crawled)"""
@@ -25,8 +29,46 @@ vec AS (SELECT *, list_sort([p_pagerank, p_body_tf, p_title_tf]) AS v FROM pct)
 """
 
 
+@lru_cache(maxsize=1)
+def _terms() -> str:
+    """CTE term (word_id, term_id).  Compatibility characters are replaced by what they stand for, by a table made from the Unicode data; SQL composes the result."""
+    stands_for = []
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if unicodedata.decomposition(c).startswith("<"):
+            plain = unicodedata.normalize("NFKD", c).replace("'", "''")
+            stands_for.append(f"({i}, '{plain}')")
+    return f"""compat AS (SELECT * FROM (VALUES {', '.join(stands_for)}) AS t(c, d)), chars AS (SELECT word_id, word, unnest(string_split(word, '')) AS c, unnest(range(1, len(string_split(word, '')) + 1)) AS i FROM keyword WHERE word <> ''),
+normal AS (SELECT word_id, trim(regexp_replace(lower(nfc_normalize(string_agg(coalesce(d, chars.c), '' ORDER BY i))), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS t FROM chars LEFT JOIN compat ON unicode(chars.c) = compat.c GROUP BY word_id, word
+  UNION ALL SELECT word_id, '' FROM keyword WHERE word = ''),
+term AS (SELECT DISTINCT word_id, term_id FROM normal JOIN (SELECT t, min(word_id) AS term_id FROM normal GROUP BY 1) USING (t))"""
+
+
+def _term_rows(index: str) -> str:
+    """(record, term, frequency) over act pages."""
+    return f"SELECT webpage_id AS record, coalesce(term_id, word_id) AS term, sum(frequency)::BIGINT AS frequency FROM ({live(index)}) LEFT JOIN term USING (word_id) WHERE webpage_id IN (SELECT webpage_id FROM act) GROUP BY ALL"
+
+
+_SCORE = "frequency / length * ln((1.0 + (SELECT count(*) FROM act)) / (1.0 + df))"
+
+
+def _scored(rows: str) -> str:
+    return f"(SELECT record, term, frequency, df, {_SCORE} AS score FROM {rows} JOIN (SELECT record, sum(frequency) AS length FROM {rows} GROUP BY 1) USING (record) JOIN (SELECT term, count(*) AS df FROM {rows} GROUP BY 1) USING (term))"
+
+
+def _counts() -> str:
+    return f"""WITH {ACT}, {_terms()}, body AS ({_term_rows('body_index')}), counts AS (SELECT term_id AS word_id, coalesce(occurrences, 0) AS occurrences, coalesce(records, 0) AS records FROM (SELECT DISTINCT term_id FROM term) LEFT JOIN (SELECT term AS term_id, sum(frequency)::BIGINT AS occurrences, count(*) AS records FROM body GROUP BY 1) USING (term_id)),
+marked AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 3 >= (SELECT count(*) FROM act) THEN 'common' END AS mark FROM counts)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""WITH {ACT}, {_terms()}, body AS ({_term_rows('body_index')}) SELECT record AS webpage_id, term AS word_id
+FROM (SELECT record, term, row_number() OVER (PARTITION BY record ORDER BY score DESC, term) AS r FROM {_scored('body')} WHERE record IN (SELECT webpage_id FROM probe_page)) WHERE r = 1""",
+        "p1_scores": f"""WITH {ACT}, {_terms()}, body AS ({_term_rows('body_index')}), title AS ({_term_rows('title_index')})
+SELECT 'body' AS field, record AS webpage_id, term AS word_id, frequency, df, round(score, 9) AS score FROM {_scored('body')} UNION ALL SELECT 'title', record, term, frequency, df, round(score, 9) FROM {_scored('title')}""",
+        "p6_found": _counts() + " SELECT word_id, mark FROM marked WHERE mark IS NOT NULL",
+        "p6_frequencies": _counts() + " SELECT * FROM marked",
         "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
         "p7_offsets": "SELECT doc_id, length(text) AS reach, 0::BIGINT AS first, true AS numbered FROM documents WHERE text <> ''",
         "p8_fill": "SELECT true AS whole, true AS fits, true AS tight",
