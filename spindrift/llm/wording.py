@@ -28,9 +28,10 @@ from functools import lru_cache
 from spindrift.functions.text import STOPWORDS
 
 #: Part of a message's letters that must be vocabulary: in any sentence, and in one that recurs widely.
-COVER, COVER_RECURRING = 0.88, 0.4
-#: The same for a sentence that speaks to the reader or of the page itself.
+COVER, COVER_RECURRING = 0.88, 0.6
+#: The same for a sentence that speaks to the reader or of the page itself, or that puts a thing of the site into a state in few words.
 COVER_ADDRESSED = 0.65
+FEW_WORDS = 6
 _ADDRESS = set(
     """you your you're you've we our we're we've us sorry apologies oops please this these sie ihr ihre ihrer ihrem ihren wir bitte leider diese dieser diesem diesen dieses vous votre vos nous cette ce cet désolé désolée veuillez
     usted su sus esta este esto siento sentimos lamentamos вы вас вам ваш ваша ваше этот эта эту этой этому пожалуйста извините сожалению""".split()
@@ -100,21 +101,21 @@ renombrad* retirad* perdid* limitad* restringid* bloquead* excedid* erróne* ca
 )
 #: What of a site can be in a state.
 _SITE = _words(
-    """page pages site sites website websites webpage url urls address link links file files document documents resource resources content contents server servers service services gateway proxy database host hostname
+ """page pages site sites website websites webpage url urls address link links file files document documents resource resources content contents server servers service services gateway proxy database host hostname
 domain domains connection connections session sessions user users username account accounts access permission permissions privilege privileges right rights browser browsers cookie cookies javascript script scripts
 scripting app apps application applications system systems http https ssl tls certificate dns ip request requests requested response responses operation action command query queries code id ids reference ray incident ticket
 administrator admin webmaster owner support helpdesk store shop search homepage startpage frontpage landing screen setting settings security plugin plugins extension extensions addon module component software
 version network internet web upstream backend cluster node api endpoint method parameter token login password credentials form upload download directory folder path route location article post posts
-product item entry record listing listings profile video image media player viewer feature function functionality quota traffic load memory stack thread process runtime null pointer undefined index range line
-column module main object string type key value argument call handler root localhost nginx apache iis tomcat cloudflare varnish wordpress php java python mysql sql firewall robot robots bot bots human region country area section portal platform tool
+product item entry record listing listings profile video image media player viewer feature function functionality quota traffic memory stack thread process runtime null pointer undefined index range 
+column module main object string key argument call handler root localhost nginx apache iis tomcat cloudflare varnish wordpress php java python mysql sql firewall robot robots bot bots human region country area section platform tool
 seite seiten webseite website adresse datei dokument inhalt* dienst verbindung sitzung benutzer konto zugriff zugang browser anwendung anfrage link ressource datenbank startseite administrator berechtigung* skript* webauftritt angeforderte* angefragte* gewünschte* aufgerufene*
 page pages site adresse fichier document contenu ressource serveur service connexion session utilisateur compte accès navigateur application requête lien base données accueil administrateur autorisation droits demandé* demandée recherchée recherché
 página sitio dirección archivo documento contenido recurso servidor servicio conexión sesión usuario cuenta acceso navegador aplicación solicitud enlace base datos inicio administrador permiso* solicitad* buscad* busca
 страниц* сайт* адрес* файл* документ* содержим* ресурс* сервер* служб* сервис* соединени* сесси* пользовател* аккаунт* доступ* браузер* приложени* запрос* ссылк* базы данных прав* администратор* запрошенн* запрашиваем* раздел*
 pagina risorsa collegamento indirizzo richiesta richiesto servizio página recurso endereço ligação procurada solicitada servidor serviço toegang pagina adres
-functionality data database databases location locations destination information info details detail tools automation execution process processes processing web client clients customer hosting provider hoster infrastructure instance queue cache cdn edge
-downloads uploads attachment archive preview image picture embed iframe frame tab window console debugger devtools dns ports port socket pipe packet disk storage filesystem permission directory index syntax parameter parameters argument arguments property properties variable undefined array offset token tokens statement expression
-input output format type header headers body payload cluster worker job transaction trace dump core segmentation allowed size bytes limit request uri route routing document documents homepage navigation sitemap team shop forum blog thread comment comments member members subscription subscriber plan organization organisation company policy
+functionality data database databases location locations destination information info details detail automation execution process processes processing web client clients customer hosting provider hoster infrastructure instance queue cache cdn edge
+downloads uploads attachment archive preview image embed iframe tab console debugger devtools dns ports socket pipe packet disk storage filesystem permission directory index syntax parameter parameters argument arguments property properties variable undefined array offset token tokens statement expression
+input output format header headers body payload cluster worker job transaction trace dump core segmentation allowed size bytes limit request uri route routing document documents homepage navigation sitemap shop forum blog thread comment comments member members subscription subscriber plan organization organisation policy
 seiteninhalt* webserver nutzung rechte url internetseite internetadresse anmeldung daten verzeichnis support shop
 internet données répertoire url réseau informations
 datos directorio red información cuenta url
@@ -343,7 +344,7 @@ def judge(sentence: str, words: list[str] | None = None) -> Judgement:
     fills = fills or builder >= letters and (texts >= 2 or bool(texts and every & COMING and len(set(words)) <= 6))
     ratio = max(machine if made else 0, builder if fills else 0) / max(letters, 1)
 
-    addressed = not _ADDRESS.isdisjoint(words)
+    addressed = not _ADDRESS.isdisjoint(words) or bool(every & STATE and every & SITE) and sum(not r & (LITTLE | DENIED) for r in each) <= FEW_WORDS
 
     def kind(least: float) -> int:
         if (made or fills) and ratio >= (min(least, COVER_ADDRESSED) if addressed else least):
