@@ -228,9 +228,9 @@ def test_quotations_and_listings_of_any_length(n):
 
 def test_sentences_that_recur_need_less_of_their_wording(spark):
     """A notice with unknown words, in other company each time, is found by grouping its sentences; the same standing once is not."""
-    odd = "The gizmo server unit denied access."
+    odd = "The gizmo server unit of the quibble denied access to several user accounts."
     rows = [(i, f"s{i % 4}", f"{odd}\nReference {i}a{i}. {x}") for i, x in enumerate(["Please wait.", "Try again later.", "404 Not Found", "Contact the webmaster.", "Reload the page.", "Go back."])]
-    rows += [(50, "s1", "The gadget server part denied access.")]
+    rows += [(50, "s1", "The gadget server part of the quibble denied access to several user accounts.")]
     assert residue.read(odd)[0] == "loose"
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert {r.doc_id for r in residue.flagged(df).collect()} == set(range(6))
