@@ -1,21 +1,17 @@
 """The Porter stemmer (M. F. Porter, 1980), for Arrow batches.
 
-``stem_terms`` stems the distinct terms of a table and joins them back;
-``stem_all`` stems the words of an array column in place: each distinct word of
-a batch once, by its dictionary encoding, so that no token is shuffled.
+``stem_terms`` stems the distinct terms of a table and joins them back; the
+postings (operators/index.py) stem the distinct words of each Arrow batch.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
@@ -99,17 +95,6 @@ def stem_column(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def stem_all(words: pa.Array) -> pa.Array:
-    """The stem of each word of an array of words."""
-    flat = pc.dictionary_encode(words.flatten())
-    stems = pa.array([None if w is None else stem(w) for w in flat.dictionary.to_pylist()], pa.string())
-    out = stems.take(flat.indices)
-    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, out, mask=words.is_null() if words.null_count else None)
-
-
 def stem_terms(df: DataFrame, term: str, out: str = "stem") -> DataFrame:
     """``df`` with the stem of ``term``; each distinct term is stemmed once."""
     from spindrift.skew import lookup_join

@@ -73,13 +73,6 @@ def phrases(t: Column, stopwords=STOPWORDS) -> Column:
     return F.filter(runs, lambda r: r.rlike("^[^ ]+( [^ ]+){1,2}$"))
 
 
-def stemmed_phrases(t: Column, stems: Column, stopwords=STOPWORDS, phrase_stopwords=PHRASE_STOPWORDS) -> Column:
-    """Phrases of the stemmed words: runs between ``phrase_stopwords``, of which those count that have two or three words left without ``stopwords``."""
-    marked = F.zip_with(t, stems, lambda w, s: F.when(w.isin(list(phrase_stopwords)), "|").when(w.isin(list(stopwords)), "").otherwise(s))
-    runs = F.transform(F.split(F.array_join(F.filter(marked, lambda x: x != ""), " "), r"\|"), lambda r: F.trim(r))
-    return F.filter(runs, lambda r: r.rlike("^[^ ]+( [^ ]+){1,2}$"))
-
-
 def quoted(c: Column) -> Column:
     """Trimmed non-empty texts in double quotes, in order."""
     found = F.regexp_extract_all(c, F.lit('"(.*?)"'), F.lit(1))

@@ -2,47 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift import skew
 from spindrift.config import DEFAULT, Config
 from spindrift.functions import text as tx
-from spindrift.functions.porter import stem_all
+from spindrift.functions.porter import stem
 from spindrift.functions.vector import norms
 from spindrift.session import materialize
 from spindrift.tables import act_postings_by_page, standing_pages, table
 
 
+def _count_terms(stopwords: Sequence[str], parting: Sequence[str], stemmed: bool, with_phrases: bool):
+    """Arrow iterator from (doc, tokens) to (doc, term, frequency, normalized_tf), on the codes of a batch's distinct words."""
+    stop, part = frozenset(stopwords), frozenset(parting)
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        tokens = b.column(1)
+        flat = pc.dictionary_encode(tokens.flatten())
+        if not len(flat):
+            return None
+        words = flat.dictionary.to_pylist()
+        roots = [stem(w) for w in words] if stemmed else words
+        numbers: dict[str, int] = {}
+        root = np.array([numbers.setdefault(r, len(numbers)) for r in roots], np.int64)
+        names, n = list(numbers), len(numbers)
+        is_stop, is_part = (np.array([w in s for w in words]) for s in (stop, part))
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        kept = ~is_stop[codes]
+        # a document's words: its row and the word's number in one key
+        keys, counts = np.unique(row[kept] * n + root[codes[kept]], return_counts=True)
+        rows, terms = [keys // n], [pa.array(names, pa.string()).take(pa.array(keys % n))]
+        freqs = [counts]
+        if with_phrases:
+            run = np.cumsum(is_part[codes] | (np.diff(row, prepend=-1) != 0))
+            inside = kept & ~is_part[codes]
+            run, at, word = run[inside], row[inside], root[codes[inside]]
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            size = np.diff(np.append(first, len(run)))
+            first, size = first[(size == 2) | (size == 3)], size[(size == 2) | (size == 3)]
+            third = np.where(size == 3, word[np.minimum(first + 2, len(word) - 1)], -1) if len(first) else np.zeros(0, np.int64)
+            found = np.unique(np.stack([at[first], word[first], word[first + 1], third], 1), axis=0) if len(first) else np.zeros((0, 4), np.int64)
+            least = np.full(len(found), np.iinfo(np.int64).max)
+            for k in (1, 2, 3):
+                there = found[:, k] >= 0
+                least[there] = np.minimum(least[there], counts[np.searchsorted(keys, found[there, 0] * n + found[there, k])])
+            rows.append(found[:, 0])
+            freqs.append(least)
+            terms.append(pa.array([" ".join(names[x] for x in f[1:] if x >= 0) for f in found], pa.string()))
+        of, freq = np.concatenate(rows), np.concatenate(freqs).astype(np.int64)
+        top = np.zeros(b.num_rows, np.int64)
+        np.maximum.at(top, of, freq)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.concat_arrays(terms), pa.array(freq), pa.array(freq / top[of])], names=["doc", "term", "frequency", "normalized_tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                made = counted(whole.slice(at, 512))
+                if made is not None:
+                    yield made
+
+    return run
+
+
 def text_postings(
     docs: DataFrame, doc: str, text: str, field: str, with_phrases: bool = False, stopwords: Sequence[str] = tx.STOPWORDS, stemmed: bool = False, phrase_stopwords: Sequence[str] = tx.PHRASE_STOPWORDS
 ) -> DataFrame:
-    """(doc, field, term, frequency, normalized_tf) of a text column.
+    """(doc, field, term, frequency, normalized_tf) of a text column; one row per document, which is counted by itself, without a shuffle.
 
     Words are counted without ``stopwords``, by their stems if ``stemmed``.  A
-    phrase's frequency is the smallest of its words' frequencies; with stems,
-    phrases are parted by ``phrase_stopwords``.  The normalising maximum is taken
-    over the text's words and phrases.  Texts without tokens have no postings.
+    phrase is a run between parting words of which two or three words are left
+    without the stop words; with stems they are ``phrase_stopwords``, else the stop
+    words.  Its frequency is the smallest of its words' frequencies.  The
+    normalising maximum is taken over the text's words and phrases.  Texts
+    without tokens have no postings.
     """
-    toks = docs.select(doc, tx.tokens(F.col(text)).alias("t"))
-    if stemmed:
-        pairs = toks.select(doc, "t", stem_all(F.col("t")).alias("s"))
-        kept = F.filter(F.zip_with("t", "s", lambda w, s: F.when(~w.isin(list(stopwords)), s)), lambda s: s.isNotNull())
-        both = pairs.select(doc, kept.alias("w"), tx.stemmed_phrases(F.col("t"), F.col("s"), stopwords, phrase_stopwords).alias("p"))
-    else:
-        both = toks.select(doc, tx.without_stopwords(F.col("t"), stopwords).alias("w"), tx.phrases(F.col("t"), stopwords).alias("p"))
-    words = both.select(doc, F.explode("w").alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("frequency"))
-    terms = words
-    if with_phrases:
-        found = both.select(doc, F.explode(F.array_distinct("p")).alias("phrase"))
-        parts = found.select(doc, "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
-        counted = parts.join(words, [doc, "term"]).groupBy(doc, "phrase").agg(F.min("frequency").alias("frequency"))
-        terms = words.unionByName(counted.withColumnRenamed("phrase", "term"))
-    top = F.max("frequency").over(Window.partitionBy(doc))
-    return terms.select(doc, F.lit(field).alias("field"), "term", "frequency", (F.col("frequency") / top).alias("normalized_tf"))
+    kind = docs.schema[doc].dataType.simpleString()
+    parting = phrase_stopwords if stemmed else stopwords
+    tokens = docs.select(F.col(doc).alias("doc"), tx.tokens(F.col(text)).alias("t"))
+    terms = tokens.mapInArrow(_count_terms(stopwords, parting, stemmed, with_phrases), f"doc {kind}, term string, frequency long, normalized_tf double")
+    return terms.select(F.col("doc").alias(doc), F.lit(field).alias("field"), "term", "frequency", "normalized_tf")
 
 
 def word_dictionary(terms: DataFrame, term: str = "term") -> DataFrame:

@@ -128,12 +128,34 @@ def test_stemmed_postings_and_phrases(spark):
     assert {k for k in got} >= {(1, "crawl"), (1, "crawler"), (1, "museum"), (1, "crawl crawler crawl")} and {d for d, _ in got} == {1}
 
 
-def test_stems_of_arrays_with_nulls(spark):
-    from spindrift.functions.porter import stem_all
+def test_postings_of_many_texts_match_plain_counting(spark):
+    """Batches larger than one slice, empty texts between, phrases at the borders of texts."""
+    import random
+    from collections import Counter
 
-    df = spark.createDataFrame([(1, ["searching", None, "museums"]), (2, None), (3, []), (4, ["searching"])], "i long, w array<string>")
-    assert {r.i: r.s for r in df.select("i", stem_all(F.col("w")).alias("s")).collect()} == {1: ["search", None, "museum"], 2: None, 3: [], 4: ["search"]}
-    assert df.limit(0).select(stem_all(F.col("w"))).count() == 0
+    from spindrift.functions.porter import stem
+    from spindrift.operators.index import text_postings
+
+    r = random.Random(2)
+    vocabulary = "the of and museums museum crawling old harbour will ship ships quiet".split()
+    texts = {i: " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 2, 3, 40]))) for i in range(1300)}
+    want = {}
+    for i, t in texts.items():
+        tokens = t.split()
+        words = Counter(stem(w) for w in tokens if w not in tx.STOPWORDS)
+        runs, now = [], []
+        for w in [*tokens, None]:
+            if w is None or w in tx.PHRASE_STOPWORDS:
+                runs.append(now)
+                now = []
+            elif w not in tx.STOPWORDS:
+                now.append(stem(w))
+        found = dict(words) | {" ".join(x): min(words[y] for y in x) for x in runs if 2 <= len(x) <= 3}
+        for term, n in found.items():
+            want[i, term] = (n, n / max(found.values()))
+    df = spark.createDataFrame(list(texts.items()), "d long, t string").repartition(2)
+    got = {(x.d, x.term): (x.frequency, x.normalized_tf) for x in text_postings(df, "d", "t", "body", with_phrases=True, stemmed=True).collect()}
+    assert got == want
 
 
 def test_analyse_query_stems():
