@@ -128,9 +128,11 @@ def _mills(w: "np.ndarray") -> "np.ndarray":
     return np.where(w < 3, small, 1 / (w + t))
 
 
-def item_counts(rows: DataFrame) -> DataFrame:
-    """(item, n), written; rows distinct in (basket, item)."""
-    return materialize(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "pairs-items")
+def degrees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((item, n), (basket, n)): rows per item and per basket, counted in one pass and written; rows distinct in (basket, item)."""
+    both = rows.select("item", "basket").groupingSets([["item"], ["basket"]], "item", "basket").agg(F.count(F.lit(1)).alias("n"))
+    both = materialize(both, "pairs-degrees")
+    return both.filter("item is not null").select("item", "n"), both.filter("item is null").select("basket", "n")
 
 
 def eligible(counts: DataFrame, n_baskets: int, min_count: int, max_share: tuple[int, int]) -> DataFrame:
@@ -157,15 +159,16 @@ def pair_counts(
     """
     num, den = share
     least = min_count if min_shared is None else min_shared
-    counts = item_counts(rows) if counts is None else counts
+    counts = degrees(rows)[0] if counts is None else counts
     # the joins below spread large baskets, and items with many candidates, over several tasks
     sized = _sized(rows)
     kept = skew.lookup_join(sized, eligible(counts, n_baskets, min_count, max_share), "item", hot_in=rows, spread=["basket"])
     need = F.ceil(F.col("n") * num / F.lit(den))
     t = F.ceil(F.col("n") / F.lit(4))
     ranked = skew.range_rank(kept.select("basket", "item", "n", "size"), ["item"], ["size", "basket"], label="pairs-order")
-    ranked = materialize(ranked.select("basket", "item", "n", (F.col("position") <= F.least(F.col("n"), F.col("n") - need + t)).alias("opens")), "pairs-rows")
-    hot = skew.hot_keys(ranked, "basket")
+    # the ranks are a written table and a broadcast of offsets, so each reader below takes its columns from that table
+    ranked = ranked.select("basket", "item", "n", (F.col("position") <= F.least(F.col("n"), F.col("n") - need + t)).alias("opens"))
+    hot = skew.hot_keys(ranked.select("basket"), "basket")
     opened = ranked.filter("opens").select(F.col("item").alias("a"), F.col("n").alias("na"), "basket")
     other = ranked.select(F.col("item").alias("b"), F.col("n").alias("nb"), "basket")
     rarer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -226,10 +229,9 @@ def false_discovery_cut(scored: DataFrame, n_tests: int, rate: float = 0.05, ste
     return cut
 
 
-def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int], min_shared: int | None, counts: DataFrame) -> DataFrame:
-    item_degrees = degree_histogram(counts, "n")
-    basket_degrees = degree_histogram(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("n")), "n")
-    return surprise(pair_counts(rows, n_baskets, min_count, share, max_share, min_shared, counts), item_degrees, basket_degrees)
+def _scored(rows: DataFrame, n_baskets: int, min_count: int, share: tuple[int, int], max_share: tuple[int, int], min_shared: int | None, items: DataFrame, baskets: DataFrame) -> DataFrame:
+    found = pair_counts(rows, n_baskets, min_count, share, max_share, min_shared, items)
+    return surprise(found, degree_histogram(items, "n"), degree_histogram(baskets, "n"))
 
 
 def _stable(rows: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def co_occurrence(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tu
     Rows that carry the ``size`` of their basket (which only orders the baskets) are taken to be distinct and without nulls.
     """
     kept = _stable(rows)
-    return _scored(kept, n_baskets, min_count, share, max_share, None, item_counts(kept))
+    return _scored(kept, n_baskets, min_count, share, max_share, None, *degrees(kept))
 
 
 def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tuple[int, int] = (3, 4), max_share: tuple[int, int] = (1, 5), rate: float = 0.05, min_shared: int | None = None) -> DataFrame:
@@ -254,7 +256,7 @@ def significant(rows: DataFrame, n_baskets: int, min_count: int = 7, share: tupl
     whole only with a share of 0 and ``min_shared`` 1 (pairs without a shared basket have p = 1).
     """
     kept = _stable(rows)
-    counts = item_counts(kept)
-    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share, min_shared, counts), "pairs-scored")
-    v = eligible(counts, n_baskets, min_count, max_share).count()
+    items, baskets = degrees(kept)
+    scored = materialize(_scored(kept, n_baskets, min_count, share, max_share, min_shared, items, baskets), "pairs-scored")
+    v = eligible(items, n_baskets, min_count, max_share).count()
     return scored.withColumn("significant", F.col("log10_p") <= false_discovery_cut(scored, v * (v - 1) // 2, rate))
