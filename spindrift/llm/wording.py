@@ -269,16 +269,16 @@ OWN, WEAK, MESSAGE, BLAND = 0, 1, 2, 3
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Several words that are one, and elided articles and negations.
 _ONE = (
-    (re.compile(r"\bjava script"), "javascript"),
-    (re.compile(r"\bclient[ -]side\b"), "clientside"),
-    (re.compile(r"\b(?:timed?|times|timing)[ -]out\b"), "timeout"),
-    (re.compile(r"\b(?:run|ran|runs|logged|signed) out\b"), "expired"),
-    (re.compile(r"\bno (?:longer|more)\b"), "not"),
+    (re.compile(r"\bjava\s+script"), "javascript"),
+    (re.compile(r"\bclient[\s-]+side\b"), "clientside"),
+    (re.compile(r"\b(?:timed?|times|timing)[\s-]+out\b"), "timeout"),
+    (re.compile(r"\b(?:run|ran|runs|logged|signed)\s+out\b"), "expired"),
+    (re.compile(r"\bno\s+(?:longer|more)\b"), "not"),
     (re.compile(r"\b([cdjlmnst]|qu)['’](?=\w)"), r"\1 "),
 )
 
 
-_ANY_ONE = re.compile("java script|client[ -]side|ti(?:m(?:ed?|es|ing))[ -]out|(?:r[ua]n|runs|logged|signed) out|no (?:longer|more)|['’]")
+_ANY_ONE = re.compile(r"java\s|client[\s-]|\sout\b|-out\b|\bno\s|['’]")
 
 
 def tokens(sentence: str) -> list[str]:
