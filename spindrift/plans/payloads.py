@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from spindrift.plans.oracle import _POST, _STANDING, _VEC, _joined, _pairs, _pos
 from spindrift.plans.queries import ANY, _index
 from spindrift.plans.queries import _posts as _postings
 from spindrift.plans.spec import JoinedQuery, Query
-from spindrift.session import shared_dir
+from spindrift.session import materialize, scratch_path
 from spindrift.sources import html as src
 from spindrift.tables import standing_pages, standing_postings, table
 
@@ -280,7 +279,7 @@ def q_tokenize_contractions(spark: Spark, d: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_write_table(spark: Spark, d: str) -> DataFrame:
     """A table created, replaced, and read back."""
-    path = f"{shared_dir(spark)}/spindrift-written-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "written")
     storage.write_table(table(spark, d, "region"), path)
     storage.write_table(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return spark.read.parquet(path)
@@ -355,8 +354,6 @@ SELECT word1_id, word2_id, round(CASE WHEN word1_id IN (SELECT i FROM aff) OR wo
 )
 def q_pmi_refresh(spark: Spark, d: str) -> DataFrame:
     """Stored values (here: one too high) of all pairs that the changed words can have touched are replaced by fresh ones."""
-    from spindrift.session import materialize
-
     fresh = materialize(pmi.page_values(_postings(spark, d), "body"), "pmi")
     words = table(spark, d, "keyword").filter(F.col("word").isin(*ANY)).select("word_id")
     return pmi.refresh(fresh.withColumn("pmi", F.col("pmi") + 1), fresh, words).withColumn("pmi", F.round("pmi", 6))
@@ -369,7 +366,7 @@ UNION ALL SELECT 'pmi', count(*) FROM (SELECT word1_id, word2_id FROM tl_title U
 )
 def q_offline_build(spark: Spark, d: str) -> DataFrame:
     """All offline jobs anew: index, PageRank, PMI, written; the rows of each table."""
-    path = f"{shared_dir(spark)}/spindrift-offline-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "offline")
     ix = build_offline(spark, d, path)
     tables = {n: getattr(ix, n) for n in ("pages", "postings", "idf", "vectors", "norms", "tops")} | {"pmi": spark.read.parquet(f"{path}/pmi")}
     out = None

@@ -84,11 +84,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     with _shuffles_dropped(spark):
         df.write.parquet(path)
+    _registered(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _registered(spark: SparkSession, path: str) -> None:
     if not _paths:
         atexit.unregister(drop_materialized)
         atexit.register(drop_materialized)  # after Spark's own hooks were registered, so that it runs before them
     _paths.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
 
 
 def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -99,10 +103,7 @@ def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     with _shuffles_dropped(spark):
         df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
-    if not _paths:
-        atexit.unregister(drop_materialized)
-        atexit.register(drop_materialized)
-    _paths.append((spark, path))
+    _registered(spark, path)
     _names[path] = name
     return spark.table(name)
 
@@ -132,6 +133,13 @@ def drop_materialized(since: int = 0) -> int:
     return n
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder for a caller's own tables; dropped like those of :func:`materialize`."""
+    path = f"{shared_dir(spark)}/spindrift-{label}-{uuid.uuid4().hex}"
+    _registered(spark, path)
+    return path
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Intermediate tables written inside the block are deleted at its end; write the results within it."""
