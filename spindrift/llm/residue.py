@@ -17,8 +17,8 @@
    OWN_SHARE of the letters and their unknown words at most NOISE_SHARE, and none
    of them is prose: of PROSE_WORDS words or more, most of them unknown.
 
-Shares are of the whole text and no rule has a length, so that a text repeated,
-or put amid navigation, is judged as before.
+Shares are of the whole text and no rule depends on its length, so that a text
+repeated, or put amid navigation, is judged as before.
 
 Headings and footers are the first and last lines that recur in their source
 (in EDGE_TEXTS of its texts with as many different rests, and in EDGE_SHARE of
@@ -183,6 +183,8 @@ def has_slot(canonical: str) -> bool:
 _ZERO = re.compile("[\u200b-\u200f\u202a-\u202e\u2060\ufeff\u180e]")
 _LINES = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？!])|\s[–—|»]\s|(?<=:)\s+")
+#: Where two sentences are glued together.
+_GLUED = re.compile(r"(?<=[^\W\d_]{2}[.!?])(?=[^\W\d_]{2})")
 _END = re.compile(r"[.!?。！？]\s*$")
 _ADDRESS = re.compile(r"https?\s*:\s*//\S+|www\.\S+|\S+@\S+|(?:^|(?<=\s))/[\w./~%-]+")
 _HOST_END = re.compile(r"\.(?:example|com|org|net|html?|php|py|java)\b")
@@ -300,17 +302,18 @@ def _pieces(line: str) -> Iterator[str]:
 
 def _units(line: str, place: int) -> Iterator[Unit]:
     for piece in _pieces(line):
-        sentence = _mask(piece)
-        if _CODE_MARK.search(sentence):
-            sentence = _CODE_NAME.sub(_code_name, sentence)
-        flat = _letters(sentence)
-        if not flat or _NAV.fullmatch(flat):
-            continue
-        words = wording.tokens(sentence)
-        j = wording.judge(sentence, words)
-        cjk = sum(map(len, wording._CJK.findall(sentence))) if not sentence.isascii() else 0
-        long = cjk >= PROSE_LETTERS if cjk else len(words) >= PROSE_WORDS
-        yield Unit(_hash(flat), j.letters, j.unknown, j.kind, j.wide, place, long and j.unknown >= PROSE_SHARE * j.letters)
+        masked = _mask(piece)
+        if _CODE_MARK.search(masked):
+            masked = _CODE_NAME.sub(_code_name, masked)
+        for sentence in _GLUED.split(masked):
+            flat = _letters(sentence)
+            if not flat or _NAV.fullmatch(flat):
+                continue
+            words = wording.tokens(sentence)
+            j = wording.judge(sentence, words)
+            cjk = sum(map(len, wording._CJK.findall(sentence))) if not sentence.isascii() else 0
+            long = cjk >= PROSE_LETTERS if cjk else len(words) >= PROSE_WORDS
+            yield Unit(_hash(flat), j.letters, j.unknown, j.kind, j.wide, place, long and j.unknown >= PROSE_SHARE * j.letters)
 
 
 def _hash(rest: str | None) -> int | None:
