@@ -69,20 +69,25 @@ class WordSets:
         return self.title_not | self.body_not | self.page_not
 
 
-def candidates(pages: DataFrame, postings: DataFrame, sets: WordSets, dates: Column | None = None, literal_not: bool = False) -> DataFrame:
-    """webpage_id of the pages that satisfy every non-empty set and the date condition; a chain of semi and anti joins."""
+def candidates(pages: DataFrame, postings: DataFrame, sets: WordSets, dates: Column | None = None, literal_not: bool = False, closed: bool = False) -> DataFrame:
+    """webpage_id of the pages that satisfy every non-empty set and the date condition; a chain of semi and anti joins.
+
+    ``closed`` says that ``postings`` are of ``pages`` only: then the chain begins with the first set of wanted words, and the
+    pages are read for dates or for want of such a set alone.
+    """
     s = sets.reduced()
-    out = pages if dates is None else pages.filter(dates)
-    out = out.select("webpage_id")
-    for v in ("title", "body", "page"):
-        view = field_view(postings, v)
-        for kind, of in (("any", having_any), ("all", having_all)):
-            words = getattr(s, f"{v}_{kind}")
-            if words:
-                out = out.join(of(view, words), "webpage_id", "left_semi")
+    views = {v: field_view(postings, v) for v in ("title", "body", "page")}
+    wanted = [of(views[v], getattr(s, f"{v}_{kind}")) for v in views for kind, of in (("any", having_any), ("all", having_all)) if getattr(s, f"{v}_{kind}")]
+    if closed and dates is None and wanted:
+        out = wanted.pop(0)
+    else:
+        out = (pages if dates is None else pages.filter(dates)).select("webpage_id")
+    for rows in wanted:
+        out = out.join(rows, "webpage_id", "left_semi")
+    for v in views:
         words = getattr(s, f"{v}_not")
         if words:
-            out = out.join((having_other if literal_not else having_any)(view, words), "webpage_id", "left_anti")
+            out = out.join((having_other if literal_not else having_any)(views[v], words), "webpage_id", "left_anti")
     return out
 
 

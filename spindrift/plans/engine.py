@@ -125,7 +125,7 @@ class Engine:
     # ---------------------------------------------------------------- search
 
     def scores(self, vector: DataFrame, pages: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
-        """(webpage_id, cosine) for each candidate page.
+        """(webpage_id, cosine) for each candidate page that has postings; the joins with norms and pages are inner ones, so that few candidates are broadcast.
 
         ``weights`` has the vector as literals where it is known on the driver;
         so has this a vector of up to LITERAL_WORDS counted rows.  Then only the
@@ -142,12 +142,12 @@ class Engine:
             q = self._small(weights, "q")
             norm = math.sqrt(sum(w * w for w in weights.values()))
             dots = vectors.join(F.broadcast(q), "word_id").groupBy("webpage_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-            both = pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id", "left")
+            both = pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id")
             return both.select("webpage_id", vec.cosine(F.col("dot"), F.col("norm"), F.lit(norm)).alias("cosine"))
         qn = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
         dots = vec.dots(vectors, "webpage_id", q)
         c = vec.cosine(F.col("dot"), F.col("norm"), F.col("qn"))
-        return pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id", "left").crossJoin(F.broadcast(qn)).select("webpage_id", c.alias("cosine"))
+        return pages.join(dots, "webpage_id", "left").join(self.ix.norms, "webpage_id").crossJoin(F.broadcast(qn)).select("webpage_id", c.alias("cosine"))
 
     def rank_ends(self) -> tuple[float | None, float | None]:
         """Lowest and highest PageRank of all pages, act or not."""
@@ -166,10 +166,9 @@ class Engine:
         modified = original if plain else self.modified_vector(tf, original, history)
         # words that every page has can't tell pages apart, and words marked "not" are no candidates
         sets.page_any = {i for i in sets.page_any if weights.get(i, -1) >= 0 or i == MISSING_WORD}
-        pages = boolean.candidates(self.ix.pages, self.ix.postings, sets, boolean.date_range("last_modified_date", q.from_date, q.to_date) if q.from_date or q.to_date else None, literal_not)
+        pages = boolean.candidates(self.ix.pages, self.ix.postings, sets, boolean.date_range("last_modified_date", q.from_date, q.to_date) if q.from_date or q.to_date else None, literal_not, closed=True)
         if not weights:
             pages = pages.limit(0)
-        pages = pages.join(self.ix.norms.select("webpage_id"), "webpage_id", "left_semi")
         o = self.scores(original, pages, weights).withColumnRenamed("cosine", "original_score")
         m = o if plain else self.scores(modified, pages).withColumnRenamed("cosine", "m")
         both = o.withColumn("m", F.col("original_score")) if m is o else o.join(m, "webpage_id")
