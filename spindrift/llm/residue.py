@@ -108,6 +108,7 @@ _PAIRED_TAG = re.compile(r"<\s*([a-z][a-z0-9]*)\b[^>]*>(.*?)<\s*/\s*\1\s*>", re.
 _BLANKS = re.compile(r"[ \t\xa0]{2,}")
 #: Strings of which a strong, a weak slot, a marked note and a note in words have at least one.
 _STRONG_MARKS = ("{{", "${", "#{", "{$", "{!", "%%", "@@", "##", "<%", "{%", "[[", "*|")
+_MARK_CHARACTERS = "{[<(%$#@*«"
 _WEAK_MARKS = ("[", "<", "{", "«", "$", "%", "__")
 _NOTE_MARKS = ("[", "<", "(ins", "( ins", "(hier", "(aqu", "( aqu")
 _NOTE_WORDS = (" here", "tbd", "tbc", "tba", "todo", "to do", "to-do", "fixme", "add your", "for this ", "from the editor", " hier", " ici", " aquí", "здесь", "在此", "请", "ここに")
@@ -145,7 +146,10 @@ def _is_slot_name(name: str, names: set = _SLOT_NAMES) -> bool:
 
 def has_slot(canonical: str) -> bool:
     """Whether a canonical text has an unfilled slot or an editor's note outside quotations and code."""
-    strong, weak, marked, noted = (any(x in canonical for x in marks) for marks in (_STRONG_MARKS, _WEAK_MARKS, _NOTE_MARKS, _NOTE_WORDS))
+    noted = any(x in canonical for x in _NOTE_WORDS)
+    strong = weak = marked = False
+    if any(c in canonical for c in _MARK_CHARACTERS) or "__" in canonical:
+        strong, weak, marked = (any(x in canonical for x in marks) for marks in (_STRONG_MARKS, _WEAK_MARKS, _NOTE_MARKS))
     if not (strong or weak or marked or noted):
         return False
     t = _without_blocks(canonical) if "{%" in canonical else canonical
@@ -302,7 +306,7 @@ def _pieces(line: str) -> Iterator[str]:
 
 def _units(line: str, place: int) -> Iterator[Unit]:
     for piece in _pieces(line):
-        masked = _mask(piece)
+        masked = _mask(piece) if _masks_letters(piece) else piece
         if _CODE_MARK.search(masked):
             masked = _CODE_NAME.sub(_code_name, masked)
         for sentence in _GLUED.split(masked):
