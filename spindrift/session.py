@@ -77,7 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage and makes the rows stable: whoever reads the result twice
     sees the same rows, also after an executor was lost.  The table lasts until
-    the :func:`scratch` block around it ends, :func:`drop_materialized` is called, or the process ends.
+    the :func:`scratch` block around it ends, :func:`drop_materialized` is called, or the process ends with its session up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{label}-{uuid.uuid4().hex}"
