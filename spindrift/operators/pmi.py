@@ -3,7 +3,7 @@
 For a page with words a and b, each above the field's frequency threshold, the
 pair's value is log10(min(f_a, f_b) * N / (F_a * F_b)): F the words' summed
 frequencies above the threshold, N the summed frequency of all postings.  Pairs
-are formed within a page as a < b; a large page's join is spread over tasks.
+are formed within a page as a < b, where the rarer word's pairs are (``cooccur``).
 
 ``literal``    one value per (pair, page); the highest counts; kept are the pairs
                whose value is among the five highest distinct values of all.
@@ -13,44 +13,40 @@ are formed within a page as a < b; a large page's join is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift import skew
 from spindrift.config import DEFAULT, Config
+from spindrift.operators import cooccur
 from spindrift.session import materialize
 
 
-def field_pairs(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
-    """(word1_id, word2_id, webpage_id, m, total1, total2, n) of every pair on every page; ``postings`` of act pages, live."""
-    above = cfg.title_frequency_above if field == "title" else cfg.body_frequency_above
-    own = postings.filter(F.col("field") == field)
-    n = own.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("n"))
-    # few rows are above the threshold; they are read for the totals and on both sides of the pairs
-    frequent = materialize(own.filter(F.col("frequency") > above).select("webpage_id", "word_id", "frequency"), f"strong-{field}")
-    total = frequent.groupBy("word_id").agg(F.sum("frequency").alias("F"))
-    strong = skew.lookup_join(frequent, total, "word_id", spread=["webpage_id"])
-    a = strong.select("webpage_id", F.col("word_id").alias("word1_id"), F.col("frequency").alias("freq1"), F.col("F").alias("total1"))
-    b = strong.select("webpage_id", F.col("word_id").alias("word2_id"), F.col("frequency").alias("freq2"), F.col("F").alias("total2"))
-    # a page of very many such words is spread: each task pairs some of its words with all others
-    pairs = skew.salted_join(a, b, "webpage_id", hot=skew.hot_keys(frequent, "webpage_id"), spread=["word1_id"]).filter("word1_id < word2_id")
-    return pairs.select("word1_id", "word2_id", "webpage_id", F.least("freq1", "freq2").alias("m"), "total1", "total2").crossJoin(F.broadcast(n))
+def page_values(postings: DataFrame, field: str, cfg: Config = DEFAULT, touching: DataFrame | None = None) -> DataFrame:
+    """(word1_id, word2_id, pmi): the highest per-page value above the threshold; with ``touching`` (word_id) only of pairs that have one of these words."""
+    s = cooccur.strong(postings, [field], False, cfg)
+    return cooccur.all_values(s) if touching is None else cooccur.values_touching(s, touching)
 
 
-def _value(m):
-    return F.log10(m * F.col("n") / (F.col("total1") * F.col("total2")))
+def pair_values(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
+    """(word1_id, word2_id, pmi) from the summed minima, above the threshold."""
+    return cooccur.all_values(cooccur.strong(postings, [field], True, cfg))
 
 
-def page_values(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
-    """(word1_id, word2_id, pmi): the highest per-page value above the threshold."""
-    p = field_pairs(postings, field, cfg).withColumn("pmi", F.round(_value(F.col("m")), 9)).filter(F.col("pmi") > cfg.pmi_above)
-    return p.groupBy("word1_id", "word2_id").agg(F.max("pmi").alias("pmi"))
+def combined_pair_values(postings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """:func:`combine_fields` of both fields' :func:`pair_values`; a pair's fields are added up where its owner's pairs are."""
+    return cooccur.all_values(cooccur.strong(postings, ["title", "body"], True, cfg, [cfg.pmi_title_weight, cfg.pmi_body_weight]))
 
 
-def pair_values(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
-    """(word1_id, word2_id, pmi) from the summed minima, above the threshold."""
-    p = field_pairs(postings, field, cfg).groupBy("word1_id", "word2_id").agg(F.sum("m").alias("m"), F.first("total1").alias("total1"), F.first("total2").alias("total2"), F.first("n").alias("n"))
-    return p.select("word1_id", "word2_id", F.round(_value(F.col("m")), 9).alias("pmi")).filter(F.col("pmi") > cfg.pmi_above)
+def page_values_top(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
+    """:func:`top_literal` of :func:`page_values`, without the values being written."""
+    return cooccur.highest(cooccur.strong(postings, [field], False, cfg), cfg.max_co_occurrence_terms)
+
+
+def pair_values_top(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
+    """:func:`top_per_term` of :func:`pair_values`, without the values being written."""
+    return cooccur.highest_per_word(cooccur.strong(postings, [field], True, cfg), cfg.max_co_occurrence_terms)
 
 
 def top_literal(values: DataFrame, n: int = DEFAULT.max_co_occurrence_terms) -> DataFrame:
@@ -84,23 +80,23 @@ def build(postings: DataFrame, mode: str = "literal", cfg: Config = DEFAULT) ->
     """The combined table in either mode."""
     per_field = []
     for f in ("title", "body"):
-        per_field.append(top_literal(page_values(postings, f, cfg)) if mode == "literal" else top_per_term(pair_values(postings, f, cfg)))
+        per_field.append(page_values_top(postings, f, cfg) if mode == "literal" else pair_values_top(postings, f, cfg))
     return combine_fields(*per_field, cfg)
 
 
-def delete_words(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs that touch none of the words, word_id of all words in the pairs removed)."""
-    w = words.select("word_id").distinct()
-    touched = pairs.join(w.withColumnRenamed("word_id", "word1_id"), "word1_id", "left_semi").unionByName(pairs.join(w.withColumnRenamed("word_id", "word2_id"), "word2_id", "left_semi")).distinct()
-    rest = pairs.join(touched.select("word1_id", "word2_id"), ["word1_id", "word2_id"], "left_anti")
-    return rest, both_directions(touched).select("word_id").distinct()
+def delete_words(pairs: DataFrame, words: DataFrame, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs that touch none of the words, word_id of all words in the pairs removed); ``touched``: those pairs, if they are had without reading ``pairs``."""
+    touched = cooccur.touching(pairs, words) if touched is None else touched
+    return cooccur.touching(pairs, words, either=False), both_directions(touched).select("word_id").distinct()
+
 
+def refresh(pairs: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], words: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with everything that touches ``words`` or a word paired with them replaced by freshly computed ``values``.
 
-def refresh(pairs: DataFrame, values: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs`` with everything that touches ``words`` or a word paired with them replaced by freshly computed ``values``."""
-    rest, affected = delete_words(pairs, words)
-    all_affected = affected.unionByName(words.select("word_id")).distinct()
-    rest, _ = delete_words(rest, all_affected)
-    a = all_affected
-    fresh = values.join(a.withColumnRenamed("word_id", "word1_id"), "word1_id", "left_semi").unionByName(values.join(a.withColumnRenamed("word_id", "word2_id"), "word2_id", "left_semi")).distinct()
-    return rest.unionByName(fresh.select("word1_id", "word2_id", "pmi"))
+    ``values`` are all of them, or a function that gives those that have one of its words.  Pairs are
+    read, not written or shuffled: only the words that are affected are.
+    """
+    touched = cooccur.touching(pairs, words) if touched is None else touched
+    affected = materialize(both_directions(touched).select("word_id").unionByName(words.select("word_id")).distinct(), "affected")
+    fresh = values(affected) if callable(values) else cooccur.touching(values, affected)
+    return cooccur.touching(pairs, affected, either=False).unionByName(fresh.select("word1_id", "word2_id", "pmi"))

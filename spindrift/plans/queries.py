@@ -331,7 +331,7 @@ def _engine(spark: Spark, d: str, with_pmi: bool = False) -> Engine:
 
 
 def _pmi_per_term(spark: Spark, d: str) -> DataFrame:
-    return _built(spark, d, "pmi-body", lambda: pmi.top_per_term(pmi.pair_values(_index(spark, d).postings, "body")))
+    return _built(spark, d, "pmi-body", lambda: pmi.pair_values_top(_index(spark, d).postings, "body"))
 
 
 def _history(e: Engine, spark: Spark, d: str) -> History:
@@ -434,30 +434,34 @@ def _posts(spark: Spark, d: str) -> DataFrame:
     return _index(spark, d).postings
 
 
+def _six(pmi: DataFrame) -> DataFrame:
+    """Values of nine digits with six: on whole numbers, as rounding a decimal takes longer than all else that a pair needs."""
+    return pmi.withColumn("pmi", F.expr("((CAST(rint(pmi * 1e9) AS BIGINT) + 500) DIV 1000) / 1e6"))
+
+
 @query
 def q_pmi_title(spark: Spark, d: str) -> DataFrame:
-    return pmi.page_values(_posts(spark, d), "title").withColumn("pmi", F.round("pmi", 6))
+    return _six(pmi.page_values(_posts(spark, d), "title"))
 
 
 @query
 def q_pmi_body(spark: Spark, d: str) -> DataFrame:
-    return pmi.page_values(_posts(spark, d), "body").withColumn("pmi", F.round("pmi", 6))
+    return _six(pmi.page_values(_posts(spark, d), "body"))
 
 
 @query
 def q_pmi_combined(spark: Spark, d: str) -> DataFrame:
-    p = _posts(spark, d)
-    return pmi.combine_fields(pmi.pair_values(p, "title"), pmi.pair_values(p, "body")).withColumn("pmi", F.round("pmi", 6))
+    return _six(pmi.combined_pair_values(_posts(spark, d)))
 
 
 @query
 def q_pmi_top_literal(spark: Spark, d: str) -> DataFrame:
-    return pmi.top_literal(pmi.page_values(_posts(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
+    return _six(pmi.page_values_top(_posts(spark, d), "body"))
 
 
 @query
 def q_pmi_top_per_term(spark: Spark, d: str) -> DataFrame:
-    return pmi.top_per_term(pmi.pair_values(_posts(spark, d), "body")).withColumn("pmi", F.round("pmi", 6))
+    return _six(pmi.pair_values_top(_posts(spark, d), "body"))
 
 
 @query
@@ -472,9 +476,9 @@ def q_pmi_expand(spark: Spark, d: str) -> DataFrame:
 @query
 def q_pmi_delete_affected(spark: Spark, d: str) -> DataFrame:
     """Pairs left, and words affected, when the postings of two words change."""
-    values = materialize(pmi.page_values(_posts(spark, d), "body"), "pmi")
+    posts = _posts(spark, d)
     words = table(spark, d, "keyword").filter(F.col("word").isin(*ANY)).select("word_id")
-    rest, affected = pmi.delete_words(values, words)
+    rest, affected = pmi.delete_words(pmi.page_values(posts, "body"), words, pmi.page_values(posts, "body", touching=words))
     return rest.select(F.lit("rest").alias("kind"), F.col("word1_id").alias("a"), F.col("word2_id").alias("b")).unionByName(affected.select(F.lit("affected").alias("kind"), F.col("word_id").alias("a"), F.lit(0).cast("long").alias("b")))
 
 
