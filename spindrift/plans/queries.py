@@ -331,7 +331,8 @@ def _engine(spark: Spark, d: str, with_pmi: bool = False) -> Engine:
 
 
 def _pmi_per_term(spark: Spark, d: str) -> DataFrame:
-    return _built(spark, d, "pmi-body", lambda: pmi.pair_values_top(_index(spark, d).postings, "body"))
+    """Made anew where it is read: written, it would be larger than all the data."""
+    return pmi.pair_values_top(_index(spark, d).postings, "body")
 
 
 def _history(e: Engine, spark: Spark, d: str) -> History:

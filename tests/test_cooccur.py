@@ -135,3 +135,10 @@ def test_no_exchange_or_scratch_table_has_the_pairs(spark, small, name):
     above = [line for line in plan.split("== Initial Plan ==")[0].split("\n") if "Exchange" in line and "Broadcast" not in line]
     assert all("pmi" not in line for line in above)
     assert "MapInArrow" in plan
+
+
+def test_the_table_per_word_is_not_written(spark, small):
+    import __spark_entry__ as entry
+
+    entry.queries()["q_pmi_expand"](spark, small).collect()
+    assert not [x for x in os.listdir(session.shared_dir(spark)) if x.startswith("spindrift-pmi-body-")]
