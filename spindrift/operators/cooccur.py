@@ -15,7 +15,7 @@ then by pair.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from spindrift import skew
 from spindrift.config import DEFAULT, Config
 from spindrift.session import materialize, shuffle_partitions
+from spindrift.tables import ByPage
 
 _PAIR = "word1_id long, word2_id long, pmi double"
-#: Pairs of a block, which is at least one owner.
-_BLOCK = 1 << 19
+#: Pairs of a block, which is at least one owner; a column of it stays in a core's cache.
+_BLOCK = 1 << 16
 #: Words up to which pairs are filtered without a shuffle; a row is an id, and pairs are far more than rows elsewhere.
 _MARKED = 1_000_000
 #: Rows of an Arrow batch that goes back.
@@ -68,17 +69,28 @@ class Strong:
     tasks: int
 
 
-def strong(postings: DataFrame, fields: Sequence[str], summed: bool, cfg: Config = DEFAULT, weights: Sequence[float] | None = None) -> Strong:
-    """``postings`` of act pages, live; ``total`` is a word's summed frequency in the field, above the field's threshold."""
-    spark = postings.sparkSession
+def strong(postings: DataFrame | ByPage, fields: Sequence[str], summed: bool, cfg: Config = DEFAULT, weights: Sequence[float] | None = None) -> Strong:
+    """``postings`` of act pages, live; ``total`` is a word's summed frequency in the field, above the field's threshold.
+
+    A table of them is read twice; of those that lie by page, which are a plan, all is made in one pass.
+    """
     above = {"title": cfg.title_frequency_above, "body": cfg.body_frequency_above}
     own = [F.col("field") == f for f in fields]
-    sums = postings.agg(*[F.coalesce(F.sum(F.when(o, F.col("frequency"))), F.lit(0)).alias(f"n{i}") for i, o in enumerate(own)]).first()
+    sums = [F.coalesce(F.sum(F.when(o, F.col("frequency"))), F.lit(0)).alias(f"n{i}") for i, o in enumerate(own)]
     kept, number = F.lit(False), F.lit(None).cast("int")
     for i, (f, o) in enumerate(zip(fields, own)):
         kept, number = kept | (o & (F.col("frequency") > above[f])), F.when(o, F.lit(i)).otherwise(number)
+    row = [number.alias("of"), "webpage_id", "word_id", F.col("frequency").alias("f")]
     # few rows are above the threshold; they are read for the totals and for the lists
-    frequent = materialize(postings.filter(kept).select(number.alias("of"), "webpage_id", "word_id", F.col("frequency").alias("f")), "strong")
+    if isinstance(postings, ByPage):
+        by_page = postings.rows.groupBy(*postings.keys).agg(*sums, F.collect_list(F.when(kept, F.struct(*row))).alias("rows"))
+        by_page = materialize(by_page.drop(*postings.keys), "strong")
+        n = by_page.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(fields))]).first()
+        frequent = by_page.select(F.inline("rows"))
+    else:
+        n = postings.agg(*sums).first()
+        frequent = materialize(postings.filter(kept).select(*row), "strong")
+    spark = frequent.sparkSession
     words = frequent.groupBy("word_id").agg(F.count(F.lit(1)).alias("lists"), *[F.sum(F.when(F.col("of") == i, F.col("f"))).alias(f"t{i}") for i in range(len(fields))])
     hot, tasks = skew.hot_keys(frequent, "word_id"), shuffle_partitions(spark)
     total, salt = F.col("t0"), F.pmod(F.xxhash64("word_id"), F.lit(tasks)).cast("int")
@@ -87,17 +99,18 @@ def strong(postings: DataFrame, fields: Sequence[str], summed: bool, cfg: Config
     if hot:
         salt = F.when(F.col("word_id").isin(list(hot)), F.lit(-1)).otherwise(salt)
     rows = skew.lookup_join(frequent, words, "word_id", hot_in=frequent, spread=["webpage_id"]).select("of", "webpage_id", "word_id", "f", total.alias("total"), "lists", salt.alias("salt"))
-    rule = Rule([int(x) for x in sums], cfg.pmi_above, summed, list(weights) if weights else None)
+    rule = Rule([int(x) for x in n], cfg.pmi_above, summed, list(weights) if weights else None)
     return Strong(materialize(rows, "strong-totals"), rule, bool(hot), tasks)
 
 
-def _lists(s: Strong, marks: DataFrame | None = None, default: float = 0.0) -> DataFrame:
-    """(of, l): a page's strong words in order; ``marks`` (word_id, x) gives each word a number."""
+def _lists(s: Strong, marks: DataFrame | None = None, default: float = 0.0, marked: bool = False) -> DataFrame:
+    """(of, l): a page's strong words in order; ``marks`` (word_id, x) gives each word a number; ``marked``: only lists that have one above 0."""
     rows = s.rows.withColumn("x", F.lit(0.0))
     if marks is not None:
         rows = skew.lookup_join(s.rows, marks, "word_id", "left", hot_in=s.rows, spread=["webpage_id"]).withColumn("x", F.coalesce("x", F.lit(default)))
     each = F.sort_array(F.collect_list(F.struct("lists", "word_id", "f", "total", "salt", "x")))
-    return materialize(rows.groupBy("of", "webpage_id").agg(each.alias("l")).filter(F.size("l") > 1).select("of", "l"), "lists")
+    lists = rows.groupBy("of", "webpage_id").agg(each.alias("l"), F.max("x").alias("x")).filter(F.size("l") > 1)
+    return materialize((lists.filter("x > 0") if marked else lists).select("of", "l"), "lists")
 
 
 def _sent(s: Strong, lists: DataFrame) -> DataFrame:
@@ -111,7 +124,8 @@ def _sent(s: Strong, lists: DataFrame) -> DataFrame:
 class _Task:
     """What a task holds: flat columns over all its lists."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], owned: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    def __init__(self, batches: Iterator[pa.RecordBatch], owned: Callable[[np.ndarray, np.ndarray], np.ndarray], marked: bool = False) -> None:
+        """``marked``: only the pairs of which a word has a mark above 0 are made."""
         cols: dict[str, list] = {k: [] for k in ("word_id", "f", "total", "x", "own", "of", "size")}
         for b in batches:
             if not b.num_rows:
@@ -127,13 +141,21 @@ class _Task:
         c = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in cols.items()}
         self.words, self.code = np.unique(c["word_id"], return_inverse=True)
         self.f, self.of, own = c["f"], c["of"], c["own"]
-        self.end = np.repeat(np.cumsum(c["size"]), c["size"])
+        end = np.repeat(np.cumsum(c["size"]), c["size"])
         self.x = np.zeros(len(self.words))
         self.x[self.code] = c["x"]
         self.fields = int(self.of.max()) + 1 if len(self.of) else 0
         self.total = np.zeros((self.fields, len(self.words)))
         self.total[self.of, self.code] = c["total"]
-        at = np.flatnonzero(own.astype(bool) & (np.arange(len(own)) < self.end - 1))
+        # an owner's others are those of self.others from begin to end: all that follow it on its list, or those with a mark
+        self.others, self.begin, self.end = None, np.arange(1, len(own) + 1), end
+        if marked:
+            with_mark = np.flatnonzero(c["x"] > 0)
+            self.others = np.concatenate([np.arange(len(own)), with_mark])
+            none = c["x"] <= 0
+            self.begin[none] = len(own) + np.searchsorted(with_mark, self.begin[none])
+            self.end = np.where(none, len(own) + np.searchsorted(with_mark, end), end)
+        at = np.flatnonzero(own.astype(bool) & (self.begin < self.end))
         times = np.bincount(self.code[at], minlength=len(self.words))
         # owners of one list first, as their pairs need no adding up
         self.at = at[np.lexsort((self.code[at], times[self.code[at]] > 1))]
@@ -143,7 +165,7 @@ class _Task:
         """(positions of owners, whether any has several lists); all of an owner's are in one block."""
         if not len(self.at):
             return
-        pairs = np.cumsum(self.end[self.at] - self.at - 1)
+        pairs = np.cumsum(self.end[self.at] - self.begin[self.at])
         code = self.code[self.at]
         ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code))
         begin = 0
@@ -156,9 +178,10 @@ class _Task:
 
     def minima(self, at: np.ndarray, several: bool, summed: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(field, owner, other, m) of each pair of a block, by field; words as codes."""
-        size = self.end[at] - at - 1
+        size = self.end[at] - self.begin[at]
         first = np.cumsum(size) - size
-        other = np.arange(int(size.sum())) + np.repeat(at + 1 - first, size)
+        other = np.arange(int(size.sum())) + np.repeat(self.begin[at] - first, size)
+        other = other if self.others is None else self.others[other]
         a, b = np.repeat(self.code[at], size), self.code[other]
         m = np.minimum(np.repeat(self.f[at], size), self.f[other])
         of = self.of[other] if self.fields > 1 else None
@@ -201,11 +224,11 @@ def _own(salt: np.ndarray, task: np.ndarray) -> np.ndarray:
     return salt == task
 
 
-def _kept_pairs(rule: Rule, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None):
-    """``keep`` is asked with the marks of both words and the value."""
+def _kept_pairs(rule: Rule, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, marked: bool = False):
+    """``keep`` is asked with the marks of both words and the value; if ``marked``, only pairs with a marked word are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _Task(batches, _own)
+        t = _Task(batches, _own, marked)
         for a, b, v in t.valued(rule):
             if keep is not None:
                 k = keep(t.x[a], t.x[b], v)
@@ -312,20 +335,25 @@ def all_values(s: Strong) -> DataFrame:
     """(word1_id, word2_id, pmi) of all pairs above the threshold, one row a pair."""
     lists = _lists(s)
     hot = _hot_values(s, lists)
-    out = _sent(s, lists).mapInArrow(_kept_pairs(s.rule, None), _PAIR)
+    out = _sent(s, lists).mapInArrow(_kept_pairs(s.rule), _PAIR)
     return out if hot is None else out.unionByName(hot)
 
 
 def values_touching(s: Strong, words: DataFrame) -> DataFrame:
-    """As :func:`all_values`, of the pairs that have one of ``words`` (word_id)."""
+    """As :func:`all_values`, of the pairs that have one of ``words`` (word_id); no others are made."""
     marks = materialize(words.select("word_id").distinct().withColumn("x", F.lit(1.0)), "marks")
-    lists = _lists(s, marks)
-    hot = _hot_values(s, lists)
-    lists = lists.filter(F.exists("l", lambda x: x["x"] > 0))
-    out = _sent(s, lists).mapInArrow(_kept_pairs(s.rule, lambda a, b, _: (a > 0) | (b > 0)), _PAIR)
+    lists = _lists(s, marks, marked=True)
+    hot = _hot_values(s, lists)  # of these, the touched ones are whole
+    out = _sent(s, lists).mapInArrow(_kept_pairs(s.rule, marked=True), _PAIR)
     return out if hot is None else out.unionByName(touching(hot, marks))
 
 
+def values_without(s: Strong, words: DataFrame) -> DataFrame:
+    """As :func:`all_values`, of the pairs that have none of ``words`` (word_id), which are taken from the lists before."""
+    words = words.select("word_id").distinct()
+    return all_values(replace(s, rows=skew.lookup_join(s.rows, words, "word_id", "left_anti", hot_in=s.rows, spread=["webpage_id"])))
+
+
 def touching(pairs: DataFrame, words: DataFrame, either: bool = True) -> DataFrame:
     """The pairs that have one of ``words`` (word_id), or if not ``either``, none; up to ``_MARKED`` counted words are broadcast."""
     for side, other in (("word1_id", "word2_id"), ("word2_id", "word1_id")):

@@ -21,12 +21,20 @@ from pyspark.sql import functions as F
 from spindrift.config import DEFAULT, Config
 from spindrift.operators import cooccur
 from spindrift.session import materialize
+from spindrift.tables import ByPage
 
 
-def page_values(postings: DataFrame, field: str, cfg: Config = DEFAULT, touching: DataFrame | None = None) -> DataFrame:
-    """(word1_id, word2_id, pmi): the highest per-page value above the threshold; with ``touching`` (word_id) only of pairs that have one of these words."""
-    s = cooccur.strong(postings, [field], False, cfg)
-    return cooccur.all_values(s) if touching is None else cooccur.values_touching(s, touching)
+def page_strong(postings: DataFrame | ByPage, field: str, cfg: Config = DEFAULT) -> cooccur.Strong:
+    """What :func:`page_values` are made of; given to it in place of the postings, these are read once for all calls."""
+    return cooccur.strong(postings, [field], False, cfg)
+
+
+def page_values(postings: DataFrame | ByPage | cooccur.Strong, field: str, cfg: Config = DEFAULT, touching: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(word1_id, word2_id, pmi): the highest per-page value above the threshold; with ``touching`` (word_id) only of pairs that have one of these words, or ``without``, none."""
+    s = postings if isinstance(postings, cooccur.Strong) else page_strong(postings, field, cfg)
+    if touching is not None:
+        return cooccur.values_touching(s, touching)
+    return cooccur.all_values(s) if without is None else cooccur.values_without(s, without)
 
 
 def pair_values(postings: DataFrame, field: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -84,19 +92,32 @@ def build(postings: DataFrame, mode: str = "literal", cfg: Config = DEFAULT) ->
     return combine_fields(*per_field, cfg)
 
 
-def delete_words(pairs: DataFrame, words: DataFrame, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs that touch none of the words, word_id of all words in the pairs removed); ``touched``: those pairs, if they are had without reading ``pairs``."""
+#: Pairs as a table, or a function that gives those that have none of its words.
+Pairs = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _without(pairs: Pairs, words: DataFrame) -> DataFrame:
+    return pairs(words) if callable(pairs) else cooccur.touching(pairs, words, either=False)
+
+
+def _words(pairs: DataFrame) -> DataFrame:
+    """word_id of both words, in one reading."""
+    return pairs.select(F.explode(F.array("word1_id", "word2_id")).alias("word_id"))
+
+
+def delete_words(pairs: Pairs, words: DataFrame, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs that touch none of the words, word_id of all words in the pairs removed); ``touched``: those pairs, if they are had without reading ``pairs``, which a function needs."""
     touched = cooccur.touching(pairs, words) if touched is None else touched
-    return cooccur.touching(pairs, words, either=False), both_directions(touched).select("word_id").distinct()
+    return _without(pairs, words), _words(touched).distinct()
 
 
-def refresh(pairs: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], words: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+def refresh(pairs: Pairs, values: DataFrame | Callable[[DataFrame], DataFrame], words: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """``pairs`` with everything that touches ``words`` or a word paired with them replaced by freshly computed ``values``.
 
     ``values`` are all of them, or a function that gives those that have one of its words.  Pairs are
-    read, not written or shuffled: only the words that are affected are.
+    read, not written or shuffled: only the words that are affected are.  ``touched`` as in :func:`delete_words`.
     """
     touched = cooccur.touching(pairs, words) if touched is None else touched
-    affected = materialize(both_directions(touched).select("word_id").unionByName(words.select("word_id")).distinct(), "affected")
+    affected = materialize(_words(touched).unionByName(words.select("word_id")).distinct(), "affected")
     fresh = values(affected) if callable(values) else cooccur.touching(values, affected)
-    return cooccur.touching(pairs, affected, either=False).unionByName(fresh.select("word1_id", "word2_id", "pmi"))
+    return _without(pairs, affected).unionByName(fresh.select("word1_id", "word2_id", "pmi"))

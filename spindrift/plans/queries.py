@@ -14,13 +14,13 @@ from spindrift.config import DEFAULT
 from spindrift.functions import porter, url as fu
 from spindrift.functions import text as tx
 from spindrift.functions.vector import combine
-from spindrift.operators import boolean, crawl, expand, history, index, joined, pagerank, pmi, report, storage
+from spindrift.operators import boolean, cooccur, crawl, expand, history, index, joined, pagerank, pmi, report, storage
 from spindrift.plans.engine import Engine, History
 from spindrift.plans.offline import corpus_statistics
 from spindrift.plans.spec import JoinedQuery, Query
 from spindrift.session import built_once, materialize
 from spindrift.sources import html as src
-from spindrift.tables import act_pages, live_postings, standing_pages, standing_postings, table
+from spindrift.tables import act_pages, act_postings_by_page, live_postings, standing_pages, standing_postings, table
 
 Spark = SparkSession
 QUERIES: dict[str, Callable[[Spark, str], DataFrame]] = {}
@@ -435,6 +435,11 @@ def _posts(spark: Spark, d: str) -> DataFrame:
     return _index(spark, d).postings
 
 
+def _body_strong(spark: Spark, d: str) -> cooccur.Strong:
+    """From the body's rows alone: the whole index takes longer to build than the pairs of its words do to make."""
+    return pmi.page_strong(act_postings_by_page(spark, d, ["body"]), "body")
+
+
 def _six(pmi: DataFrame) -> DataFrame:
     """Values of nine digits with six: on whole numbers, as rounding a decimal takes longer than all else that a pair needs."""
     return pmi.withColumn("pmi", F.expr("((CAST(rint(pmi * 1e9) AS BIGINT) + 500) DIV 1000) / 1e6"))
@@ -447,7 +452,7 @@ def q_pmi_title(spark: Spark, d: str) -> DataFrame:
 
 @query
 def q_pmi_body(spark: Spark, d: str) -> DataFrame:
-    return _six(pmi.page_values(_posts(spark, d), "body"))
+    return _six(pmi.page_values(_body_strong(spark, d), "body"))
 
 
 @query

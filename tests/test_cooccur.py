@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindrift import session, skew
 from spindrift.config import DEFAULT
 from spindrift.operators import cooccur, pmi
+from spindrift.tables import ByPage
 
 ABOVE = {"title": DEFAULT.title_frequency_above, "body": DEFAULT.body_frequency_above}
 
@@ -142,3 +143,25 @@ def test_the_table_per_word_is_not_written(spark, small):
 
     entry.queries()["q_pmi_expand"](spark, small).collect()
     assert not [x for x in os.listdir(session.shared_dir(spark)) if x.startswith("spindrift-pmi-body-")]
+
+
+def test_rows_by_page_give_the_same(posts, rows):
+    salted = posts.withColumn("__salt", F.pmod("word_id", F.lit(3)))
+    for by_page in (ByPage(posts, ["webpage_id"]), ByPage(salted, ["webpage_id", "__salt"])):
+        assert near(got(pmi.page_values(by_page, "body")), brute(rows, "body", False))
+    none = ByPage(posts.filter("frequency < 0"), ["webpage_id"])
+    assert got(pmi.page_values(none, "body")) == {}
+
+
+@pytest.mark.parametrize("name", ["q_pmi_body"])
+def test_body_pairs_need_no_index(spark, small, name, monkeypatch):
+    """The index of all fields is not built, and the body's rows are read once however many calls need them."""
+    import __spark_entry__ as entry
+    from spindrift.plans import payloads, queries
+
+    for module in (queries, payloads):
+        monkeypatch.setattr(module, "_index", lambda *_: pytest.fail("the index is built"))
+    since = len(session._paths)
+    assert entry.queries()[name](spark, small).count()
+    labels = [os.path.basename(p).rsplit("-", 1)[0] for _, p in session._paths[since:]]
+    assert labels.count("spindrift-strong") == labels.count("spindrift-strong-totals") == 1
