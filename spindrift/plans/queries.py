@@ -482,9 +482,9 @@ def q_pmi_expand(spark: Spark, d: str) -> DataFrame:
 @query
 def q_pmi_delete_affected(spark: Spark, d: str) -> DataFrame:
     """Pairs left, and words affected, when the postings of two words change."""
-    posts = _posts(spark, d)
+    s = _body_strong(spark, d)
     words = table(spark, d, "keyword").filter(F.col("word").isin(*ANY)).select("word_id")
-    rest, affected = pmi.delete_words(pmi.page_values(posts, "body"), words, pmi.page_values(posts, "body", touching=words))
+    rest, affected = pmi.delete_words(lambda w: pmi.page_values(s, "body", without=w), words, pmi.page_values(s, "body", touching=words))
     return rest.select(F.lit("rest").alias("kind"), F.col("word1_id").alias("a"), F.col("word2_id").alias("b")).unionByName(affected.select(F.lit("affected").alias("kind"), F.col("word_id").alias("a"), F.lit(0).cast("long").alias("b")))
 
 

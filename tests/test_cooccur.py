@@ -153,7 +153,7 @@ def test_rows_by_page_give_the_same(posts, rows):
     assert got(pmi.page_values(none, "body")) == {}
 
 
-@pytest.mark.parametrize("name", ["q_pmi_body", "q_pmi_refresh"])
+@pytest.mark.parametrize("name", ["q_pmi_body", "q_pmi_delete_affected", "q_pmi_refresh"])
 def test_body_pairs_need_no_index(spark, small, name, monkeypatch):
     """The index of all fields is not built, and the body's rows are read once however many calls need them."""
     import __spark_entry__ as entry
